@@ -5,12 +5,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,3 +56,18 @@ def doc_crc(doc_id: Column) -> Column:
 def text_hash(text: Column) -> Column:
     """A 64-bit key of a text that tells null from the empty string."""
     return F.xxhash64(text.isNull(), text)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, so that workers can
+    import it wherever only the driver's path has it."""
+    context = spark.sparkContext
+    if getattr(context, "_spanloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="spanloom-")) / "spanloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._spanloom_shipped = True

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, secrets, simhash
+from . import decontam, langid, quality, secrets, simhash, tokenpack, warc
 from .common import table
 
 
@@ -26,6 +26,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_report(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenpack.packed_report(spark, table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -33,6 +45,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_simhash_near_dedup,
         op3_language_id,
         op4_decontamination,
+        op5_warc,
+        op7_packed_ids,
+        op9_quality_rules,
     )
 }
 
