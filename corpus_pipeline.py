@@ -8,23 +8,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import langid, simhash
-from spanloom.llm.common import table, written
+from spanloom.llm import decontam, langid, pieces, secrets, simhash
+from spanloom.llm.common import ship, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identified language go."""
+    """Documents whose language can't be told go; the rest stays unchanged."""
+    ship(spark)
     return langid.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays."""
+    ship(spark)
     return simhash.keep_one_of_each(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap a benchmark item go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; secrets in their texts are masked."""
+    return secrets.masked_documents(docs)
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's ids, with the check that they decode to its text."""
+    ship(spark)
+    return pieces.encoding_report(docs, with_ids=True)
+
+
 STAGES = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("secret_scan", secret_scan),
+    ("piece_encoding", piece_encoding),
 ]
 
 #: Learnt models and connected components are beyond SQL.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, quality, secrets, simhash, tokenpack, warc
+from . import decontam, langid, pieces, quality, secrets, simhash, tokenpack, toxicity, warc
 from .common import table
 
 
@@ -30,14 +30,26 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_report(spark, table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenpack.packed_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_report(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.count_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -46,8 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_language_id,
         op4_decontamination,
         op5_warc,
+        op6_toxicity,
         op7_packed_ids,
+        op8_piece_encoding,
         op9_quality_rules,
+        op10_token_counts,
     )
 }
 
