@@ -92,7 +92,8 @@ def token_waste(predictions: DataFrame, gold: DataFrame, k: int = 10) -> DataFra
     counted as often as they are predicted."""
     g = merged_spans(gold, ["task_id", "path"]).select("task_id", "path", F.col("start_line").alias("gs"), F.col("end_line").alias("ge"))
     keys = ["strategy", "task_id", "rank", "path", "start_line", "end_line"]
-    common = F.greatest(F.lit(0), F.least("end_line", "ge") - F.greatest("start_line", "gs") + 1)
+    # least and greatest skip nulls, so a path without gold is told apart first.
+    common = F.when(F.col("gs").isNotNull(), F.greatest(F.lit(0), F.least("end_line", "ge") - F.greatest("start_line", "gs") + 1))
     one = predictions.where(F.col("rank") <= k).select(*keys).join(g, ["task_id", "path"], "left").groupBy(*keys).agg(
         F.sum(F.coalesce(common, F.lit(0))).alias("good")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval  # noqa: F401
+from . import engine, evaluation, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
