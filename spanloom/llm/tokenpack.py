@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -42,70 +43,68 @@ from .common import scratch_path, written
 MAGIC = b"SPLMIDS1"
 BLOCK = 8192
 END_ID = 1
-#: Words that a worker keeps encoded between batches.
-CACHED_WORDS = 400_000
+#: Words of one generation that a worker keeps encoded.
+CACHED_WORDS = 300_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 # ------------------------------------------------------------------- encoding
-class WordEncoder:
-    """Whole-text encoding through distinct words.
+class WordEncoder(dict):
+    """Whole-text encoding through words: a mapping from a word (UTF-8 without
+    ASCII white space) to its ids, little-endian unsigned 32-bit integers.
 
     The tokenizer's pre-tokens never cross ASCII white space, so a text's ids
-    are its words' ids in order. Distinct words are encoded by the library, many
-    in one call, and kept as little-endian unsigned 32-bit integers.
+    are its words' ids in order. A word of lower-case Latin letters is one
+    pre-token that no normalizer changes, and goes to the tokenizer's model in
+    its byte alphabet; any other word goes through the whole tokenizer. Two
+    generations of words are kept, so memory stays bounded.
     """
 
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
+    PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+    def __init__(self, path: str, kept: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.cached, self.ids = cached, {}
-        self._marks = {m: self._many([m])[0] for m in (b".", b",")}
-
-    def _many(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8") for w in words]
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(found.ids, "<u4")
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        starts = np.cumsum(lengths + 1) - lengths - 1
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(at, starts)
-        raw = ids.tobytes()
-        bounds = [*(cuts * 4).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each UTF-8 text."""
-        split = []
-        for data in texts:
-            # The tokenizer lower-cases; special tokens are matched before that.
-            split.append(data.split() if b"<|" in data else data.lower().split())
-        wanted = set().union(*split)
-        ids = self.ids
-        missing, marked = set(), []
-        for word in wanted:
-            if word in ids:
-                continue
-            # A letter or digit before one last mark: the mark is a pre-token.
-            if word[-1:] in self._marks and len(word) > 1 and word[-2:-1].isalnum():
-                marked.append(word)
-                if word[:-1] not in ids:
-                    missing.add(word[:-1])
+        self.kept, self.before = kept, {}
+        # Each Latin-1 letter's two bytes in the model's byte alphabet.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.marks = {m: self._whole(m) for m in (b".", b",")}
+
+    def _whole(self, word: bytes) -> bytes:
+        found = self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            if self.PLAIN.fullmatch(word):
+                text = word.decode("utf-8")
+                if len(text) < len(word):
+                    text = text.translate(self.letters)
+                found = [t.id for t in self.tokenizer.model.tokenize(text)]
+                ids = struct.pack(f"<{len(found)}I", *found)
+            elif word[-1:] in self.marks and self.PLAIN.fullmatch(word, 0, len(word) - 1):
+                # Letters before one mark: the mark is a pre-token of its own.
+                ids = self[word[:-1]] + self.marks[word[-1:]]
             else:
-                missing.add(word)
-        rest = list(missing)
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            ids.update(zip(part, self._many(part)))
-        for word in marked:
-            ids[word] = ids[word[:-1]] + self._marks[word[-1:]]
-        out = [b"".join(map(ids.__getitem__, words)) for words in split]
-        if len(ids) > self.cached:
-            self.ids = {w: ids[w] for w in wanted} if len(wanted) < self.cached else {}
-        return out
+                ids = self._whole(word)
+        self[word] = ids
+        return ids
+
+    def encode(self, data: bytes) -> bytes:
+        """The ids of a UTF-8 text."""
+        # The tokenizer lower-cases; special tokens are matched before that.
+        words = data.split() if b"<|" in data else data.lower().split()
+        if len(self) > self.kept:
+            self.before = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -231,15 +230,13 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
         fs, base = pafs.FileSystem.from_uri(folder)
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                if writer is None:
-                    fs.create_dir(base, recursive=True)
-                    out = fs.open_output_stream(f"{base}/.{name}")
-                    writer = PackedWriter(out, width_of(max(words.size, end_id + 1)))
-                found = words.encode(some.column("text").to_pylist())
-                for doc_id, ids in zip(some.column("doc_id").to_pylist(), found):
-                    writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            if writer is None and batch.num_rows:
+                fs.create_dir(base, recursive=True)
+                out = fs.open_output_stream(f"{base}/.{name}")
+                writer = PackedWriter(out, width_of(max(words.size, end_id + 1)))
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids = np.frombuffer(words.encode(text.as_py()), "<u4")
+                writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             n_ids = writer.close()
             out.close()
