@@ -61,6 +61,9 @@ def text_hash(text: Column) -> Column:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, so that workers can
     import it wherever only the driver's path has it."""
+    # A batch of texts is held several times over; long ones need small batches.
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_spanloom_shipped", False):
         return

@@ -204,10 +204,14 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.05) -> DataFrame:
-    """The rows whose language is found: ``und`` and scores under ``least`` go."""
-    columns = list(docs.columns)
-    named = {c: f"_c{i}" for i, c in enumerate(columns)}
-    inner = docs.select(*[F.col(c).alias(n) for c, n in named.items()], F.col("text"))
-    found = identify(inner, train(docs), tuple(named.values()))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select(*[F.col(n).alias(c) for c, n in named.items()])
+    """The rows whose language is found: ``und`` and scores under ``least`` go.
+    Only texts go to Python and only verdicts come back."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    @F.arrow_udf("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        machine = shared.value
+        verdicts = (machine.predict(t.as_py()) for t in texts)
+        return pa.array([lang != "und" and score >= least for lang, score in verdicts], pa.bool_())
+
+    return docs.where(found(F.col("text")))
