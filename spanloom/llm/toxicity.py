@@ -4,9 +4,9 @@ Two Zstandard dictionaries are trained, one on toxic and one on ordinary text.
 Both end with the same common content, which the library's trainer builds from
 ordinary windows, so a window's two compressed lengths differ only by what the
 special parts know. The special parts hold whole words, the most frequent last
-(nearest), as the library's trainer cuts words at this size; they are taken from the words that have a stem (the word or its first
-bytes) found in a share of the texts of their label, and in LIFT times the share
-of the other label's texts.
+(nearest), as the library's trainer cuts words at this size: the words found in
+a share of the texts of their label, and in LIFT times the share of the other
+label's texts.
 
 A text is cut at blanks into windows of some WINDOW bytes. Its windows' length
 differences (mean, largest, share over a threshold) are turned into a
@@ -46,7 +46,6 @@ LIFT = 10
 SHARE = 0.02
 COMMON_BYTES, SPECIAL_BYTES = 16384, 4096
 FLAGGED = 2
-STEMS = (4, 5, 6)
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
@@ -84,14 +83,6 @@ def distinct_texts(texts: list[bytes]) -> list[int]:
     return kept
 
 
-def stems(word: bytes) -> list[bytes]:
-    return [word, *(word[:n] + b"-" for n in STEMS if n < len(word))]
-
-
-def stems_of(text: bytes) -> set[bytes]:
-    return {s for w in set(_WORD.findall(text)) for s in stems(w)}
-
-
 def trained_content(samples: list[bytes], size: int) -> bytes:
     """The content of a trained dictionary; the samples themselves where they
     are too few to train on."""
@@ -118,7 +109,7 @@ class Distance:
         has = [Counter(), Counter()]
         for side, texts in zip(has, (toxic, ordinary)):
             for text in texts:
-                side.update(stems_of(text))
+                side.update(set(_WORD.findall(text)))
         n = (len(toxic), len(ordinary))
         special = []
         for mine, other in ((0, 1), (1, 0)):
@@ -127,10 +118,7 @@ class Distance:
                 w for w, c in own.items()
                 if c >= max(3, SHARE * n[mine]) and c / n[mine] >= LIFT * (rest[w] + 1) / max(1, n[other])
             }
-            found = Counter()
-            for text in (toxic, ordinary)[mine]:
-                found.update({w for w in set(_WORD.findall(text)) if not wanted.isdisjoint(stems(w))})
-            special.append(word_content(found, SPECIAL_BYTES))
+            special.append(word_content(Counter({w: own[w] for w in wanted}), SPECIAL_BYTES))
         self.common = trained_content([w for text in ordinary for w in windows(text, 96)], COMMON_BYTES)
         longest = max(map(len, special))
         self.special = [s.rjust(longest, b"\0") for s in special]

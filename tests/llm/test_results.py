@@ -107,12 +107,14 @@ def test_language_pairs_vote():
 
 
 def test_toxicity_held_out(spark, sf):
-    d = sf.replace("0.001", "0.01")
+    """Over sf0.1: the smaller tables hold out six toxic texts at most. About a
+    third of the texts labelled toxic has no word that only toxic texts have."""
+    d = sf.replace("0.001", "0.1")
     got = QUERIES["op6_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id")
     rows = got.where("held_out and toxic is not null").collect()
     bad, good = ([r["score"] for r in rows if r["toxic"] == v] for v in (1, 0))
-    assert bad and good
-    assert sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) > 0.9
+    assert len(bad) > 50 and sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) > 0.85
+    assert sum(b >= 0.5 for b in bad) > 0.6 * len(bad) and sum(g >= 0.5 for g in good) < 0.02 * len(good)
 
 
 def test_masks_meet_every_placing_of_two_substitutions():
