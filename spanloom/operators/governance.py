@@ -159,3 +159,16 @@ def passage_leaks(corpus: DataFrame, passages: DataFrame, words: int = 8) -> Dat
     near = c.join(p.select("run", "item_id"), "run").select("path", "item_id").distinct()
     full = near.join(passages.select("item_id", F.col("text").alias("passage")), "item_id").join(corpus.select("path", "content"), "path")
     return full.where(F.col("content").contains(F.col("passage"))).select("item_id", "path")
+
+
+def private_fields(rows: DataFrame, json: str, fields: list[str]) -> DataFrame:
+    """field, n: how often each private field is a key, at any depth, of a JSON
+    text column."""
+    keys = F.explode(F.regexp_extract_all(json, F.lit(r'"([^"]+)"\s*:'), F.lit(1))).alias("field")
+    return rows.select(keys).where(F.col("field").isin(fields)).groupBy("field").agg(F.count("*").alias("n"))
+
+
+def forbidden_predictions(predictions: DataFrame, prefixes: list[str]) -> DataFrame:
+    """strategy, n_bad, n_tasks: predictions whose path lies under a forbidden prefix."""
+    bad = F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.col("path").startswith(p))
+    return predictions.where(bad).groupBy("strategy").agg(F.count("*").alias("n_bad"), F.countDistinct("task_id").alias("n_tasks"))

@@ -251,3 +251,61 @@ def pareto(points: DataFrame, larger: list[str], smaller: list[str]) -> DataFram
         as_good, better = as_good & (col("b", c) <= col("a", c)), better | (col("b", c) < col("a", c))
     # Points are settings of a sweep, not data rows.
     return a.join(F.broadcast(b), as_good & better, "left_anti")
+
+
+def calibration_cells(rows: DataFrame, gold: DataFrame) -> DataFrame:
+    """anchor, risk, support (null: all), n_tasks, n_gold over all combinations."""
+    golden = gold.select("task_id").distinct().withColumn("_g", F.lit(1))
+    return rows.join(golden, "task_id", "left").cube("anchor", "risk", "support").agg(
+        F.count("*").alias("n_tasks"), F.count("_g").alias("n_gold")
+    )
+
+
+def label_consistency(tasks: DataFrame, labels: DataFrame, repos: DataFrame) -> DataFrame:
+    """check, n: ids that repeat, that only one side has, and unknown repositories.
+    Both sides are counted by id first, so that the full join has one row an id."""
+    t = tasks.groupBy("task_id").agg(F.count("*").alias("n_t"))
+    both = t.join(labels.groupBy("task_id").agg(F.count("*").alias("n_l")), "task_id", "full_outer")
+    known = repos.select("repo_id").distinct().withColumn("_k", F.lit(1))
+    strange = tasks.select("repo_id").distinct().join(known, "repo_id", "left").agg(F.count_if(F.col("_k").isNull()).alias("n"))
+    checks = {
+        "duplicate_task": F.count_if(F.col("n_t") > 1), "duplicate_label": F.count_if(F.col("n_l") > 1),
+        "missing_label": F.count_if(F.col("n_l").isNull()), "missing_task": F.count_if(F.col("n_t").isNull()),
+    }
+    counted = both.agg(*[c.alias(n) for n, c in checks.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("n")) for n in checks])).alias("c")
+    return counted.select(each).select("c.*").unionByName(strange.select(F.lit("unknown_repo").alias("check"), "n"))
+
+
+def delta_spread(scores: DataFrame, measure: str, baseline: str, group: str = "bucket") -> DataFrame:
+    """strategy, spread: how far the gain over the baseline differs between groups."""
+    base = scores.where(F.col("strategy") == baseline).select(group, F.col(measure).alias("_base"))
+    gains = scores.join(base, group).withColumn("_gain", F.col(measure) - F.col("_base"))
+    return gains.groupBy("strategy").agg((F.max("_gain") - F.min("_gain")).alias("spread"), F.countDistinct(group).alias("n_groups"))
+
+
+def failure_clusters(predictions: DataFrame, gold: DataFrame, fused: str = "rrf") -> DataFrame:
+    """cluster, n_tasks over tasks with gold: what the channels missed that the
+    fused list holds, and what no channel holds."""
+    found = pairs_with_gold(predictions, gold).groupBy("task_id", "strategy").agg(F.max("file_hit").alias("_h"))
+    wide = gold.select("task_id").distinct().join(
+        found.groupBy("task_id").agg(*[
+            F.coalesce(F.bool_or(F.when(F.col("strategy") == s, F.col("_h").cast("boolean"))), F.lit(False)).alias(s) for s in (fused, "symbol", "regex", "bm25")
+        ]), "task_id", "left",
+    ).na.fill(False)
+    c = F.col
+    clusters = {
+        "symbol_miss": c(fused) & ~c("symbol"), "regex_miss": c(fused) & ~c("regex"), "bm25_miss": c(fused) & ~c("bm25"),
+        "fusion_lost": ~c(fused) & (c("symbol") | c("regex") | c("bm25")), "no_channel": ~c(fused) & ~c("symbol") & ~c("regex") & ~c("bm25"),
+    }
+    held = F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in clusters.items()])))
+    return wide.select("task_id", held.alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n_tasks"))
+
+
+def span_gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, gap_start, gap_end: lines between spans that no span holds."""
+    w = Window.partitionBy(*keys).orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1)
+    far = spans.select(*keys, "start_line", "end_line").withColumn("_far", F.max("end_line").over(w))
+    return far.where(F.col("start_line") > F.col("_far") + 1).select(
+        *keys, (F.col("_far") + 1).alias("gap_start"), (F.col("start_line") - 1).alias("gap_end")
+    )
