@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.storage import remove
 from ..sources.corpus import line_chunks
 
 SCHEMA_VERSION = "spanloom-chunks-1"
@@ -70,23 +71,34 @@ def open_index(spark, root: str) -> tuple[DataFrame, DataFrame]:
     manifest = spark.read.parquet(f"{root}/manifest")
     if manifest.where(F.col("schema_version") != SCHEMA_VERSION).limit(1).count():
         raise ValueError("the index has another schema version; build it again")
-    return spark.read.parquet(f"{root}/chunks").drop("bucket"), manifest.drop("schema_version")
+    schema = line_chunks(manifest.select("path", "language", "content_sha", F.lit("").alias("content"))).schema
+    return spark.read.schema(schema.add("bucket", "integer")).parquet(f"{root}/chunks").drop("bucket"), manifest.drop("schema_version")
 
 
 def update_index(spark, root: str, files: DataFrame, buckets: int = 16) -> DataFrame:
     """Updates an index in place and returns the diff that was applied. Only
-    buckets with a changed path are written; a second run changes nothing."""
+    buckets with a changed path are written; a second run changes nothing, and a
+    run that broke off is made good by the next one, as the manifest comes last.
+
+    The diff is a written table, read again until the next update: neither its
+    rows nor the changed paths pass through the driver, only bucket numbers."""
     chunks, manifest = open_index(spark, root)
-    diff = dirty_diff(manifest, files).where("state <> 'clean'")
     bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
-    touched = [r[0] for r in diff.select(bucket).distinct().collect()]
-    applied = spark.createDataFrame(diff.collect(), diff.schema) if touched else diff
+    found = dirty_diff(manifest, files).where("state <> 'clean'")
+    found.write.mode("overwrite").parquet(f"{root}/_diff")
+    diff = spark.read.schema(found.schema).parquet(f"{root}/_diff")
+    touched = {r[0] for r in diff.select(bucket).distinct().collect()}
     if touched:
-        kept = chunks.where(bucket.isin(touched))
+        kept = chunks.where(bucket.isin(sorted(touched)))
         new = update_chunks(kept, diff, files).withColumn("bucket", bucket)
         staged = f"{root}/_staged"
         new.write.mode("overwrite").partitionBy("bucket").parquet(staged)
         manifest_of(files).withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(f"{root}/_manifest")
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/chunks")
+        ready = spark.read.schema(new.schema).parquet(staged)
+        full = {r[0] for r in ready.select("bucket").distinct().collect()}
+        ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/chunks")
+        # A bucket that lost its last chunk has no rows to overwrite it with.
+        for b in touched - full:
+            remove(spark, f"{root}/chunks/bucket={b}")
         spark.read.parquet(f"{root}/_manifest").write.mode("overwrite").parquet(f"{root}/manifest")
-    return applied
+    return diff

@@ -78,6 +78,11 @@ def test_index_life(spark, tmp_path):
     assert sorted(map(tuple, chunks.select(key).collect())) == sorted(map(tuple, corpus.line_chunks(new).select(key).collect()))
     assert lifecycle.status(manifest, new).first().is_dirty is False
     assert lifecycle.update_index(spark, str(tmp_path / "i"), new, buckets=4).count() == 0
+    only = new.where("path = 'q'")
+    assert lifecycle.update_index(spark, str(tmp_path / "i"), only, buckets=4).count() == 11
+    assert [r.path for r in lifecycle.open_index(spark, str(tmp_path / "i"))[0].collect()] == ["q"]
+    lifecycle.update_index(spark, str(tmp_path / "i"), new.where("false"), buckets=4)
+    assert lifecycle.open_index(spark, str(tmp_path / "i"))[0].count() == 0
 
 
 def test_persistent_search_equals_direct(spark, tmp_path):
