@@ -10,6 +10,12 @@ def _opened(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark's readers name it."""
+    target, system = _opened(spark, path)
+    return system.makeQualified(target).toString()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target, system = _opened(spark, path)
     return system.exists(target)
@@ -26,7 +32,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     target, system = _opened(spark, path)
     if not system.exists(target):
         return None
-    jvm, stream = spark.sparkContext._jvm, system.open(target)
+    stream = system.open(target)
     try:
         return bytes(stream.readAllBytes()).decode("utf-8")
     finally:

@@ -29,25 +29,25 @@ def query_line_hits(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def channel_hits(files: DataFrame, queries: DataFrame, channels: tuple[str, ...], k: int) -> DataFrame:
-    """query_id, channel, rank, path, start_line, end_line of each channel."""
+    """query_id, channel, rank, path, start_line, end_line, score of each channel."""
     unknown = set(channels) - set(CHANNELS)
     if unknown:
         raise ValueError(f"unknown channels: {sorted(unknown)}")
     chunks = corpus.line_chunks(files)
-    cols = ["query_id", "rank", "path", "start_line", "end_line"]
+    cols = ["query_id", "rank", "path", "start_line", "end_line", "score"]
     out = []
     if "regex" in channels or "text" in channels:
         out.append(query_line_hits(files, queries, k).select(*cols, F.lit("regex").alias("channel")))
     if "bm25" in channels:
         top = lexical.bm25(chunks, queries, 2 * k)
         tight = lexical.best_lines(top, chunks, queries).select(
-            "query_id", "rank", "path", F.col("span_start").alias("start_line"), F.col("span_end").alias("end_line")
+            "query_id", "rank", "path", F.col("span_start").alias("start_line"), F.col("span_end").alias("end_line"), "score"
         )
         again = fusion.with_rank(tight.withColumnRenamed("rank", "was"), ["query_id"], ["was"]).where(F.col("rank") <= k)
         out.append(again.select(*cols, F.lit("bm25").alias("channel")))
     if "symbol" in channels:
         whole = lexical.symbol_overlap(files, queries, k).join(files.select("path", F.size(T.lines(F.col("content"))).alias("n")), "path")
-        out.append(whole.select("query_id", "rank", "path", F.lit(1).alias("start_line"), F.col("n").alias("end_line"), F.lit("symbol").alias("channel")))
+        out.append(whole.select("query_id", "rank", "path", F.lit(1).alias("start_line"), F.col("n").alias("end_line"), F.col("score").cast("double").alias("score"), F.lit("symbol").alias("channel")))
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
@@ -75,7 +75,7 @@ def fast_context(files: DataFrame, queries: DataFrame, edges: DataFrame | None =
             "query_id", F.col("source_path").alias("path"), F.col("source_line").alias("start_line"), F.col("source_line").alias("end_line")
         ).distinct()
         ranked = lexical.ranked(near, ["path", "start_line"], ["query_id"], k)
-        hits = hits.unionByName(ranked.select("query_id", "rank", "path", "start_line", "end_line", F.lit("graph").alias("channel")))
+        hits = hits.unionByName(ranked.select("query_id", "rank", "path", "start_line", "end_line", F.lit(1.0).alias("score"), F.lit("graph").alias("channel")))
     fused = fusion.absorb_wider(fusion.rrf(hits)).withColumn("score", F.round("score", 9))
     best = lexical.ranked(fused, [F.desc("score"), "path", "start_line", "end_line"], ["query_id"], k)
     shas = files.select("path", "content_sha")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ship import ship
+from ..functions.storage import qualified
 
 CHUNK_LINES = 30
 
@@ -28,8 +29,7 @@ def files_of_documents(documents: DataFrame) -> DataFrame:
 def scan_folder(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
     """Admitted text files below ``root`` with content hash and language."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    prefix = F.regexp_replace(F.lit(root), "/+$", "")
-    relative = F.regexp_replace(F.element_at(F.split("path", prefix, 2), -1), "^/+", "")
+    relative = F.substring(F.col("path"), F.lit(len(qualified(spark, root).rstrip("/")) + 2), F.length("path"))
     named = raw.withColumn("path", relative)
     kept = named.where(T.admitted(F.col("path"), include, exclude)).where(~T.looks_binary(F.col("content")))
     return kept.select(

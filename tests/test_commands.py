@@ -1,0 +1,76 @@
+"""The engine's commands over a small folder of files."""
+
+import json
+
+import pytest
+
+from spanloom.__main__ import main
+from spanloom.engine import POLICY, Engine, load_policy
+
+
+@pytest.fixture
+def folder(tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "util.py").write_text("def load_user(name):\n    return name\n")
+    (tmp_path / "src" / "main.py").write_text("from src import util\nimport util\n\n\ndef main():\n    return util.load_user('x')\n")
+    (tmp_path / "src" / "test_util.py").write_text("import util\n\n\ndef test_load():\n    assert util.load_user('a')\n")
+    (tmp_path / "notes.md").write_text("load user notes\n")
+    (tmp_path / "key.pem").write_text("hidden\n")
+    (tmp_path / ".spanloom").mkdir()
+    (tmp_path / ".spanloom" / "policy.toml").write_text('[index]\nexclude = ["**/*.pem"]\n')
+    return tmp_path
+
+
+def test_policy_defaults():
+    assert load_policy(None) == POLICY == load_policy("not = [toml")
+    assert load_policy("[remote]\nallow = true\n")["remote"]["allow"] is True and POLICY["remote"]["allow"] is False
+
+
+def test_reading(spark, folder):
+    engine = Engine.over_folder(spark, f"file://{folder}")
+    assert [r.path for r in engine.scan().collect()] == ["notes.md", "src/main.py", "src/test_util.py", "src/util.py"]
+    assert engine.read("src/util.py:1").first().excerpt == "def load_user(name):"
+    assert {r.path for r in engine.search("text", "load_user").collect()} == {"src/main.py", "src/test_util.py", "src/util.py"}
+    assert engine.search("symbol", "load_user").first().path == "src/util.py"
+    assert engine.search("bm25", "notes").first().path == "notes.md"
+    with pytest.raises(ValueError):
+        engine.search("regex", "(")
+    assert engine.retrieve("load user notes").first().path == "notes.md"
+    assert engine.fast_context("load user notes").first().path == "notes.md"
+    cited = spark.createDataFrame([(json.dumps([{"path": "notes.md", "start_line": 1, "end_line": 1, "content_sha": "old"}]),)], "value string")
+    assert engine.validate_citations(cited).first().reason == "stale_content"
+
+
+def test_index_graph_views_and_vectors(spark, folder, tmp_path_factory):
+    root = f"file://{tmp_path_factory.mktemp('tables')}/t"
+    engine = Engine.over_folder(spark, f"file://{folder}", root)
+    assert engine.index_purge() == 0
+    assert engine.index_build().first().is_dirty is False
+    (folder / "notes.md").write_text("other words\n")
+    changed = Engine.over_folder(spark, f"file://{folder}", root)
+    assert changed.search("bm25", "notes", persistent=True).count() == 0
+    assert [(r.path, r.state) for r in changed.index_update().collect()] == [("notes.md", "modified")]
+    assert changed.search("bm25", "other", persistent=True).first().path == "notes.md"
+    assert json.loads(changed.context_lite().first().summary)["n_clean"] == 4
+    assert changed.bench_warm("other", 2).count() == 1
+    assert {r["kind"] for r in changed.graph_build().collect()} >= {"tests"}
+    assert changed.graph_inspect("tests").count() == changed.tests().count() > 0
+    with pytest.raises(ValueError):
+        changed.derived_build()
+    first = changed.derived_build(experimental=True).first()
+    again = changed.derived_build(experimental=True).first()
+    assert first.upserted == again.upserted == again.replaced > 0 and first.replaced == first.invalid == 0
+    assert changed.derived_validate().first().verdict == "valid" and changed.derived_inspect("symbol_tags").count() == 4
+    assert {r.reason for r in changed.dense_build(experimental=True).collect()} == {"allowed"}
+    got = changed.dense_search("notes.md markdown 1-1", 2).collect()
+    assert len(got) == 2 and max(got, key=lambda r: r.score).path == "notes.md" and got[0].query_bytes == 21
+    assert changed.provider_audit(3).count() == 3 and changed.provider_status().count() == 2
+    assert changed.store_build().first().n_files == 4 and changed.store_purge()
+    assert changed.derived_purge() == changed.dense_purge() == 1 and changed.index_purge() == 2
+
+
+def test_command_line(spark, folder, capsys):
+    main([f"file://{folder}", "read", "notes.md"])
+    assert json.loads(capsys.readouterr().out)["excerpt"] == "load user notes"
+    with pytest.raises(SystemExit):
+        main([f"file://{folder}", "scan", "extra"])
