@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """A stream of event files. Watermarks need ``ts`` as an instant; a time
+    without a zone is taken in the session's."""
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return read.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
