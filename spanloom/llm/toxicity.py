@@ -1,12 +1,15 @@
 """Toxicity by compression distance.
 
 Two Zstandard dictionaries are trained, one on toxic and one on ordinary text.
-Both end with the same common content, which the library's trainer builds from
+Both begin with the same common content, which the library's trainer builds from
 ordinary windows, so a window's two compressed lengths differ only by what the
-special parts know. The special parts hold whole words, the most frequent last
-(nearest), as the library's trainer cuts words at this size: the words found in
-a share of the texts of their label, and in LIFT times the share of the other
-label's texts.
+special parts know. The library's trainer builds these too, from the pieces of a
+label's windows that tell it from the other label: places where a run of GRAM
+bytes makes up LIFT times the share of a text that it does in the other label's
+texts. Shares count up to FULL of a text, so one text that repeats a run weighs
+no more than any other. A run needs the weight of EVIDENCE texts, however many
+texts there are: a language with few toxic texts takes part, and the forms of a
+word are pooled by the run that they share.
 
 A text is cut at blanks into windows of some WINDOW bytes. Its windows' length
 differences (mean, largest, share over a threshold) are turned into a
@@ -27,8 +30,6 @@ Defined results
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,15 @@ from .common import doc_crc, written
 
 WINDOW = 64
 LEVEL = 3
+GRAM = 6
 LIFT = 10
-SHARE = 0.02
-COMMON_BYTES, SPECIAL_BYTES = 16384, 4096
+FULL = 0.002
+EVIDENCE = 2
+AROUND = 2
+SEGMENT, MER = 12, 8
+FOLDS = 6
+COMMON_BYTES, SPECIAL_BYTES = 16384, 1536
 FLAGGED = 2
-_WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def lowered(text: str | None) -> bytes:
@@ -83,22 +88,60 @@ def distinct_texts(texts: list[bytes]) -> list[int]:
     return kept
 
 
-def trained_content(samples: list[bytes], size: int) -> bytes:
+def trained_content(samples: list[bytes], size: int, k: int = 64, d: int = 6) -> bytes:
     """The content of a trained dictionary; the samples themselves where they
     are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()[-(size - 300) :]
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()[-(size - 300) :]
     except zstandard.ZstdError:
         return b"".join(samples)[-(size - 300) :]
 
 
-def word_content(words: Counter, size: int) -> bytes:
-    """At most ``size`` bytes of words, the most frequent last."""
-    out = b" "
-    for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        if len(out) + len(word) + 1 > size:
-            break
-        out = b" " + word + out
+def grams(data: bytes) -> np.ndarray:
+    """Each run of GRAM bytes as a number, in order."""
+    a = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(a) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        out = (out << np.uint64(8)) | a[k : k + n]
+    return out
+
+
+def places(sought: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``sought`` are in the sorted ``known``, and where there."""
+    at = np.searchsorted(known, sought)
+    at[at == len(known)] = 0
+    return known[at] == sought if len(known) else np.zeros(len(sought), bool), at
+
+
+def telling_grams(mine: list[bytes], other: list[bytes]) -> np.ndarray:
+    """Runs of bytes that tell the texts ``mine`` from ``other``, sorted."""
+    known, texts = np.unique(np.concatenate([np.unique(grams(t)) for t in mine]), return_counts=True)
+    known = known[texts > EVIDENCE]
+
+    def weight(side: list[bytes]) -> np.ndarray:
+        total = np.zeros(len(known))
+        for t in side:
+            own, n = np.unique(grams(t), return_counts=True)
+            found, at = places(own, known)
+            total[at[found]] += np.minimum(n[found] / (FULL * len(t)), 1)
+        return total
+
+    has, rest = weight(mine), weight(other)
+    return known[(has >= EVIDENCE) & (has / len(mine) >= LIFT * (rest + 1) / max(1, len(other)))]
+
+
+def telling_pieces(texts: list[bytes], telling: np.ndarray) -> list[bytes]:
+    """The places of telling runs with AROUND bytes on both sides, within the
+    words that they touch."""
+    out = []
+    for t in texts:
+        found, _ = places(grams(t), telling)
+        spans = set()
+        for i in np.flatnonzero(found).tolist():
+            first, end = max(0, t.rfind(b" ", 0, i + 1)), t.find(b" ", i + GRAM - 1) + 1 or len(t)
+            spans.add((max(first, i - AROUND), min(end, i + GRAM + AROUND)))
+        out += [t[a:b].ljust(8) for a, b in sorted(spans)]
     return out
 
 
@@ -106,21 +149,12 @@ class Distance:
     """Compressed lengths of windows under the two dictionaries."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        has = [Counter(), Counter()]
-        for side, texts in zip(has, (toxic, ordinary)):
-            for text in texts:
-                side.update(set(_WORD.findall(text)))
-        n = (len(toxic), len(ordinary))
         special = []
-        for mine, other in ((0, 1), (1, 0)):
-            own, rest = has[mine], has[other]
-            wanted = {
-                w for w, c in own.items()
-                if c >= max(3, SHARE * n[mine]) and c / n[mine] >= LIFT * (rest[w] + 1) / max(1, n[other])
-            }
-            special.append(word_content(Counter({w: own[w] for w in wanted}), SPECIAL_BYTES))
+        for mine, other in ((toxic, ordinary), (ordinary, toxic)):
+            pieces = telling_pieces(mine, telling_grams(mine, other))
+            special.append(trained_content(pieces, SPECIAL_BYTES + 300, SEGMENT, MER) if pieces else b"")
         self.common = trained_content([w for text in ordinary for w in windows(text, 96)], COMMON_BYTES)
-        longest = max(map(len, special))
+        longest = max(8, *map(len, special))
         self.special = [s.rjust(longest, b"\0") for s in special]
         self._tools = None
 
@@ -133,7 +167,7 @@ class Distance:
             self._tools = [
                 zstandard.ZstdCompressor(
                     level=LEVEL, write_content_size=False,
-                    dict_data=zstandard.ZstdCompressionDict(s + self.common, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                    dict_data=zstandard.ZstdCompressionDict(self.common + s, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                 ).compress
                 for s in self.special
             ]
@@ -171,7 +205,7 @@ class ToxicityModel:
             return
         groups = {v: [t for t, y in zip(texts, labels) if y == v] for v in (0, 1)}
         groups = {v: [g[k] for k in distinct_texts(g)] for v, g in groups.items()}
-        folds = 3
+        folds = FOLDS
         x, y = [], []
         for k in range(folds):
             rest = {v: [t for i, t in enumerate(g) if i % folds != k] or g for v, g in groups.items()}
