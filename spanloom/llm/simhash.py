@@ -278,8 +278,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``id_columns``, fp, component_id for each row of ``docs``; the first id
-    column names the component (its smallest value)."""
+    """``id_columns``, fp, component_id, root for each row of ``docs``; the first
+    id column names the component (its smallest value). Where an id stands on
+    different texts, components can share that name; root, the component's
+    smallest fingerprint, is its own."""
     prints = written(fingerprints(docs, id_columns), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min(id_columns[0]).alias("first_id")), "classes")
     roots = components(fingerprint_links(classes))
@@ -287,8 +289,8 @@ def near_duplicates(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",))
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(of_class, "fp").select(*id_columns, "fp", "component_id")
+    of_class = rooted.join(named, "root").select("fp", "component_id", "root")
+    return prints.join(of_class, "fp").select(*id_columns, "fp", "component_id", "root")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
@@ -307,10 +309,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_text_hash", text_hash(F.col("text")))
     found = near_duplicates(keyed.select("doc_id", "_text_hash", "text"), ("doc_id", "_text_hash"))
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text_hash")
-    # Without any id in a component its fingerprint class stands for it.
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
     leaders = (
-        found.groupBy("component_id", group.alias("g")).agg(F.min(rank).alias("r"))
+        found.groupBy("root").agg(F.min(rank).alias("r"))
         .select(F.col("r.doc_id").alias("_lead"), F.col("r._text_hash").alias("_lead_hash"))
     )
     same = keyed.doc_id.eqNullSafe(leaders._lead) & (keyed._text_hash == leaders._lead_hash)

@@ -4,7 +4,7 @@ import zlib
 
 import pyarrow.parquet as pq
 
-from spanloom.llm import toxicity
+from spanloom.llm import simhash, toxicity
 
 
 def test_toxicity_pools_the_forms_of_a_word():
@@ -20,3 +20,12 @@ def test_toxicity_pools_the_forms_of_a_word():
     scores = [(label[i], model.score(t)) for (i, t), h in zip(known, held) if h]
     bad, good = ([s >= 0.5 for y, s in scores if y == v] for v in (1, 0))
     assert sum(bad) > 0.7 * len(bad) and sum(good) < 0.02 * len(good)
+
+
+def test_an_id_on_two_texts_loses_neither(spark):
+    a = " ".join(f"alpha{i} beta{i * 7}" for i in range(60))
+    b = " ".join(f"gamma{i} delta{i * 5}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b.upper())], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one_of_each(docs).collect())) == sorted([(1, a), (1, b)])
+    alone = spark.createDataFrame([(1, a), (1, b), (0, a.upper())], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one_of_each(alone).collect())) == sorted([(0, a.upper()), (1, b)])
