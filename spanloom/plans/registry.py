@@ -34,6 +34,11 @@ def topics(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
+def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, query: each benchmark item as it is."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
 def words_sql(column: str) -> str:
     return f"list_filter(string_split_regex(lower({column}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 

@@ -1,0 +1,14 @@
+"""Cases that earlier forms of the engine's queries lost."""
+
+from spanloom.plans.catalog import QUERIES
+
+
+def test_composed_plans_ask_with_the_whole_item(spark, tmp_path):
+    rows = [(7, "def load_zebra zebraquark", "typescript", "s", 1), (8, "import x from './7'", "typescript", "s", 1), (9, "other words", "typescript", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    item = "one two three four five six zebraquark load_zebra"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    fused = QUERIES["retrieve_fused"](spark, str(tmp_path)).collect()
+    assert [r["path"] for r in fused if "bm25" in r["channels"]] == ["doc/7"]
+    got = {r["path"]: r["channels"] for r in QUERIES["fast_context"](spark, str(tmp_path)).collect()}
+    assert "bm25" in got["doc/7"] and "symbol" in got["doc/7"] and got["doc/8"] == "graph"
