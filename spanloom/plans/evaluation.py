@@ -359,4 +359,4 @@ def repo_holdout_split(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    return stats.bootstrap_interval(table(spark, sf_dir, "events"), "value", "event_id", ["event_type"], resamples=200)
+    return stats.bootstrap_interval(table(spark, sf_dir, "events"), "value", "event_id", ["event_type"], resamples=10_000)

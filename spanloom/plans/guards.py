@@ -180,4 +180,4 @@ def paired_bootstrap(spark, sf_dir):
     rr = every.join(hit, ["strategy", "task_id"], "left").na.fill(0.0, ["rr"])
     base = rr.where("strategy = 'rrf'").select("task_id", F.col("rr").alias("base"))
     gains = rr.where("strategy <> 'rrf'").join(base, "task_id").select("strategy", "task_id", (F.col("rr") - F.col("base")).alias("gain"))
-    return stats.bootstrap_interval(gains, "gain", "task_id", ["strategy"], resamples=200)
+    return stats.bootstrap_interval(gains, "gain", "task_id", ["strategy"], resamples=1000)

@@ -1,5 +1,6 @@
 """Cases that earlier forms of the engine's queries lost."""
 
+from spanloom.operators import stats
 from spanloom.plans.catalog import QUERIES
 
 
@@ -12,3 +13,10 @@ def test_composed_plans_ask_with_the_whole_item(spark, tmp_path):
     assert [r["path"] for r in fused if "bm25" in r["channels"]] == ["doc/7"]
     got = {r["path"]: r["channels"] for r in QUERIES["fast_context"](spark, str(tmp_path)).collect()}
     assert "bm25" in got["doc/7"] and "symbol" in got["doc/7"] and got["doc/8"] == "graph"
+
+
+def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
+    asked = []
+    monkeypatch.setattr(stats, "bootstrap_interval", lambda *a, resamples=1000, **k: asked.append(resamples))
+    QUERIES["bootstrap_ci"](spark, sf), QUERIES["paired_bootstrap"](spark, sf)
+    assert asked[0] >= 10_000 and asked[1] >= 1000
