@@ -1,35 +1,42 @@
 """Subword encoding, decoding and token counts over a public piece model.
 
 Both operators run a Viterbi trellis over the pieces of a model file and give
-exactly the library's ids. The file's pieces come from ranked merges, so a path
-is not scored by a sum: a step from one piece to the next is allowed or not. It
-is allowed if the two pieces, side by side, would not have merged anywhere
-across their border before they were complete (see ``compatible``). For every
-prefix exactly one last piece has an allowed step from the prefix before it, so
-the maximum over the piece lengths, which is where back-pointers come from, is
-unique. A character without a piece is spelled as bytes (``<0xNN>``).
+exactly the library's ids. The file's pieces come from ranked merges, so pieces
+have no additive score. What is scored is a path: a step from one piece to the
+next costs nothing if it is allowed and rules the path out if it isn't; a
+character without a piece, which is spelled as bytes (``<0xNN>``), costs one. A
+step is allowed if the two pieces, side by side, would not have merged anywhere
+across their border before they were complete (see ``compatible``). The best
+path of every prefix is the maximum over the lengths of its last piece.
 
 A text gets one leading blank, and blanks become U+2581. No piece has that mark
 after another character and none holds a line feed (both checked at load), so a
 text falls into words that are encoded apart: distinct words of a batch once.
-The few words that start with several blanks are merged one by one, since the
-file gives all pieces of blanks the same score.
+Words that start with several blanks go through a heap of merges, since the file
+gives all pieces of blanks the same score. A word of more than LONG characters is
+first cut at every border that no piece of the file spans; what is still longer
+goes through the heap too, so time stays near in proportion to the length.
 
 * ``encode``: batched numpy Viterbi. Words of equal length advance together;
   hashes of their substrings probe the sorted piece keys; the vectorised maximum
   over the piece lengths is kept as a back-pointer.
 * ``count``: a trie of the batch's distinct words, level by level. A prefix that
-  words share is one node, whose last piece and number of ids are computed once
-  from its ancestors; a word's count is read at its terminal node.
+  words share is one node, whose forward score, last piece and number of ids are
+  computed once from its ancestors; a word's count is read at its terminal node.
+* ``decode``: the ids of a batch index one table of piece bytes.
 
 Defined results
 * null or empty text: no ids; it decodes to the empty text.
 * null doc_id, repeated rows: a result row each. Further columns are ignored.
+* very long texts and words: encoded whole; workers keep no word of more than
+  LONG characters from batch to batch.
+* ties: none; at most one last piece of a prefix has an allowed step.
 * empty table: an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -44,16 +51,48 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Scores under this are shared by several pieces (runs of blanks).
 SHARED_SCORE = -1e8
-#: Words that a worker keeps between batches.
-CACHED_WORDS = 400_000
-#: Last pieces: not set yet, a character without a piece, and the start.
-OPEN, LONE, START = -3, -2, -1
+#: Words that a worker keeps between batches; longer ones than LONG are not kept.
+CACHED_WORDS = 600_000
+LONG = 256
+#: Words of one trellis, and ids that are decoded at once.
+LANES, DECODED = 1 << 13, 1 << 20
+#: A path that no allowed step continues.
+IMPOSSIBLE = -(1 << 40)
+#: Last pieces: a character without a piece, and the start.
+LONE, START = -2, -1
 _P = 0x9E3779B97F4A7C15 | 1
 _ALL = 0xFFFFFFFFFFFFFFFF
 _U = np.uint64
+_SALT, _MIX = 0xC2B2AE3D27D4EB4F, np.uint64(0x9E3779B97F4A7C15)
 _MODELS: dict[str, "PieceModel"] = {}
 
 
+class Kept(dict):
+    """Values by word, in two generations, so that memory stays bounded."""
+
+    def __init__(self, total):
+        super().__init__()
+        self.total, self.older = total, {}
+
+    def recalled(self, words: set[str]) -> set[str]:
+        """Takes words over from the older generation; returns the unknown ones."""
+        missing = words - self.keys()
+        back = missing & self.older.keys()
+        self.update((w, self.older[w]) for w in back)
+        return missing - back
+
+    def joined(self, words) -> bytes | int:
+        return self.total(map(self.__getitem__, words))
+
+    def age(self) -> None:
+        """After a batch: long words go, and a full generation becomes the older."""
+        for w in [w for w in self if len(w) > LONG]:
+            del self[w]
+        if len(self) > CACHED_WORDS // 2:
+            self.older = dict(self)
+            self.clear()
+
+
 class PieceModel:
     """Pieces by rank: single characters first, then merges, best score first."""
 
@@ -73,8 +112,7 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces):
             raise ValueError("a piece crosses a word boundary")
         self.pieces = pieces
-        self.text_of = {i: p for p, (i, _) in pieces.items()}
-        self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self._table()
         ranked = sorted(
             (p for p, (_, s) in pieces.items() if len(p) == 1 or s > SHARED_SCORE), key=lambda p: (len(p) > 1, -pieces[p][1])
         )
@@ -91,9 +129,17 @@ class PieceModel:
         self.codes = np.zeros((len(usable), self.longest), np.uint32)
         for row, r in zip(self.codes, self.ranks.tolist()):
             row[: len(ranked[r])] = [ord(c) for c in ranked[r]]
-        self.powers = [pow(_P, k, _ALL + 1) for k in range(self.longest + 1)]
-        self.encoded: dict[str, bytes] = {}
-        self.counted: dict[str, int] = {}
+        # By length, longest first, as the columns of a trellis step.
+        lengths = range(self.longest, 0, -1)
+        self.powers = np.array([pow(_P, k, _ALL + 1) for k in lengths], np.uint64)
+        self.salts = np.array([k * _SALT & _ALL for k in lengths], np.uint64)
+        # Most substrings are no piece: a bitmap spares them the sorted search.
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.keys * _MIX) >> _U(44)] = True
+        # Marks that no piece has after a letter, so that a word can be cut before them.
+        after = {b for p in pieces for a, b in zip(p, p[1:]) if a.isalpha()}
+        self.marks = "".join(c for c in ".,;:!?)]}\"'*&$%#" if c not in after)
+        self.encoded, self.counted = Kept(b"".join), Kept(sum)
         self._seen = np.full(1 << 20, -1, np.int64)
         self._verdict = np.zeros(1 << 20, bool)
 
@@ -138,13 +184,49 @@ class PieceModel:
         h = 0
         for c in piece:
             h = (h * _P + ord(c)) & _ALL
-        return (h ^ (len(piece) * 0xC2B2AE3D27D4EB4F)) & _ALL
-
-    def probe(self, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place, found) of substrings by polynomial hash and length."""
-        keys = hashes ^ _U(length * 0xC2B2AE3D27D4EB4F & _ALL)
-        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return place, self.keys[place] == keys
+        return (h ^ (len(piece) * _SALT)) & _ALL
+
+    def _table(self) -> None:
+        """The bytes that each id decodes to, in one array."""
+        parts = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()}
+        parts |= {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
+        every = [parts.get(i, b"") for i in range(max(parts) + 1)]
+        self.sizes = np.fromiter(map(len, every), np.int64, len(every))
+        self.places = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(every), np.uint8)
+
+    def advance(
+        self, end: np.ndarray, start: np.ndarray, last: np.ndarray, score: np.ndarray, tail: list[np.ndarray]
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, length, last piece) of the best path to each row's end.
+
+        ``end`` is the rolling hash of a row's prefix; column c of ``start``,
+        ``last`` and ``score`` stands for the prefix that is width - c characters
+        shorter; ``tail[k]`` is the character k places before the end.
+        """
+        n, width = start.shape
+        keys = (end[:, None] - start * self.powers[-width:]) ^ self.salts[-width:]
+        row, col = np.nonzero(self.maybe[(keys * _MIX) >> _U(44)])
+        sought = keys[row, col]
+        place = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+        found = self.keys[place] == sought
+        row, col, place = row[found], col[found], place[found]
+        rank = self.ranks[place]
+        total = np.full((n, width), IMPOSSIBLE, np.int64)
+        total[row, col] = np.where(self.compatible(last[row, col], rank), score[row, col], IMPOSSIBLE)
+        where = np.full((n, width), -1, np.int64)
+        where[row, col] = place
+        best, rows = total.argmax(axis=1), np.arange(n)
+        top, place = total[rows, best], where[rows, best]
+        lone = score[:, -1] - 1
+        spelled = lone > top
+        length = np.where(spelled, 1, width - best)
+        # Equal hashes are not yet equal pieces.
+        for k in range(int(length.max(initial=0))):
+            some = np.flatnonzero((length > k) & ~spelled)
+            if (self.codes[place[some], length[some] - 1 - k] != tail[k][some]).any():
+                raise LookupError("a substring has the key of another piece")
+        return np.maximum(top, lone), length, np.where(spelled, LONE, self.ranks[place])
 
     def compatible(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether ``piece`` may follow the last piece ``before``.
@@ -195,30 +277,22 @@ class PieceModel:
         return re.findall(f"\n|{MARK}*[^\n{MARK}]+|{MARK}+", marked)
 
     # ----------------------------------------------------------------- Viterbi
-    def _viterbi(self, words: list[str]) -> list[np.ndarray]:
+    def _viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words that all have the same length."""
         n, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
         rolled = np.zeros((n, size + 1), np.uint64)
         for i in range(size):
             rolled[:, i + 1] = rolled[:, i] * _U(_P) + codes[:, i]
-        last = np.full((n, size + 1), OPEN, np.int64)
-        last[:, 0] = START
-        back = np.ones((n, size + 1), np.int8)
+        last = np.full((n, size + 1), START, np.int64)
+        score = np.zeros((n, size + 1), np.int64)
+        back = np.ones((n, size + 1), np.int64)
         for end in range(1, size + 1):
-            rows = np.arange(n)
-            for length in range(min(self.longest, end), 0, -1):
-                part = rolled[rows, end] - rolled[rows, end - length] * _U(self.powers[length])
-                place, found = self.probe(part, length)
-                hit, at = rows[found], place[found]
-                same = (self.codes[at, :length] == codes[hit, end - length : end]).all(axis=1)
-                hit, rank = hit[same], self.ranks[at[same]]
-                good = self.compatible(last[hit, end - length], rank)
-                last[hit[good], end], back[hit[good], end] = rank[good], length
-                rows = rows[last[rows, end] == OPEN]
-                if not len(rows):
-                    break
-            last[rows, end] = LONE
+            low = max(0, end - self.longest)
+            tail = [codes[:, end - 1 - k] for k in range(end - low)]
+            score[:, end], back[:, end], last[:, end] = self.advance(
+                rolled[:, end], rolled[:, low:end], last[:, low:end], score[:, low:end], tail
+            )
         ids = np.where(last >= 0, self.id_of_rank[np.maximum(last, 0)], -1)
         ids[:, 1:] = np.where(ids[:, 1:] < 0, -1 - codes.astype(np.int64), ids[:, 1:])
         path = np.zeros((n, size + 1), bool)
@@ -228,98 +302,158 @@ class PieceModel:
             at[rows] -= back[rows, at[rows]]
             rows = rows[at[rows] > 0]
         flat = ids[path]
-        cuts = np.cumsum(path.sum(axis=1))[:-1]
-        return [self._spelled(x) for x in np.split(flat, cuts)]
+        ends = np.cumsum(path.sum(axis=1))
+        cuts = [0, *(ends * 4).tolist()]
+        held = flat.astype("<u4").tobytes()
+        out = [held[a:b] for a, b in zip(cuts, cuts[1:])]
+        for k in np.flatnonzero(score[:, -1] < 0).tolist():
+            out[k] = self._spelled(flat[cuts[k] // 4 : cuts[k + 1] // 4].tolist())
+        return out
 
-    def _spelled(self, ids: np.ndarray) -> np.ndarray:
-        if not len(ids) or ids.min() >= 0:
-            return ids.astype("<u4")
+    def _spelled(self, ids: list[int]) -> bytes:
+        """Ids in which -1 - c stands for the bytes of character c."""
         out = []
-        for i in ids.tolist():
+        for i in ids:
             out += [i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode("utf-8", "replace")]
-        return np.array(out, "<u4")
-
-    def _merged(self, word: str) -> np.ndarray:
-        """Ids of one word by repeated merges of its best, leftmost pair."""
-        parts = list(word)
-        while True:
-            found = [(-self.pieces[a + b][1], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.pieces]
-            if not found:
-                break
-            k = min(found)[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        ids = [self.pieces[p][0] if p in self.pieces else -1 - ord(p) for p in parts]
-        return self._spelled(np.array(ids, np.int64))
+        return np.array(out, "<u4").tobytes()
+
+    def _merged(self, word: str) -> bytes:
+        """Ids of one word by merges of its best, leftmost pair, from a heap."""
+        parts: list[str | None] = list(word)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            if i >= 0 and j < len(parts):
+                both = parts[i] + parts[j]
+                if both in self.pieces:
+                    heapq.heappush(heap, (-self.pieces[both][1], i, j, both))
+
+        for i in range(len(parts) - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, j, both = heapq.heappop(heap)
+            if parts[i] is None or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
+                continue
+            parts[i], parts[j] = both, None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(before[i], i)
+            offer(i, after[i])
+        return self._spelled([self.pieces[p][0] if p in self.pieces else -1 - ord(p) for p in parts if p is not None])
+
+    def _cut(self, word: str) -> list[str]:
+        """The parts of a long word between borders that no piece spans."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        spans = np.zeros(len(codes) + 1, np.int64)
+        for low in range(0, len(codes), 1 << 18):
+            part = codes[low : low + (1 << 18) + self.longest - 1].astype(np.uint64)
+            h = np.zeros(len(part), np.uint64)
+            for length in range(1, min(self.longest, len(part)) + 1):
+                h = h[: len(part) - length + 1] * _U(_P) + part[length - 1 :]
+                if length > 1:
+                    keys = h ^ self.salts[-length]
+                    some = np.flatnonzero(self.maybe[(keys * _MIX) >> _U(44)])
+                    place = np.minimum(np.searchsorted(self.keys, keys[some]), len(self.keys) - 1)
+                    some = some[self.keys[place] == keys[some]] + low
+                    np.add.at(spans, some + 1, 1)
+                    np.add.at(spans, some + length, -1)
+        cuts = np.flatnonzero(np.cumsum(spans)[1:-1] == 0) + 1
+        cuts = [0, *cuts.tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _resolved(self, texts: list[str | None], known: "Kept", by_heap, by_batch) -> list[list[str]]:
+        """Each text's words; ``known`` then has a value for every one of them.
+        A word's value is the sum of its parts' values."""
+        split = [self.words(t or "") for t in texts]
+        missing = known.recalled(set().union(*split))
+        batch, parts = set(), []
+        for w in missing:
+            if w[:2] == MARK * 2:
+                known[w] = by_heap(w)
+            elif len(w) > LONG:
+                parts.append((w, self._cut(w)))
+            else:
+                stem = w.rstrip(self.marks)
+                if len(stem) < len(w) and stem and stem[-1].isalpha():
+                    parts.append((w, (stem, w[len(stem) :])))
+                else:
+                    batch.add(w)
+        for p in known.recalled({p for _, ps in parts for p in ps}):
+            if len(p) > LONG:
+                known[p] = by_heap(p)
+            else:
+                batch.add(p)
+        known.update(by_batch(list(batch)))
+        for w, ps in parts:
+            known[w] = known.joined(ps)
+        return split
+
+    def _by_length(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        groups: dict[int, list[str]] = {}
+        for w in words:
+            groups.setdefault(len(w), []).append(w)
+        for group in groups.values():
+            for at in range(0, len(group), LANES):
+                part = group[at : at + LANES]
+                try:
+                    yield from zip(part, self._viterbi(part))
+                except LookupError:
+                    yield from ((w, self._merged(w)) for w in part)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.words(t or "") for t in texts]
-        wanted = set().union(*split)
-        missing: dict[int, list[str]] = {}
-        for w in wanted:
-            if w not in self.encoded:
-                if w.startswith(MARK * 2):
-                    self.encoded[w] = self._merged(w).tobytes()
-                else:
-                    missing.setdefault(len(w), []).append(w)
-        for size, group in missing.items():
-            step = max(1, 400_000 // (size * 8))
-            for at in range(0, len(group), step):
-                part = group[at : at + step]
-                self.encoded.update(zip(part, (ids.tobytes() for ids in self._viterbi(part))))
-        out = [b"".join(map(self.encoded.__getitem__, words)) for words in split]
-        if len(self.encoded) > CACHED_WORDS:
-            self.encoded = {w: self.encoded[w] for w in wanted} if len(wanted) < CACHED_WORDS else {}
+        split = self._resolved(texts, self.encoded, self._merged, self._by_length)
+        out = list(map(self.encoded.joined, split))
+        self.encoded.age()
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of encoded ids: bytes are joined, the leading blank goes."""
-        out, held = [], bytearray()
-        for i in ids.tolist():
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(self.text_of[i])
-        out.append(held.decode("utf-8", "replace"))
-        return "".join(out)[1:].replace(MARK, " ")
+    def decode(self, encoded: list[bytes]) -> list[str]:
+        """The texts of encoded ids: bytes are joined, the leading blank goes."""
+        ids = np.frombuffer(b"".join(encoded), "<u4")
+        ends = np.zeros(len(ids) + 1, np.int64)
+        held = []
+        for at in range(0, len(ids), DECODED):
+            part = ids[at : at + DECODED]
+            size = self.sizes[part]
+            stop = np.cumsum(size)
+            ends[at + 1 : at + 1 + len(part)] = ends[at] + stop
+            place = np.repeat(self.places[part] - (stop - size), size) + np.arange(stop[-1])
+            held.append(self.bytes[place].tobytes())
+        data = b"".join(held)
+        stops = ends[np.cumsum([0, *(len(x) // 4 for x in encoded)])].tolist()
+        return [data[a:b].decode("utf-8", "replace")[1:] for a, b in zip(stops, stops[1:])]
 
     # -------------------------------------------------------------------- trie
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of ids of each text."""
-        split = [self.words(t or "") for t in texts]
-        wanted = set().union(*split)
-        missing = []
-        for w in wanted:
-            if w not in self.counted:
-                if w.startswith(MARK * 2):
-                    self.counted[w] = len(self._merged(w))
-                else:
-                    missing.append(w)
-        missing.sort()
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.counted.update(zip(part, self._trie_counts(part)))
-        out = [sum(map(self.counted.__getitem__, words)) for words in split]
-        if len(self.counted) > CACHED_WORDS:
-            self.counted = {w: self.counted[w] for w in wanted} if len(wanted) < CACHED_WORDS else {}
+        split = self._resolved(texts, self.counted, lambda w: len(self._merged(w)) // 4, self._by_trie)
+        out = list(map(self.counted.joined, split))
+        self.counted.age()
         return out
 
+    def _by_trie(self, words: list[str]) -> Iterator[tuple[str, int]]:
+        words.sort()
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            try:
+                yield from zip(part, self._trie_counts(part))
+            except LookupError:
+                yield from ((w, len(self._merged(w)) // 4) for w in part)
+
     def _trie_counts(self, words: list[str]) -> list[int]:
         """Terminal counts of sorted distinct words. Level d holds a node for
         each distinct prefix of d characters, in sorted order."""
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
+        starts = np.cumsum(lengths) - lengths
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         out = np.zeros(n, np.int64)
         alive, node = np.arange(n), np.zeros(n, np.int64)
-        # For each of the last levels: hash, last piece, ids, parent and code of its nodes.
+        # The last levels' nodes: hash, last piece, score, ids, parent and code.
         root = np.zeros(1, np.int64)
-        levels = [(np.zeros(1, np.uint64), root + START, root, root, np.zeros(1, np.uint32))]
+        levels = [(np.zeros(1, np.uint64), root + START, root, root, root, np.zeros(1, np.uint32))]
         depth = 0
         while len(alive):
             depth += 1
@@ -330,32 +464,18 @@ class PieceModel:
             node[alive] = np.cumsum(fresh) - 1
             parent, code = parent[fresh], code[fresh]
             hashes = levels[-1][0][parent] * _U(_P) + code
-            last = np.full(len(parent), OPEN, np.int64)
-            count = np.zeros(len(parent), np.int64)
-            # up[k]: each node's ancestor k levels above; tail: its last characters.
-            up, tail = [np.arange(len(parent)), parent], [code]
-            for k in range(2, min(self.longest, depth) + 1):
-                above = levels[-(k - 1)]
-                tail.append(above[4][up[-1]])
-                up.append(above[3][up[-1]])
-            rows = np.arange(len(parent))
-            for length in range(min(self.longest, depth), 0, -1):
-                above, start = levels[-length], up[length][rows]
-                place, found = self.probe(hashes[rows] - above[0][start] * _U(self.powers[length]), length)
-                hit, at, start = rows[found], place[found], start[found]
-                same = np.ones(len(hit), bool)
-                for k in range(length):
-                    same &= self.codes[at, length - 1 - k] == tail[k][hit]
-                hit, rank, start = hit[same], self.ranks[at[same]], start[same]
-                good = self.compatible(above[1][start], rank)
-                hit, rank, start = hit[good], rank[good], start[good]
-                last[hit], count[hit] = rank, above[2][start] + 1
-                rows = rows[last[rows] == OPEN]
-            spelled = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
-            last[rows] = LONE
-            count[rows] = levels[-1][2][parent[rows]] + spelled[rows]
-            levels.append((hashes, last, count, parent, code))
-            if len(levels) > self.longest + 1:
+            # up[k]: each node's ancestor k + 1 levels above; tail: its last characters.
+            up, tail = [parent], [code]
+            for k in range(1, min(self.longest, depth)):
+                above = levels[-k]
+                tail.append(above[5][up[-1]])
+                up.append(above[4][up[-1]])
+            column = lambda field: np.stack([levels[-k][field][up[k - 1]] for k in range(len(up), 0, -1)], axis=1)
+            score, length, last = self.advance(hashes, column(0), column(1), column(2), tail)
+            spelled = np.where(last == LONE, 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF), 1)
+            count = column(3)[np.arange(len(code)), len(up) - length] + spelled
+            levels.append((hashes, last, score, count, parent, code))
+            if len(levels) > self.longest:
                 levels.pop(0)
             done = lengths[alive] == depth
             out[alive[done]] = count[node[alive[done]]]
@@ -381,7 +501,7 @@ def encoded(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
                 ids = pieces.encode(some.column("_text_in").to_pylist())
-                texts = [pieces.decode(np.frombuffer(x, "<u4")) for x in ids]
+                texts = pieces.decode(ids)
                 columns = [*[some.column(k) for k in keep], pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
 
@@ -401,7 +521,7 @@ def encoding_report(docs: DataFrame, path: str | None = None, with_ids: bool = F
                 some = batch.slice(at, 2048)
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 ids = pieces.encode(texts)
-                back = [pieces.decode(np.frombuffer(x, "<u4")) for x in ids]
+                back = pieces.decode(ids)
                 columns = [
                     some.column("doc_id"),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
