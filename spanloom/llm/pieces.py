@@ -409,7 +409,11 @@ class PieceModel:
         self.encoded.age()
         return out
 
-    def decode(self, encoded: list[bytes]) -> list[str]:
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of one sequence of ids."""
+        return self.decode_all([np.asarray(ids, "<u4").tobytes()])[0]
+
+    def decode_all(self, encoded: list[bytes]) -> list[str]:
         """The texts of encoded ids: bytes are joined, the leading blank goes."""
         ids = np.frombuffer(b"".join(encoded), "<u4")
         ends = np.zeros(len(ids) + 1, np.int64)
@@ -501,7 +505,7 @@ def encoded(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
                 ids = pieces.encode(some.column("_text_in").to_pylist())
-                texts = pieces.decode(ids)
+                texts = pieces.decode_all(ids)
                 columns = [*[some.column(k) for k in keep], pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [*keep, "ids", "decoded"])
 
@@ -521,7 +525,7 @@ def encoding_report(docs: DataFrame, path: str | None = None, with_ids: bool = F
                 some = batch.slice(at, 2048)
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 ids = pieces.encode(texts)
-                back = pieces.decode(ids)
+                back = pieces.decode_all(ids)
                 columns = [
                     some.column("doc_id"),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),

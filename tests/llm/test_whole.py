@@ -1,10 +1,15 @@
 """Cases that earlier forms of the corpus operators lost."""
 
+import time
 import zlib
 
+import numpy as np
+import public_tokenizers
 import pyarrow.parquet as pq
+import pytest
+import sentencepiece
 
-from spanloom.llm import simhash, toxicity
+from spanloom.llm import pieces, simhash, toxicity
 
 
 def test_toxicity_pools_the_forms_of_a_word():
@@ -29,3 +34,16 @@ def test_an_id_on_two_texts_loses_neither(spark):
     assert sorted(map(tuple, simhash.keep_one_of_each(docs).collect())) == sorted([(1, a), (1, b)])
     alone = spark.createDataFrame([(1, a), (1, b), (0, a.upper())], "doc_id long, text string")
     assert sorted(map(tuple, simhash.keep_one_of_each(alone).collect())) == sorted([(0, a.upper()), (1, b)])
+
+
+@pytest.mark.parametrize("part", [" ", "中文字符测试", "aZ3/", "x", "▁"])
+def test_a_megabyte_in_one_word(part):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.model(path)
+    text = part * (1_000_000 // len(part))
+    start = time.perf_counter()
+    ids = own.encode([text])[0]
+    assert own.decode_all([ids]) == [text.replace("▁", " ")] and own.count([text]) == [len(ids) // 4]
+    assert time.perf_counter() - start < 60
+    some = text[:20_000]
+    assert np.frombuffer(own.encode([some])[0], "<u4").tolist() == library.encode(some)
