@@ -3,6 +3,7 @@ the shared checkpoint folder, and null-safe row keys."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,17 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a notebook) a folder of this machine is made and set for the session."""
+    """The folder in ``spark.checkpoint.dir``; only where that is unset and all
+    tasks run in this process (tests, a notebook) a folder of this machine is
+    made and set for the session. A cluster without the setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spanloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/spanloom-{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_spanloom_scratch", set()).add(path)
+    return path
+
+
+def sweep(spark: SparkSession, *, keep: set[str]) -> None:
+    """Deletes this session's scratch folders but for those in ``keep``; only
+    for callers that know that no plan they still hold reads the others."""
+    made = spark.sparkContext.__dict__.setdefault("_spanloom_scratch", set())
+    for path in made - keep:
+        remove_scratch(spark, path)
+    made &= keep
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +63,27 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with underscores until no column of ``df`` has the name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Rows of two longs up to which a set of keys is broadcast (some 64 MB).
+BROADCAST_KEYS = 1_000_000
+
+
+def few(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (counting
+    stops there); otherwise as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def doc_crc(doc_id: Column) -> Column:
     """crc32 of the id as text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))
