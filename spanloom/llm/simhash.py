@@ -16,13 +16,19 @@ Defined results
 * null doc_id: the row is kept; its component is the smallest non-null doc_id
   that it reaches, or null when there is none.
 * repeated rows and ids: one output row for each input row.
+* very long texts: hashed whole, shingle by shingle.
+* ties: none; a component is named by its smallest id, a leader is the smallest
+  of (id, text hash), and of rows that repeat a leader the smallest row hash.
 * empty table: an empty result. Further columns of the input are ignored.
+
+The radius is fixed at RADIUS = 3 by the two counters of ``near_lanes``. Copies
+that were edited more than that leaves room for are no links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove_scratch, scratch_path, written
+from .common import few, free_names, remove_scratch, scratch_path, text_hash, written
 
 RADIUS = 3
 #: Bit ranges (low, width) of the five blocks.
@@ -210,46 +216,53 @@ def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _block_keys() -> list:
-    """Each table's key: its number and two of the five blocks of bits."""
+    """Each table's key (its number and two of the five blocks of bits) with the
+    bits of the other three blocks."""
     def block(low: int, width: int):
         return F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1))
 
-    return [
-        F.lit(t).cast("bigint") * (1 << 26) + block(*x) * (1 << 13) + block(*y)
-        for t, (x, y) in enumerate(combinations(BLOCKS, 2))
-    ]
+    out = []
+    for t, (x, y) in enumerate(combinations(BLOCKS, 2)):
+        first, second, third = (block(*z) for z in BLOCKS if z not in (x, y))
+        key = F.lit(t).cast("bigint") * (1 << 26) + block(*x) * (1 << 13) + block(*y)
+        out.append(F.struct(key.alias("key"), (first * (1 << 26) + second * (1 << 13) + third).alias("rest")))
+    return out
 
 
 def fingerprint_links(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints of ``classes`` (fp) at
     RADIUS or fewer differing bits into the same components.
 
-    A bucket of more than ``chunk`` fingerprints is cut by hash into c chunks
-    and each pair of chunks meets in a group of its own, so no task holds a
-    whole hot bucket. The hot keys are at most rows / chunk many; the optimiser
-    decides by their measured size whether that join is broadcast.
+    A bucket of more than ``chunk`` fingerprints is split by the bits that its
+    key leaves open: of four parts of them, two fingerprints in reach agree on
+    one at least. A part's bucket that is still larger is cut by hash into
+    chunks and each pair of chunks meets in a group of its own, so no task holds
+    a whole hot bucket. Hot keys are at most rows / chunk many; the optimiser
+    decides by their measured size whether those joins are broadcast.
     """
-    keyed = classes.select("fp", F.explode(F.array(*_block_keys())).alias("key"))
-    hot = (
-        keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-        .select("key", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks"))
-    )
+    keyed = classes.select("fp", F.explode(F.array(*_block_keys())).alias("k")).select("fp", "k.key", "k.rest")
+    large = lambda rows, *by: rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    hot = large(keyed, "key").select("key", F.lit(True).alias("hot"))
+    part = lambda j: F.lit(j << 10).cast("bigint") + F.shiftrightunsigned("rest", 10 * j).bitwiseAND(F.lit(1023))
+    sub = F.when(F.col("hot"), F.array(*map(part, range(RADIUS + 1)))).otherwise(F.array(F.lit(-1).cast("bigint")))
+    spread = keyed.join(hot, "key", "left").select("key", "fp", F.explode(sub).alias("sub"))
+    cut = large(spread.where("sub >= 0"), "key", "sub").select("key", "sub", F.ceil(F.col("n") / F.lit(chunk)).cast("int").alias("chunks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     split = (
-        keyed.join(hot, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        .select("key", "fp", mine.alias("mine"), other.alias("other"))
-        .select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
+        spread.join(cut, ["key", "sub"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        .select("key", "sub", "fp", mine.alias("mine"), other.alias("other"))
+        .select("key", "sub", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp")
     )
     buckets = (
-        split.groupBy("key", "lo", "hi").agg(F.collect_list("fp").alias("fps"))
+        split.groupBy("key", "sub", "lo", "hi").agg(F.collect_list("fp").alias("fps"))
         .where(F.size("fps") > 1).select("fps")
     )
     return buckets.mapInArrow(_forest_batches, "a bigint, b bigint").distinct()
 
 
 # ------------------------------------------------------------------ components
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest
     node of its component. Alternates large-star and small-star rounds until a
     round changes nothing; only two numbers of a round reach the driver."""
@@ -258,7 +271,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().write.parquet(path)
     edges = spark.read.parquet(path)
     mark = None
-    for _ in range(max_rounds):
+    for _ in count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -274,7 +287,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -303,15 +315,27 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that lead their component: the smallest doc_id
     (null last), then the smallest text hash. Rows that repeat both the id and
-    the text of a leader count as its copies."""
-    from .common import text_hash
-
-    keyed = docs.withColumn("_text_hash", text_hash(F.col("text")))
-    found = near_duplicates(keyed.select("doc_id", "_text_hash", "text"), ("doc_id", "_text_hash"))
-    rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_text_hash")
-    leaders = (
-        found.groupBy("root").agg(F.min(rank).alias("r"))
-        .select(F.col("r.doc_id").alias("_lead"), F.col("r._text_hash").alias("_lead_hash"))
-    )
-    same = keyed.doc_id.eqNullSafe(leaders._lead) & (keyed._text_hash == leaders._lead_hash)
-    return keyed.join(leaders, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    the text of a leader count as its copies: the one whose columns have the
+    smallest hash stays.
+
+    Decisions are made on keys. A row is looked up by a broadcast of the keys
+    that go, where those are few enough, so that texts aren't shuffled.
+    """
+    (hashed,) = free_names(docs, "hash")
+    keys = docs.select("doc_id", text_hash(F.col("text")).alias(hashed), "text")
+    found = near_duplicates(keys, ("doc_id", hashed)).select("root", F.col("doc_id").alias("id"), F.col(hashed).alias("h"))
+    rank = F.struct(F.col("id").isNull().alias("n"), "id", "h")
+    leaders = found.groupBy("root").agg(F.min(rank).alias("lead"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    groups = found.join(leaders, "root").groupBy("id", "h", "lead").agg(F.count("*").alias("n"))
+    leads = F.col("lead.id").eqNullSafe(F.col("id")) & (F.col("lead.h") == F.col("h"))
+    verdicts = groups.select("id", "h", leads.alias("leads"), "n").where("not leads or n > 1")
+    verdicts = written(verdicts, "verdicts")
+    row, mine = free_names(docs, "row", "mine")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("doc_id").alias(mine), text_hash(F.col("text")).alias(hashed))
+    same = F.col(mine).eqNullSafe(F.col("id")) & (F.col(hashed) == F.col("h"))
+    out = rows.join(few(verdicts.select("id", "h")), same, "left_anti").select(f"{row}.*")
+    again = verdicts.where("leads").select("id", "h")
+    if again.isEmpty():
+        return out
+    once = rows.join(few(again), same).groupBy("id", "h").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(row))
+    return out.unionByName(once.select(f"{row}.*"))
