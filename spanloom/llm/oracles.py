@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, quality, secrets
+from . import quality, secrets
 
 
 def _located(name: str, kind: int, pattern: str) -> str:
@@ -35,25 +35,19 @@ FROM docs LEFT JOIN b USING (rid) LEFT JOIN r USING (rid)"""
 
 
 def _overlaps() -> str:
-    def seeds(words: str, key: str) -> str:
-        parts = []
-        for m, offsets in enumerate(decontam.MASKS):
-            picked = " || ' ' || ".join(f"w[i + {o + 1}]" for o in offsets)
-            parts.append(
-                f"SELECT {key}, {m} AS m, i, {picked} AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {offsets[-1]})) AS i FROM {words})"
-            )
-        return " UNION ALL ".join(parts)
-
+    """Every window of every alignment that shares a run of words: an item's
+    window with t different words has t + 1 runs of equal ones, one of them of
+    4 words or more (13 words, t = 2), of 3 (7 to 12 words, t = 1), or all."""
     words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
-    return f"""WITH dw AS (SELECT row_number() OVER () AS did, doc_id, {words} AS w FROM documents),
-iw AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= 6 GROUP BY w),
-ds AS ({seeds('dw', 'did')}), bs AS ({seeds('iw', 'item_id')}),
-h AS (SELECT ds.did, bs.item_id, bs.i AS p, ds.i - bs.i AS d FROM ds JOIN bs ON ds.m = bs.m AND ds.seed = bs.seed),
-c AS (SELECT dw.doc_id, h.item_id, least(13, len(iw.w)) AS k, p, d, dw.w AS a, iw.w AS b FROM h JOIN dw USING (did) JOIN iw USING (item_id)),
-g AS (SELECT *, greatest(p - k + 1, 0, -d) AS lo, least(p + k, len(b), len(a) - d) AS hi FROM c),
-q AS (SELECT doc_id, item_id, k, lo + d AS first_word, hi + d - 1 AS last_word, list_transform(list_zip(a[lo + d + 1 : hi + d], b[lo + 1 : hi]), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END) AS eq FROM g),
-v AS (SELECT doc_id, item_id, k, first_word, last_word, list_max(list_transform(range(0, greatest(len(eq) - k, 0) + 1), lambda s: list_sum(eq[s + 1 : s + k]))) AS matched FROM q)
-SELECT doc_id, item_id, max(matched)::INTEGER AS matched, min(first_word)::INTEGER AS first_word, max(last_word)::INTEGER AS last_word, count(*) AS n_hits FROM v WHERE matched >= CASE WHEN k = 13 THEN 11 ELSE k END GROUP BY doc_id, item_id"""
+    at = lambda table, key: f"SELECT {key}, i, w[i + 1] AS w0, w[i + 2] AS w1, w[i + 3] AS w2, w[i + 4] AS w3 FROM (SELECT {key}, w, unnest(range(0, len(w))) AS i FROM {table})"
+    run = lambda n, where: "SELECT DISTINCT did, item, dp.i - ip.i AS d FROM dp JOIN ip ON " + " AND ".join(f"dp.w{k} = ip.w{k}" for k in range(n)) + f" JOIN iw USING (item) WHERE {where}"
+    return f"""WITH dw AS MATERIALIZED (SELECT row_number() OVER () AS did, doc_id, {words} AS w FROM documents),
+iw AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, w, least(13, len(w)) AS k FROM (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0 GROUP BY w)),
+dp AS MATERIALIZED ({at('dw', 'did')}), ip AS MATERIALIZED ({at('iw', 'item')}),
+g AS ({run(4, 'k = 13')} UNION {run(3, 'k BETWEEN 7 AND 12')} UNION {run(1, 'k < 7')}),
+p AS (SELECT doc_id, item_id, k, d, dw.w AS a, iw.w AS b, unnest(range(greatest(0, -d), least(len(b), len(a) - d) - k + 1)) AS p FROM g JOIN dw USING (did) JOIN iw USING (item)),
+v AS (SELECT doc_id, item_id, k, p + d AS start, list_sum(list_transform(list_zip(a[p + d + 1 : p + d + k], b[p + 1 : p + k]), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END)) AS n FROM p)
+SELECT doc_id, item_id, max(n)::INTEGER AS matched, min(start)::INTEGER AS first_word, max(start + k - 1)::INTEGER AS last_word FROM v WHERE n >= k - k * 2 // 13 GROUP BY doc_id, item_id"""
 
 
 WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS first_id, strlen(any_value(h)) >= 100 AND count(*) > 1 AS many FROM p GROUP BY h)
@@ -68,6 +62,7 @@ def _quality() -> str:
         "100 * n_distinct < 5 * n_words")))
     space = "[\\x20\\x09-\\x0D]"
     base = quality.mask_of(quality.POLICIES["base"])
+    alone = " ".join(f"WHEN {1 << i} THEN '{rule}'" for i, rule in enumerate(quality.RULES))
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT rid, doc_id, t, list_filter(string_split_regex(t, '{space}+'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 u AS (SELECT rid, unnest(range(0, len(w))) AS i, unnest(w) AS w0 FROM m), p AS (SELECT rid, i, w0, lead(w0) OVER o AS w1, lead(w0, 2) OVER o AS w2 FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
@@ -75,8 +70,9 @@ g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w0, w1, w2) AS c FROM p WH
 r AS (SELECT rid, count(DISTINCT j) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM g WHERE c > 1) GROUP BY rid),
 x AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '{space}', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
  coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS n_letters, len(list_distinct(w)) AS n_distinct FROM m LEFT JOIN r USING (rid)),
-f AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM x)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {base} <> 0 AS base_failed, fail_bits & {base} = 0 AND fail_bits & {quality.mask_of(quality.POLICIES['v2'])} = 0 AS kept, fail_bits FROM f"""
+f AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM x),
+z AS (SELECT *, CASE fail_bits {alone} END AS sole_rule FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & {base} <> 0 AS base_failed, fail_bits & {base} = 0 AND fail_bits & {quality.mask_of(quality.POLICIES['v2'])} = 0 AS kept, fail_bits, sole_rule, CASE WHEN sole_rule IS NOT NULL THEN count(*) OVER (PARTITION BY sole_rule) END AS n_sole FROM z"""
 
 
 ORACLES = {

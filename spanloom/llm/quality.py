@@ -7,6 +7,8 @@ rules are bit operations on the ledger, which never read a text again.
 
 Defined results
 * null or empty text: all measurements are zero; it fails ``few_words``.
+* very long texts: measured whole. Ties: none.
+* letters and capitals are the Unicode categories L and Lu.
 * null doc_id and repeated rows: a ledger row each.
 * empty table: an empty ledger. Further columns are ignored.
 """
@@ -15,11 +17,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 MEASURES = (
@@ -42,7 +47,7 @@ def measure(text: str | None) -> tuple[int, ...]:
             if line in seen:
                 duplicates += 1
             seen.add(line)
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
+    upper = sum(text.count(c) for c in set(text) if c.isupper() and category(c) == "Lu")
     letters = sum(map(str.isalpha, text))
     return len(words), chars, symbols, duplicates, repeated_words(words), lines, upper, letters, len(set(words))
 
@@ -131,9 +136,25 @@ def ablations(ledger_rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
+def alone(policy: str) -> Column:
+    """The rule without which ``policy`` would keep a row that it rejects; null
+    if there is none or more than one."""
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask_of(POLICIES[policy])).cast("long"))
+    out = F.lit(None).cast("string")
+    for i, name in enumerate(RULES):
+        out = F.when(failed == 1 << i, F.lit(name)).otherwise(out)
+    return out
+
+
 def quality_report(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """doc_id, the five base measurements, base_failed, kept, fail_bits."""
-    return ledger(docs).select(
+    """doc_id, the five base measurements, base_failed, kept, fail_bits; sole_rule
+    (the one rule that rejects the row under ``policy``) and n_sole (how many
+    rows of the corpus dropping that rule would bring back, an ablation)."""
+    rows = written(ledger(docs), "ledger")
+    effect = ablations(rows, policy).select(F.col("rule").alias("sole_rule"), F.col("n_only_this").alias("n_sole"))
+    report = rows.select(
         "doc_id", *MEASURES[:5], (~passes("base")).alias("base_failed"),
-        (passes("base") & passes(policy)).alias("kept"), "fail_bits",
+        (passes("base") & passes(policy)).alias("kept"), "fail_bits", alone(policy).alias("sole_rule"),
     )
+    # One row a rule.
+    return report.join(F.broadcast(effect), "sole_rule", "left")
