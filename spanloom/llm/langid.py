@@ -5,21 +5,26 @@ unit vector. A linear support vector machine for each family picks the family
 first; inside it, one-versus-one linear machines separate the related
 languages by votes, ties by summed margins. Every machine is fitted here.
 
-Training reads a bounded sample: at most ``per_language`` labelled texts of a
-language and ``total`` in all, those with the lowest hashes, so that it does
-not depend on row order. Counts, folds and predictions cover all rows.
+Training reads a bounded sample: ``total`` labelled texts shared out over all
+languages (at least one each), at most ``per_language`` of one, those with the
+lowest hashes of id and text. Repeated rows count once. Counts, folds and
+predictions cover all rows, and every label is learnt.
 
 Defined results
-* null text or one without a letter: ``und`` with score 1.
+* null text or one without a letter (``str.isalpha``): ``und`` with score 1.
 * null doc_id: held_out is false, and the row is never learnt from.
 * no labelled row at all: every text is ``und`` with score 0.
 * one learnt language: that language with score 1.
-* repeated rows give repeated results; further columns are ignored.
+* very long texts: read whole, in blocks of STEP characters.
+* ties: of equal votes the larger sum of margins, then the first name, wins.
+* repeated rows give repeated results; an empty table an empty result; further
+  columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_crc
+from .common import doc_crc, few
 
 DIMENSIONS = 4096
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters that are hashed at once.
+STEP = 1 << 16
 #: Language families by ISO 639-1 code; a code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi".split(),
@@ -51,18 +57,26 @@ def family_of(lang: str) -> str:
     return _FAMILY_OF.get(lang.lower().split("-")[0], lang)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
+
+
 def features(text: str, dims: int = DIMENSIONS) -> np.ndarray:
     """Square roots of hashed n-gram counts (n = 1, 2, 3) at unit length.
     Runs of anything but letters count as one space."""
-    low = re.sub(r"[\W\d_]+", " ", text.lower())
-    codes = np.frombuffer(f" {low.strip()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    low = f" {re.sub(r'[\W\d_]+', ' ', text.lower()).strip()} "
     counts = np.zeros(dims, np.float64)
-    mixed = codes.copy()
-    for n in (1, 2, 3):
-        if n > 1:
-            mixed = mixed[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
-        slot = ((mixed * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> np.uint64(40)) % np.uint64(dims)
-        counts += np.bincount(slot.astype(np.int64), minlength=dims)
+    for at in range(0, len(low), STEP):
+        # The two characters before a block complete the n-grams that end in it.
+        begin = max(0, at - 2)
+        codes = np.frombuffer(low[begin : at + STEP].encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+        mixed = codes
+        for n in (1, 2, 3):
+            if n > 1:
+                mixed = mixed[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+            ends_here = mixed[max(0, at - begin - n + 1) :]
+            slot = ((ends_here * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)) >> np.uint64(40)) % np.uint64(dims)
+            counts += np.bincount(slot.astype(np.int64), minlength=dims)
     counts = np.sqrt(counts)
     return (counts / max(np.linalg.norm(counts), 1e-12)).astype(np.float32)
 
@@ -116,7 +130,7 @@ class LanguageModel:
         return 1.0 / (1.0 + np.exp(-4.0 * np.clip(margin, -20, 20)))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not _LETTER.search(text):
+        if not has_letter(text):
             return "und", 1.0
         if not self.langs:
             return "und", 0.0
@@ -144,34 +158,33 @@ class LanguageModel:
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [features(t.as_py()) if _LETTER.search(t.as_py()) else None for t in batch.column("text")]
+        found = [features(t.as_py()) if has_letter(t.as_py()) else None for t in batch.column("text")]
         packed = pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("draw"), packed, batch.column("lang")], ["draw", "v", "lang"])
 
 
-def train(docs: DataFrame, per_language: int = 400, total: int = 4000, max_languages: int = 64) -> LanguageModel:
-    """Fits on rows with a text, a non-null lang and crc32(doc_id) mod 4 <> 2.
-
-    ``max_languages`` bounds the model's size: the most frequent labels are
-    learnt. The sample is bounded by ``per_language`` and ``total``.
-    """
-    rows = docs.select("doc_id", "lang", "text").where("lang is not null and lang <> 'und'")
+def train(docs: DataFrame, per_language: int = 400, total: int = 4000) -> LanguageModel:
+    """Fits on rows with a text, a non-null lang and crc32(doc_id) mod 4 <> 2."""
+    rows = docs.select("doc_id", "lang", "text").where("lang is not null and lang <> 'und' and text is not null")
     rows = rows.where(doc_crc(F.col("doc_id")) % 4 != 2)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40)))
+    # One row a language: how many different rows it has, to a few per cent.
+    counts = drawn.groupBy("lang").agg(F.approx_count_distinct("draw", 0.02).alias("n")).collect()
     if not counts:
         return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), [])
     share = max(1, min(per_language, total // len(counts)))
     # A hash threshold a little above the share needs no sort of all rows; the
-    # lowest hashes among those that pass are the sample, however often ids repeat.
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 40)))
-    wanted = None
-    for row in counts:
-        limit = int(min(1.0, (share + 6 * share**0.5 + 8) / row["count"]) * (1 << 40))
-        one = (F.col("lang") == row["lang"]) & (F.col("draw") <= limit)
-        wanted = one if wanted is None else wanted | one
-    sample = drawn.where(wanted).where("text is not null").select("draw", "text", "lang")
+    # lowest hashes among those that pass are the sample.
+    ample = share * 1.1 + 6 * share**0.5 + 8
+    limits = [(r["lang"], int(min(1.0, ample / r["n"]) * (1 << 40))) for r in counts]
+    limits = few(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
+    sample = drawn.join(limits, "lang").where("draw <= most").select("lang", "draw", "text").dropDuplicates(["lang", "draw"])
     rows = sample.mapInArrow(_feature_batches, "draw long, v binary, lang string").where("v is not null")
-    got = rows.orderBy("draw", "lang", "v").limit(2 * total).collect()
+    got, taken = [], Counter()
+    for row in sorted(rows.collect(), key=lambda r: (r["draw"], r["lang"])):
+        taken[row["lang"]] += 1
+        if taken[row["lang"]] <= share:
+            got.append(row)
     if not got:
         return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), [])
     x = np.frombuffer(b"".join(r["v"] for r in got), np.float16).reshape(-1, DIMENSIONS).astype(np.float32)
