@@ -51,8 +51,9 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Scores under this are shared by several pieces (runs of blanks).
 SHARED_SCORE = -1e8
-#: Words that a worker keeps between batches; longer ones than LONG are not kept.
-CACHED_WORDS = 600_000
+#: Characters of new words after which a worker's kept words become the older
+#: generation, a word counting WORD_CHARS besides; longer ones than LONG are not kept.
+CACHED_CHARS, WORD_CHARS = 16 << 20, 32
 LONG = 256
 #: Words of one trellis, and ids that are decoded at once.
 LANES, DECODED = 1 << 13, 1 << 20
@@ -72,13 +73,14 @@ class Kept(dict):
 
     def __init__(self, total):
         super().__init__()
-        self.total, self.older = total, {}
+        self.total, self.older, self.chars = total, {}, 0
 
     def recalled(self, words: set[str]) -> set[str]:
         """Takes words over from the older generation; returns the unknown ones."""
         missing = words - self.keys()
         back = missing & self.older.keys()
         self.update((w, self.older[w]) for w in back)
+        self.chars += sum(map(len, missing)) + len(missing) * WORD_CHARS
         return missing - back
 
     def joined(self, words) -> bytes | int:
@@ -88,8 +90,8 @@ class Kept(dict):
         """After a batch: long words go, and a full generation becomes the older."""
         for w in [w for w in self if len(w) > LONG]:
             del self[w]
-        if len(self) > CACHED_WORDS // 2:
-            self.older = dict(self)
+        if self.chars > CACHED_CHARS:
+            self.older, self.chars = dict(self), 0
             self.clear()
 
 

@@ -17,7 +17,9 @@ only files of attempts that succeeded.
 Defined results
 * null text: as the empty text, which has just the end id.
 * null doc_id: such rows come first; equal ids are ordered by a hash of the
-  text. Repeated rows are written each time.
+  text. Repeated rows are written each time, in any order among them, and may
+  stand in several files.
+* very long texts: encoded whole. Ties: rows of equal id and text only.
 * empty table: no file and an empty result. Further columns are ignored.
 """
 
@@ -43,8 +45,9 @@ from .common import scratch_path, written
 MAGIC = b"SPLMIDS1"
 BLOCK = 8192
 END_ID = 1
-#: Words of one generation that a worker keeps encoded.
-CACHED_WORDS = 300_000
+#: Bytes of words and ids of one generation that a worker keeps; a word counts
+#: WORD_BYTES besides.
+CACHED_BYTES, WORD_BYTES = 64 << 20, 160
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -62,7 +65,7 @@ class WordEncoder(dict):
 
     PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
-    def __init__(self, path: str, kept: int = CACHED_WORDS):
+    def __init__(self, path: str, kept: int = CACHED_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -70,7 +73,7 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.kept, self.before = kept, {}
+        self.kept, self.size_now, self.before = kept, 0, {}
         # Each Latin-1 letter's two bytes in the model's byte alphabet.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
@@ -95,16 +98,20 @@ class WordEncoder(dict):
             else:
                 ids = self._whole(word)
         self[word] = ids
+        self.size_now += len(word) + len(ids) + WORD_BYTES
         return ids
 
     def encode(self, data: bytes) -> bytes:
         """The ids of a UTF-8 text."""
         # The tokenizer lower-cases; special tokens are matched before that.
         words = data.split() if b"<|" in data else data.lower().split()
-        if len(self) > self.kept:
-            self.before = dict(self)
+        out = b"".join(map(self.__getitem__, words))
+        if self.size_now > self.kept:
+            # Longer than that in one text: nothing is worth keeping.
+            self.before = dict(self) if self.size_now < 2 * self.kept else {}
+            self.size_now = 0
             self.clear()
-        return b"".join(map(self.__getitem__, words))
+        return out
 
 
 def encoder(path: str) -> WordEncoder:
@@ -246,7 +253,9 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
 
     text = F.coalesce("text", F.lit("")).cast("binary")
     taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # The row's number deals out rows that repeat an id and its text.
+    taken = taken.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
     ranged = taken.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(ranged.mapInArrow(task, "part long, file string, n_ids long, n_docs long"), "packed-manifest")
 

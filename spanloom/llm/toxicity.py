@@ -24,6 +24,8 @@ Defined results
 * null or empty text: the score of a text without any difference.
 * null doc_id: held_out is false; the row is never learnt from.
 * several labels of one doc_id: toxic if any of them is; null labels are ignored.
+* several texts of one doc_id: the one with the smallest hash is learnt from.
+* very long texts: scored whole, window by window. Ties: none.
 * no toxic or no ordinary label at all: the score is 0 or 1 for every text.
 * repeated rows give repeated results; further columns are ignored.
 """
@@ -241,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 2000, ordinary: int =
     ).orderBy("draw", "doc_id").limit(toxic + ordinary)
     # At most toxic + ordinary ids: a proven bound for the broadcast.
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    one = texts.dropDuplicates(["doc_id"]).select("draw", "doc_id", "y", F.octet_length("text").alias("bytes"), "text")
+    one = texts.groupBy("draw", "doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    one = one.select("draw", "doc_id", "y", F.octet_length("text").alias("bytes"), "text")
     sample = written(one, "toxicity-sample")
     budget, last = {0: sample_bytes * 2 // 3, 1: sample_bytes // 3}, {0: -1, 1: -1}
     for row in sample.select("draw", "y", "bytes").orderBy("draw", "doc_id").collect():
