@@ -122,7 +122,6 @@ def test_toxicity_held_out(toxicity_scores):
     assert sum(g >= 0.5 for g in good) < 0.02 * len(good)
 
 
-@pytest.mark.xfail(reason="57 of 97 held-out toxic texts reach 0.5; the goal of 0.6 is open", strict=False)
 def test_toxicity_recall_goal(toxicity_scores):
     bad, _ = toxicity_scores
     assert sum(b >= 0.5 for b in bad) > 0.6 * len(bad)
