@@ -72,11 +72,12 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seed(hashes: str, at: Column, mask: Column, masks: list[tuple[int, ...]]) -> Column:
-    """The hash of one mask at one position, null where it passes the end."""
-    out = None
-    for k, m in enumerate(masks):
-        one = F.when(at + m[-1] < F.size(hashes), F.xxhash64(F.lit(len(m) * 100 + m[-1]), *[F.get(F.col(hashes), at + o) for o in m]))
-        out = F.when(mask == k, one) if out is None else out.when(mask == k, one)
+    """The hash of one mask at one position. It is never null, so that the probe
+    gets no filter: words past the end count as absent."""
+    one = [F.xxhash64(F.lit(len(m) * 100 + m[-1]), *[F.get(F.col(hashes), at + o) for o in m]) for m in masks]
+    out = one[-1]
+    for k in range(len(masks) - 1):
+        out = F.when(mask == k, one[k]).otherwise(out)
     return out
 
 
@@ -102,8 +103,10 @@ def item_seeds(items: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     # Words that windows around this position can span, and the item's ends.
     before, after = F.least(at, w - 1), F.least(F.size("ih") - at, w)
     around = F.xxhash64(before, after, F.slice("ih", at - before + 1, before + after))
-    fits = spread.where(used).select(_seed("ih", at, mask, masks).alias("seed"), "item_key", at.alias("p"), around.alias("around"))
-    return fits.where("seed is not null").groupBy("seed", "item_key", "around").agg(F.min("p").alias("p")).drop("around")
+    spans = F.element_at(F.array(*[F.lit(m[-1]) for m in masks]), mask + 1)
+    fits = spread.where(used & (at + spans < F.size("ih")))
+    fits = fits.select(_seed("ih", at, mask, masks).alias("seed"), "item_key", at.alias("p"), around.alias("around"))
+    return fits.groupBy("seed", "item_key", "around").agg(F.min("p").alias("p")).drop("around")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
