@@ -37,13 +37,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def sweep(spark: SparkSession, *, keep: set[str]) -> None:
-    """Deletes this session's scratch folders but for those in ``keep``; only
-    for callers that know that no plan they still hold reads the others."""
-    made = spark.sparkContext.__dict__.setdefault("_spanloom_scratch", set())
-    for path in made - keep:
+def scratch_made(spark: SparkSession) -> set[str]:
+    """The scratch folders that this session has made and not swept."""
+    return set(spark.sparkContext.__dict__.get("_spanloom_scratch", ()))
+
+
+def sweep(spark: SparkSession, paths: set[str]) -> None:
+    """Deletes scratch folders; only for callers that know that no plan that is
+    still to run reads them."""
+    for path in paths:
         remove_scratch(spark, path)
-    made &= keep
+    spark.sparkContext.__dict__.setdefault("_spanloom_scratch", set()).difference_update(paths)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
