@@ -157,10 +157,17 @@ class LanguageModel:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's drawn texts as features, each pair of language and draw once."""
+    seen = set()
     for batch in batches:
-        found = [features(t.as_py()) if has_letter(t.as_py()) else None for t in batch.column("text")]
-        packed = pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("draw"), packed, batch.column("lang")], ["draw", "v", "lang"])
+        out = []
+        for draw, text, lang in zip(*(batch.column(c) for c in ("draw", "text", "lang"))):
+            key = lang.as_py(), draw.as_py()
+            if key not in seen and has_letter(text.as_py()):
+                out.append((key[1], features(text.as_py()).astype(np.float16).tobytes(), key[0]))
+            seen.add(key)
+        columns = list(zip(*out)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.string()))], ["draw", "v", "lang"])
 
 
 def train(docs: DataFrame, per_language: int = 400, total: int = 4000) -> LanguageModel:
@@ -178,8 +185,8 @@ def train(docs: DataFrame, per_language: int = 400, total: int = 4000) -> Langua
     ample = share * 1.1 + 6 * share**0.5 + 8
     limits = [(r["lang"], int(min(1.0, ample / r["n"]) * (1 << 40))) for r in counts]
     limits = few(docs.sparkSession.createDataFrame(limits, "lang string, most long"))
-    sample = drawn.join(limits, "lang").where("draw <= most").select("lang", "draw", "text").dropDuplicates(["lang", "draw"])
-    rows = sample.mapInArrow(_feature_batches, "draw long, v binary, lang string").where("v is not null")
+    sample = drawn.join(limits, "lang").where("draw <= most").select("lang", "draw", "text")
+    rows = sample.mapInArrow(_feature_batches, "draw long, v binary, lang string").dropDuplicates(["lang", "draw"])
     got, taken = [], Counter()
     for row in sorted(rows.collect(), key=lambda r: (r["draw"], r["lang"])):
         taken[row["lang"]] += 1

@@ -256,20 +256,22 @@ def masked_documents(docs: DataFrame, owner: str = "source", repo: str | None =
     )
     marks = written(marks, "secret-marks")
     size = marks.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    row, mine = free_names(docs, "row", "mine")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("doc_id").alias(mine), text_hash(F.col("text")).alias(hashed))
+    mine, mark_id, mark_hash, spans, new = free_names(docs, "mine", "mark_id", "mark_hash", "spans", "new")
+    marks = marks.toDF(mark_id, mark_hash, spans)
+    rows = docs.select("*", F.col("doc_id").alias(mine), text_hash(F.col("text")).alias(hashed))
     rest = None
     if size[0] + size[1] <= MARKED:
         marks = F.broadcast(marks)
     else:
-        maybe = F.coalesce(F.col(f"{row}.text").rlike("|".join(PATTERNS)), F.lit(False))
+        maybe = F.coalesce(F.col("text").rlike("|".join(PATTERNS)), F.lit(False))
         rows, rest = rows.where(maybe), rows.where(~maybe)
-    joined = rows.join(marks, F.col(mine).eqNullSafe(marks.id) & (F.col(hashed) == marks.h), "left")
-    text = masked(F.col(f"{row}.text"), F.col("spans"))
-    changed = joined.select(row, F.col("spans").isNotNull().alias("changed"), F.when(F.col("spans").isNotNull(), text).alias("new"))
-    replaced = {"text": F.when(F.col("changed"), F.col("new")).otherwise(F.col(f"{row}.text"))}
+    joined = rows.join(marks, F.col(mine).eqNullSafe(F.col(mark_id)) & (F.col(hashed) == F.col(mark_hash)), "left")
+    marked = F.col(spans).isNotNull()
+    joined = joined.withColumn(new, F.when(marked, masked(F.col("text"), F.col(spans))))
+    replaced = {"text": F.when(marked, F.col(new)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("changed"), F.length("new")).otherwise(F.col(f"{row}.n_chars"))
+        n_chars = F.when(marked, F.length(new)).otherwise(F.col("n_chars"))
         replaced["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
-    out = changed.select(*[replaced.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns])
-    return out if rest is None else out.unionByName(rest.select(f"{row}.*"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = joined.select(*[replaced[c].alias(c) if c in replaced else column for c, column in zip(docs.columns, own)])
+    return out if rest is None else out.unionByName(rest.select(*own))

@@ -330,12 +330,15 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     leads = F.col("lead.id").eqNullSafe(F.col("id")) & (F.col("lead.h") == F.col("h"))
     verdicts = groups.select("id", "h", leads.alias("leads"), "n").where("not leads or n > 1")
     verdicts = written(verdicts, "verdicts")
-    row, mine = free_names(docs, "row", "mine")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("doc_id").alias(mine), text_hash(F.col("text")).alias(hashed))
-    same = F.col(mine).eqNullSafe(F.col("id")) & (F.col(hashed) == F.col("h"))
-    out = rows.join(few(verdicts.select("id", "h")), same, "left_anti").select(f"{row}.*")
-    again = verdicts.where("leads").select("id", "h")
+    mine, lead_id, lead_hash = free_names(docs, "mine", "lead_id", "lead_hash")
+    keys_of = lambda df: few(df.select(F.col("id").alias(lead_id), F.col("h").alias(lead_hash)))
+    rows = docs.select("*", F.col("doc_id").alias(mine), text_hash(F.col("text")).alias(hashed))
+    same = F.col(mine).eqNullSafe(F.col(lead_id)) & (F.col(hashed) == F.col(lead_hash))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = rows.join(keys_of(verdicts), same, "left_anti").select(*own)
+    again = verdicts.where("leads")
     if again.isEmpty():
         return out
-    once = rows.join(few(again), same).groupBy("id", "h").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(row))
-    return out.unionByName(once.select(f"{row}.*"))
+    whole = F.struct(*own)
+    once = rows.join(keys_of(again), same).groupBy(lead_id, lead_hash).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return out.unionByName(once.select("row.*"))
