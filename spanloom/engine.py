@@ -93,7 +93,9 @@ class Engine:
             if persistent:
                 return index.open_bm25(self.spark, f"{self.root}/bm25", cached=False).search_verified(asked, self.files, k)[0]
             chunks = corpus.line_chunks(self.files)
-            return lexical.best_lines(lexical.bm25(chunks, asked, k), chunks, asked)
+            # Hits without a line of the query are dropped, so twice as many are asked for.
+            tight = lexical.best_lines(lexical.bm25(chunks, asked, 2 * k), chunks, asked).withColumnRenamed("rank", "was")
+            return lexical.ranked(tight, ["was"], ["query_id"], k).drop("was")
         if kind == "symbol":
             named = syntax.symbols(self.files).where(F.contains(F.lower("name"), F.lit(query.lower())))
             found = named.select("path", F.col("start_line").alias("line_no"), "kind", "name")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.size import bounded
 
 #: Markers and prefixes that block an embedding input.
 SECRET_MARKERS = ("SECRET", "TOKEN", "PASSWORD", "API_KEY", "PRIVATE_KEY")
@@ -144,21 +145,31 @@ def leaked_fields(tasks: DataFrame, forbidden: list[str]) -> list[str]:
 
 
 def passage_leaks(corpus: DataFrame, passages: DataFrame, words: int = 8) -> DataFrame:
-    """item_id, path of corpus texts that hold a whole passage. Runs of
-    ``words`` words of the passages are looked up by hash; only candidates are
-    compared as texts."""
-    def runs(col: str) -> Column:
-        w = F.col(col)
-        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
-        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " ")))
-
-    # The first run of a passage stands for it: whoever holds the passage has it.
-    p = passages.select("item_id", F.col("text").alias("passage"), F.slice(T.words(F.col("text")), 1, words).alias("w"))
-    p = p.select("item_id", "passage", F.get(runs("w"), 0).alias("run"))
-    c = corpus.select("path", T.words(F.col("content")).alias("w")).select("path", F.explode(F.array_distinct(runs("w"))).alias("run"))
-    near = c.join(p.select("run", "item_id"), "run").select("path", "item_id").distinct()
+    """item_id, path of corpus texts that hold a whole passage.
+
+    A passage's first and last word can be cut inside a word of the text, so the
+    words between them are looked up by hash, the first ``words`` of them: runs
+    of each length that occurs. Passages without such words are compared with
+    every text; they are few words long. Only candidates are compared as texts.
+    """
+    inner = lambda w: F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0)))
+    p = passages.select("item_id", F.col("text").alias("passage"), T.words(F.col("text")).alias("w")).where("passage is not null")
+    p = p.select("item_id", "passage", F.slice(inner(F.col("w")), 1, words).alias("run"))
+    p = p.select("item_id", "passage", F.size("run").alias("n"), F.xxhash64(F.size("run"), F.array_join("run", " ")).alias("key"))
+    # At most ``words`` lengths.
+    lengths = sorted(r["n"] for r in p.where("n > 0").select("n").distinct().collect())
+    w = F.col("w")
+    runs = lambda n: F.when(F.size(w) >= n, F.transform(
+        F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(w, i + 1, n), " "))
+    ))
+    short = corpus.select("path", "content").join(bounded(p.where("n = 0")), F.col("content").contains(F.col("passage"))).select("item_id", "path")
+    if not lengths:
+        return short
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(*map(runs, lengths)))))
+    c = corpus.select("path", T.words(F.col("content")).alias("w")).select("path", F.explode(every).alias("key"))
+    near = c.join(p.where("n > 0").select("key", "item_id"), "key").select("path", "item_id").distinct()
     full = near.join(passages.select("item_id", F.col("text").alias("passage")), "item_id").join(corpus.select("path", "content"), "path")
-    return full.where(F.col("content").contains(F.col("passage"))).select("item_id", "path")
+    return full.where(F.col("content").contains(F.col("passage"))).select("item_id", "path").unionByName(short)
 
 
 def private_fields(rows: DataFrame, json: str, fields: list[str]) -> DataFrame:

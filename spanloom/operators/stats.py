@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], p: int) -> DataFrame:
-    """Four definitions of the p-th percentile: p_floor takes index
+    """Three definitions of the p-th percentile: p_floor takes index
     floor(p (n - 1) / 100), p_index takes int(n p / 100) capped, p_linear
     interpolates; the exact sort is per group."""
     w = Window.partitionBy(*by)

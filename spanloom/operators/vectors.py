@@ -25,27 +25,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fits, dot(a, b) / norms).otherwise(0.0)
 
 
+def _by_length(rows: list, ids: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and unit vectors by length. A null vector, or one that holds
+    a null, has length 0: it is like no other."""
+    groups: dict[int, list[int]] = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(0 if row is None or None in row else len(row), []).append(i)
+    out = {}
+    for length, at in groups.items():
+        m = np.array([rows[i] for i in at], np.float64) if length else np.zeros((len(at), 0))
+        norm = np.linalg.norm(m, axis=1)
+        out[length] = np.array(at), m / np.where(norm > 0, norm, 1)[:, None]
+    return out
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, rank: each query's k nearest other vectors.
 
     The stated queries (query_id, embedding) are sent to the workers in blocks
     of a fixed size; each batch of vectors gives its k best per query, so only
-    local winners are shuffled.
+    local winners are shuffled. Vectors of another length than the query's, null
+    ones and those without a norm score 0.
     """
     taken = vectors.select("vec_id", "embedding")
     out = None
     rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
     part: list = []
 
-    def task_for(ids: np.ndarray, matrix: np.ndarray):
+    def task_for(ids: np.ndarray, asked: dict):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 own = np.asarray(batch.column("vec_id"))
-                v = np.array(batch.column("embedding").to_pylist(), np.float64)
-                norm = np.linalg.norm(v, axis=1)
-                scores = np.round(matrix @ (v / np.where(norm > 0, norm, 1)[:, None]).T, 6)
+                scores = np.zeros((len(ids), len(own)))
+                for length, (at, unit) in _by_length(batch.column("embedding").to_pylist(), own).items():
+                    if length and length in asked:
+                        mine, matrix = asked[length]
+                        scores[np.ix_(mine, at)] = np.round(matrix @ unit.T, 6)
                 scores[ids[:, None] == own[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
                 picked = np.take_along_axis(scores, order, 1)
@@ -58,9 +75,8 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256
 
     def search(group: list) -> DataFrame:
         ids = np.array([r["query_id"] for r in group], np.int64)
-        m = np.array([r["embedding"] for r in group], np.float64)
-        norm = np.linalg.norm(m, axis=1)
-        return taken.mapInArrow(task_for(ids, m / np.where(norm > 0, norm, 1)[:, None]), "query_id long, vec_id long, score double")
+        asked = _by_length([r["embedding"] for r in group], ids)
+        return taken.mapInArrow(task_for(ids, asked), "query_id long, vec_id long, score double")
 
     for row in rows:
         part.append(row)
@@ -80,31 +96,42 @@ def thresholds(vectors: DataFrame) -> DataFrame:
 
 
 def quantize(vectors: DataFrame) -> DataFrame:
-    """Two bits a dimension in two 64-bit words: the sign, and whether the
-    magnitude reaches the dimension's mean (up to 64 dimensions)."""
+    """Two bits a dimension: the sign, and whether the magnitude reaches the
+    dimension's mean, each as an array of 64-bit words (64 dimensions a word)."""
     with_t = vectors.crossJoin(F.broadcast(thresholds(vectors)))
     def bits(test):
-        flags = F.transform("embedding", lambda x, i: F.when(test(x.cast("double"), i), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(
-            F.transform(flags, lambda f, i: F.call_function("shiftleft", f, i)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)
-        )
+        def word(w):
+            part = F.slice("embedding", w * 64 + 1, 64)
+            flags = F.transform(part, lambda x, i: F.when(test(x.cast("double"), w * 64 + i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+            return F.aggregate(flags, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+        words = F.sequence(F.lit(0), F.floor((F.size("embedding") - 1) / 64).cast("int"))
+        return F.when(F.size("embedding") > 0, F.transform(words, word)).otherwise(F.array().cast("array<bigint>"))
     sign = bits(lambda x, i: x >= 0)
     large = bits(lambda x, i: F.round(F.abs(x), 9) >= F.round(F.get(F.col("t"), i), 9))
     return with_t.select("vec_id", sign.alias("sign_bits"), large.alias("mag_bits"))
 
 
 def quantized_distance(a: str, b: str) -> Column:
-    """Twice the differing signs plus the differing magnitudes."""
-    differ = lambda name: F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
+    """Twice the differing signs plus the differing magnitudes; null where the
+    codes' lengths differ."""
+    def differ(name: str) -> Column:
+        counts = F.zip_with(f"{a}.{name}", f"{b}.{name}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return F.aggregate(counts, F.lit(0), lambda n, x: n + x)
     return 2 * differ("sign_bits") + differ("mag_bits")
 
 
+def pool_size(n: int, share: float = 0.25, least: int = 50) -> int:
+    """Candidates a query for an exact second look: a share of the table, as the
+    two-bit order loses recall with any fixed number when the table grows."""
+    return max(least, int(n * share))
+
+
 def quantized_topk(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, distance, rank by quantized distance, then vec_id. The
     queries are a stated set behind a size check."""
     q = queries.select(F.col("vec_id").alias("query_id"), "sign_bits", "mag_bits")
     pairs = codes.alias("v").join(bounded(q).alias("q"), F.col("v.vec_id") != F.col("q.query_id"))
-    scored = pairs.select("query_id", "vec_id", quantized_distance("v", "q").alias("distance"))
+    scored = pairs.select("query_id", "vec_id", quantized_distance("v", "q").alias("distance")).where("distance is not null")
     return ranked(scored, ["distance", "vec_id"], ["query_id"], k)
 
 

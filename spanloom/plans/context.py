@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,9 @@ from ..sources import corpus
 CHANNELS = ("regex", "text", "bm25", "symbol", "graph")
 
 
-def query_line_hits(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def query_line_hits(files: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     """Lines that hold all of a query's tokens as words, first k per query by
-    path and line. Lines are probed by word, so queries and lines never cross."""
+    path and line (all with k None). Lines are probed by word, so queries and lines never cross."""
     toks = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
     need = toks.groupBy("query_id").agg(F.count("*").alias("need"))
     lines = corpus.lines_of(files)
@@ -25,19 +26,43 @@ def query_line_hits(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     hits = spread.join(bounded(toks), "term").groupBy("query_id", "path", "line_no").agg(F.count("*").alias("got"))
     full = hits.join(bounded(need), "query_id").where("got = need")
     found = full.select("query_id", "path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(1.0).alias("score"))
+    return found if k is None else lexical.ranked(found, ["path", "start_line"], ["query_id"], k)
+
+
+def literal_line_hits(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Lines that hold the whole query as it is, among those that hold all of
+    its words; first k per query by path and line."""
+    near = query_line_hits(files, queries, None)
+    lines = corpus.lines_of(files).select("path", F.col("line_no").alias("start_line"), "line")
+    held = near.join(lines, ["path", "start_line"]).join(bounded(queries.select("query_id", "query")), "query_id")
+    found = held.where(F.col("line").contains(F.col("query"))).select("query_id", "path", "start_line", "end_line", "score")
     return lexical.ranked(found, ["path", "start_line"], ["query_id"], k)
 
 
-def channel_hits(files: DataFrame, queries: DataFrame, channels: tuple[str, ...], k: int) -> DataFrame:
-    """query_id, channel, rank, path, start_line, end_line, score of each channel."""
+def graph_hits(hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Edges into each query's five most frequent files, first k by path and line."""
+    top = fusion.top_paths(hits, 5).select("query_id", F.col("path").alias("target_path"))
+    near = edges.join(top, "target_path").select(
+        "query_id", F.col("source_path").alias("path"), F.col("source_line").alias("start_line"), F.col("source_line").alias("end_line")
+    ).distinct()
+    found = lexical.ranked(near, ["path", "start_line"], ["query_id"], k)
+    return found.select("query_id", "rank", "path", "start_line", "end_line", F.lit(1.0).alias("score"), F.lit("graph").alias("channel"))
+
+
+def channel_hits(files: DataFrame, queries: DataFrame, channels: tuple[str, ...], k: int, edges: DataFrame | None = None) -> DataFrame:
+    """query_id, channel, rank, path, start_line, end_line, score of each channel.
+    ``regex`` and ``text`` are lists of their own; ``graph`` follows ``edges``
+    (by default those of the files) from the files of the other channels, and of
+    the words' lines where it is asked for alone."""
     unknown = set(channels) - set(CHANNELS)
     if unknown:
         raise ValueError(f"unknown channels: {sorted(unknown)}")
     chunks = corpus.line_chunks(files)
     cols = ["query_id", "rank", "path", "start_line", "end_line", "score"]
     out = []
-    if "regex" in channels or "text" in channels:
-        out.append(query_line_hits(files, queries, k).select(*cols, F.lit("regex").alias("channel")))
+    for name, search in (("regex", query_line_hits), ("text", literal_line_hits)):
+        if name in channels:
+            out.append(search(files, queries, k).select(*cols, F.lit(name).alias("channel")))
     if "bm25" in channels:
         top = lexical.bm25(chunks, queries, 2 * k)
         tight = lexical.best_lines(top, chunks, queries).select(
@@ -48,10 +73,12 @@ def channel_hits(files: DataFrame, queries: DataFrame, channels: tuple[str, ...]
     if "symbol" in channels:
         whole = lexical.symbol_overlap(files, queries, k).join(files.select("path", F.size(T.lines(F.col("content"))).alias("n")), "path")
         out.append(whole.select("query_id", "rank", "path", F.lit(1).alias("start_line"), F.col("n").alias("end_line"), F.col("score").cast("double").alias("score"), F.lit("symbol").alias("channel")))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    if "graph" in channels:
+        seeds = out or [query_line_hits(files, queries, k).select(*cols, F.lit("regex").alias("channel"))]
+        out.append(graph_hits(reduce(DataFrame.unionByName, seeds), graph.build_graph(files) if edges is None else edges, k))
+    if not out:
+        raise ValueError("no channel")
+    return reduce(DataFrame.unionByName, out)
 
 
 def retrieve(files: DataFrame, queries: DataFrame, channels: tuple[str, ...] = ("regex", "bm25", "symbol"), k: int = 20) -> DataFrame:
@@ -70,12 +97,7 @@ def fast_context(files: DataFrame, queries: DataFrame, edges: DataFrame | None =
     if named.limit(1).count():
         hits = hits.unionByName(channel_hits(files, named, ("symbol",), k))
     if edges is not None:
-        top = fusion.top_paths(hits, 5).select("query_id", F.col("path").alias("target_path"))
-        near = edges.join(top, "target_path").select(
-            "query_id", F.col("source_path").alias("path"), F.col("source_line").alias("start_line"), F.col("source_line").alias("end_line")
-        ).distinct()
-        ranked = lexical.ranked(near, ["path", "start_line"], ["query_id"], k)
-        hits = hits.unionByName(ranked.select("query_id", "rank", "path", "start_line", "end_line", F.lit(1.0).alias("score"), F.lit("graph").alias("channel")))
+        hits = hits.unionByName(graph_hits(hits, edges, k))
     fused = fusion.absorb_wider(fusion.rrf(hits)).withColumn("score", F.round("score", 9))
     best = lexical.ranked(fused, [F.desc("score"), "path", "start_line", "end_line"], ["query_id"], k)
     shas = files.select("path", "content_sha")

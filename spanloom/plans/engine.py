@@ -41,13 +41,13 @@ def vector_quantized_topk(spark, sf_dir):
     return got.select("query_id", "vec_id", F.col("distance").cast("long").alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-RERANK = f"{BQ}, rr AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT b.query_id, b.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM bq b JOIN embeddings v ON v.vec_id = b.vec_id JOIN embeddings q ON q.vec_id = b.query_id WHERE b.rank <= 50))"
+RERANK = f"{BQ}, rr AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT b.query_id, b.vec_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM bq b JOIN embeddings v ON v.vec_id = b.vec_id JOIN embeddings q ON q.vec_id = b.query_id WHERE b.rank <= (SELECT greatest(50, (count(*) * 0.25)::DECIMAL(18, 2) // 1) FROM embeddings)))"
 
 
 def _reranked(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     codes = vectors.quantize(e)
-    near = vectors.quantized_topk(codes, codes.where(F.col("vec_id") % 100 == 0), 50)
+    near = vectors.quantized_topk(codes, codes.where(F.col("vec_id") % 100 == 0), vectors.pool_size(e.count()))
     return vectors.rerank(near, e, e, 10)
 
 

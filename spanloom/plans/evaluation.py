@@ -257,25 +257,46 @@ def guard_sweep(spark, sf_dir):
     return policies.guard_sweep(policies.task_features(tasks(spark, sf_dir), predictions(spark, sf_dir)), settings)
 
 
-@query(f"""WITH {EVAL}, {FLAGS}, {FEATURES}, pt AS (SELECT task_id, density, n_symbol, n_regex, noise / 6.0 AS nz, bucket, channels, CASE WHEN density = 1 AND n_symbol > 0 THEN 2 WHEN density = 1 THEN 1 ELSE 0 END + CASE WHEN n_symbol > 0 THEN 1 ELSE 0 END + CASE WHEN n_regex > 0 THEN 1 ELSE 0 END
- + CASE WHEN channels >= 3 THEN 1 ELSE 0 END + CASE WHEN top_score > 0 THEN 1 ELSE 0 END + CASE WHEN noise / 6.0 > 0.5 THEN -2 WHEN noise / 6.0 > 0.25 THEN -1 ELSE 0 END + CASE WHEN gap > 0 THEN 1 ELSE 0 END
- + CASE WHEN tag THEN -3 ELSE 0 END + CASE WHEN bucket = 'positive' THEN 1 ELSE 0 END AS points, tag, top_score, gap FROM ft JOIN (SELECT task_id, CASE WHEN repo_id = 'src0' THEN 'negative' WHEN repo_id = 'src1' THEN 'ambiguous' ELSE 'positive' END AS bucket, task_type = 'negative' AS tag FROM tasks) USING (task_id)),
-p2 AS (SELECT *, points + CASE WHEN bucket = 'negative' THEN -2 WHEN bucket = 'ambiguous' THEN -2 ELSE 0 END AS p FROM pt)
-SELECT task_id, p AS points, CASE WHEN bucket = 'negative' OR p <= -4 THEN CASE WHEN channels >= 4 THEN 'supporting' WHEN p <= -5 THEN 'abstain' ELSE 'filter' END WHEN bucket = 'ambiguous' THEN CASE WHEN channels >= 4 THEN 'supporting' ELSE 'filter' END
- WHEN density = 1 AND n_symbol > 0 AND nz <= 0.2 THEN 'union' WHEN (n_symbol > 0 OR n_regex > 0) AND channels >= 3 AND nz <= 0.3 THEN 'union' WHEN top_score > 0 AND channels >= 3 AND nz <= 0.4 THEN 'rrf' WHEN gap > 0 AND nz <= 0.4 THEN 'narrow' WHEN p <= 0 AND channels < 3 THEN 'weak' ELSE 'abstain' END AS action FROM p2""")
-def admission_scorecard(spark, sf_dir):
+SCORECARD = """sc AS (SELECT task_id, density = 1 AND n_symbol > 0 AS exact_unique, density = 1 AS uniq, n_symbol > 0 AS symbol, n_regex > 0 AS regex, channels >= 3 AS local_anchor, top_score > 0 AS backed, noise / 6.0 AS nz, gap > 0 AS narrow, n_symbol = 0 AS within,
+ task_type = 'negative' AS neg, CASE repo_id WHEN 'src0' THEN 'negative' WHEN 'src1' THEN 'ambiguous' WHEN 'src2' THEN 'hard_distractor' WHEN 'src3' THEN 'other' ELSE 'likely_positive' END AS bucket, channels >= 4 AS dense, task_id % 7 = 0 AS graph,
+ n_symbol > 0 AND n_regex > 0 AS af, n_symbol > 1 AND n_regex > 0 AS asp, n_regex > 0 AND top_score > 0 AS rf, n_regex > 1 AND top_score > 0 AS rs FROM ft JOIN (SELECT task_id, repo_id, task_type FROM tasks) USING (task_id)),
+ pb AS (SELECT *, exact_unique::INT * 2 + symbol::INT + regex::INT + local_anchor::INT + backed::INT + narrow::INT + within::INT + CASE WHEN nz > 0.5 THEN -2 WHEN nz > 0.25 THEN -1 ELSE 0 END - 3 * neg::INT
+ + CASE WHEN bucket IN ('negative', 'ambiguous') THEN -2 WHEN bucket = 'likely_positive' THEN 1 ELSE 0 END AS common FROM sc)"""
+
+
+def _scorecard(spark, sf_dir, version):
     t = tasks(spark, sf_dir)
     f = policies.task_features(t, predictions(spark, sf_dir)).join(t.select("task_id", "repo_id", "task_type"), "task_id")
     c = F.col
-    bucket = F.when(c("repo_id") == "src0", "negative").when(c("repo_id") == "src1", "ambiguous").otherwise("positive")
-    cols = {
+    buckets = {"src0": "negative", "src1": "ambiguous", "src2": "hard_distractor", "src3": "other"}
+    bucket = F.lit("likely_positive")
+    for repo, name in buckets.items():
+        bucket = F.when(c("repo_id") == repo, name).otherwise(bucket)
+    features = {
         "exact_unique": (c("density") == 1) & (c("n_symbol") > 0), "unique": c("density") == 1, "symbol": c("n_symbol") > 0, "regex": c("n_regex") > 0,
-        "local": c("channels") >= 3, "rrf_backed": c("top_score") > 0, "noise": c("noise") / 6.0, "span_narrow": c("gap") > 0, "within": F.lit(False),
+        "local": c("channels") >= 3, "rrf_backed": c("top_score") > 0, "noise": c("noise") / 6.0, "span_narrow": c("gap") > 0, "within": c("n_symbol") == 0,
         "tags": F.when(c("task_type") == "negative", F.array(F.lit("negative"))).otherwise(F.array().cast("array<string>")), "bucket": bucket,
-        "dense_support": c("channels") >= 4, "graph_support": F.lit(False),
+        "dense_support": c("channels") >= 4, "graph_support": c("task_id") % 7 == 0,
+        "agree_file": (c("n_symbol") > 0) & (c("n_regex") > 0), "agree_span": (c("n_symbol") > 1) & (c("n_regex") > 0),
+        "rrf_file": (c("n_regex") > 0) & (c("top_score") > 0), "rrf_span": (c("n_regex") > 1) & (c("top_score") > 0),
     }
-    points = policies.admission_points(cols)
-    return f.select("task_id", points.alias("points"), policies.admission(cols, points).alias("action"))
+    made = f.select("task_id", *[v.alias(k) for k, v in features.items()])
+    return policies.admission(made, version).select("task_id", "points", "action")
+
+
+@query(f"""WITH {EVAL}, {FLAGS}, {FEATURES}, {SCORECARD}, p2 AS (SELECT *, common + CASE WHEN uniq AND NOT exact_unique THEN 1 ELSE 0 END AS p FROM pb)
+SELECT task_id, p AS points, CASE WHEN bucket IN ('negative', 'hard_distractor') OR p <= -4 THEN CASE WHEN dense OR graph THEN 'supporting' WHEN p <= -5 THEN 'abstain' ELSE 'filter' END WHEN bucket = 'ambiguous' THEN CASE WHEN dense OR graph THEN 'supporting' ELSE 'filter' END
+ WHEN exact_unique AND nz <= 0.2 THEN 'union' WHEN (symbol OR regex) AND local_anchor AND nz <= 0.3 THEN 'union' WHEN backed AND local_anchor AND nz <= 0.4 THEN 'rrf' WHEN narrow AND within AND nz <= 0.4 THEN 'narrow' WHEN p <= 0 AND NOT local_anchor THEN 'weak' ELSE 'abstain' END AS action FROM p2""")
+def admission_scorecard(spark, sf_dir):
+    return _scorecard(spark, sf_dir, "v3")
+
+
+@query(f"""WITH {EVAL}, {FLAGS}, {FEATURES}, {SCORECARD}, p2 AS (SELECT *, common + af::INT + asp::INT + rf::INT + rs::INT AS p, bucket = 'likely_positive' AND nz <= 0.2 AS clean FROM pb)
+SELECT task_id, p AS points, CASE WHEN bucket IN ('negative', 'hard_distractor') OR neg THEN CASE WHEN dense OR graph THEN 'supporting' ELSE 'filter' END
+ WHEN bucket = 'ambiguous' THEN CASE WHEN (asp OR rs) AND nz <= 0.2 THEN 'weak' WHEN dense OR graph THEN 'supporting' ELSE 'filter' END
+ WHEN exact_unique AND nz <= 0.1 THEN 'union' WHEN asp AND clean THEN 'union' WHEN af AND clean THEN 'weak' WHEN rs AND clean THEN 'rrf' WHEN rf AND clean THEN 'weak' WHEN narrow AND within AND (asp OR rs OR exact_unique) AND clean THEN 'narrow' WHEN local_anchor THEN 'weak' WHEN dense OR graph THEN 'supporting' ELSE 'abstain' END AS action FROM p2""")
+def admission_agreement(spark, sf_dir):
+    return _scorecard(spark, sf_dir, "h2")
 
 
 # ---------------------------------------------------------------------- packing

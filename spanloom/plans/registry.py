@@ -28,13 +28,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of_documents(table(spark, sf_dir, "documents"))
 
 
-def topics(spark: SparkSession, sf_dir: str, n: int = 6) -> DataFrame:
-    """query_id, query: the first words of each benchmark item."""
-    words = F.slice(T.words(F.col("text")), 1, n)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
-
-
-def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, query: each benchmark item as it is."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
@@ -57,7 +51,7 @@ CHUNKS = (
     "chunks AS (SELECT path, language, content_sha, i * 30 + 1 AS start_line, least(len(ls), (i + 1) * 30) AS end_line, len(ls) AS total_lines, "
     "array_to_string(ls[i * 30 + 1 : least(len(ls), (i + 1) * 30)], chr(10)) AS content FROM spread)"
 )
-TOPICS = f"topics AS (SELECT item_id AS query_id, array_to_string(({words_sql('text')})[1:6], ' ') AS query FROM benchmark)"
+TOPICS = "topics AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 BM25 = (
     f"terms AS (SELECT query_id, term, count(*) AS weight FROM (SELECT query_id, unnest({words_sql('query')}) AS term FROM topics) GROUP BY ALL), "
     f"toks AS (SELECT path, start_line, end_line, content_sha, {words_sql('content')} AS w FROM chunks), "

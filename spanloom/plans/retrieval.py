@@ -10,7 +10,7 @@ from ..operators import evidence, fusion, graph, lexical, lifecycle
 from ..sources import corpus
 from ..sources.corpus import table
 from . import context
-from .registry import BM25, CHUNKS, FILES, LINES, TOPICS, files, query, topics, whole_items
+from .registry import BM25, CHUNKS, FILES, LINES, TOPICS, files, query, topics
 
 
 @query(f"WITH {FILES}, {LINES}, {CHUNKS} SELECT path, language, start_line, end_line, sha256(content) AS chunk_sha FROM chunks")
@@ -231,11 +231,11 @@ def edges_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def retrieve_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = context.retrieve(files(spark, sf_dir), whole_items(spark, sf_dir), k=10)
+    got = context.retrieve(files(spark, sf_dir), topics(spark, sf_dir), k=10)
     return got.select("query_id", "rank", "path", "start_line", "end_line", "score", F.array_join("channels", ",").alias("channels"))
 
 
 @query()
 def fast_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    return context.fast_context(f, whole_items(spark, sf_dir), graph.build_graph(f))
+    return context.fast_context(f, topics(spark, sf_dir), graph.build_graph(f))

@@ -1,6 +1,7 @@
 """Cases that earlier forms of the engine's queries lost."""
 
-from spanloom.operators import stats
+from spanloom.operators import governance, policies, stats, vectors
+from spanloom.plans import context
 from spanloom.plans.catalog import QUERIES
 
 
@@ -20,3 +21,65 @@ def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
     monkeypatch.setattr(stats, "bootstrap_interval", lambda *a, resamples=1000, **k: asked.append(resamples))
     QUERIES["bootstrap_ci"](spark, sf), QUERIES["paired_bootstrap"](spark, sf)
     assert asked[0] >= 10_000 and asked[1] >= 1000
+
+
+def test_codes_of_more_than_64_dimensions_differ(spark):
+    rows = [(1, [1.0] * 80), (2, [1.0] * 64 + [-1.0] * 16), (3, [0.5] * 3), (4, None)]
+    codes = vectors.quantize(spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>"))
+    got = vectors.quantized_topk(codes, codes.where("vec_id = 1"), 5).collect()
+    assert [(r["vec_id"], r["distance"]) for r in got] == [(2, 32)]
+    every = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = every.selectExpr("vec_id as query_id", "embedding")
+    score = {(r["query_id"], r["vec_id"]): r["score"] for r in vectors.cosine_topk(every, asked, 5).collect()}
+    assert len(score) == 12 and score[1, 2] == 0.6 and score[1, 3] == score[4, 1] == score[3, 4] == 0
+
+
+def test_candidates_of_two_bit_codes_reach_the_recall(spark):
+    got = [r["overlap"] for r in QUERIES["quantized_overlap_at_10"](spark, "/root/testdata/sf0.1").collect()]
+    assert sum(got) / len(got) >= 0.9
+
+
+def test_short_and_cut_passages_are_found(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    corpus = spark.createDataFrame([("a", text), ("b", "nothing"), ("c", None)], "path string, content string")
+    items = ["three four five", "wo three four five si", "two three", "x", "eve", text, "four six", None]
+    passages = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    got = {r["item_id"] for r in governance.passage_leaks(corpus, passages).where("path = 'a'").collect()}
+    assert got == {i for i, t in enumerate(items) if t is not None and t in text}
+
+
+def test_admission_by_hand(spark):
+    base = dict.fromkeys("exact_unique unique symbol regex local rrf_backed span_narrow within dense_support graph_support agree_file agree_span rrf_file rrf_span".split(), False)
+    cases = [
+        ({"bucket": "hard_distractor", "symbol": True, "regex": True, "local": True}, "filter", "filter"),
+        ({"bucket": "hard_distractor", "graph_support": True}, "supporting", "supporting"),
+        ({"bucket": "config", "span_narrow": True}, "abstain", "abstain"),
+        ({"bucket": "config", "span_narrow": True, "within": True}, "narrow", "abstain"),
+        ({"bucket": "route_handler", "symbol": True, "regex": True, "local": True, "agree_file": True}, "union", "weak"),
+        ({"bucket": "config", "rrf_backed": True, "local": True, "rrf_file": True, "rrf_span": True}, "rrf", "rrf"),
+        ({"bucket": "other", "tags": ["weak_candidates"], "local": True}, "weak", "weak"),
+        ({"bucket": "negative", "tags": ["negative"]}, "abstain", "filter"),
+        ({"bucket": "ambiguous", "agree_span": True, "noise": 0.1}, "filter", "weak"),
+        ({"bucket": "other", "dense_support": True}, "weak", "supporting"),
+    ]
+    rows = [{**base, "noise": 0.0, "tags": [], "bucket": "other", **c, "id": i} for i, (c, _, _) in enumerate(cases)]
+    schema = "id int, bucket string, noise double, tags array<string>, " + ", ".join(f"{b} boolean" for b in base)
+    order = [f.split()[0] for f in schema.split(", ")]
+    df = spark.createDataFrame([tuple(r[c] for c in order) for r in rows], schema)
+    for at, version in ((1, "v3"), (2, "h2")):
+        got = [r["action"] for r in policies.admission(df, version).orderBy("id").collect()]
+        assert got == [c[at] for c in cases], version
+    points = {r["id"]: r["points"] for r in policies.admission(df).collect()}
+    assert points[4] == 4 and points[7] == -5
+
+
+def test_channels_on_their_own(spark):
+    rows = [("a.py", "def load_zebra():\n  return 1\n"), ("b.py", "import a\nfrom a import load_zebra\n"), ("c.py", "zebra load def\n")]
+    files = spark.createDataFrame(rows, "path string, content string").selectExpr(
+        "path", "'python' AS language", "sha2(content, 256) AS content_sha", "content", "cast(length(content) as long) AS size")
+    asked = spark.createDataFrame([(1, "load_zebra")], "query_id long, query string")
+    for channel in context.CHANNELS:
+        got = context.channel_hits(files, asked, (channel,), 5)
+        assert {r["channel"] for r in got.collect()} <= {channel} | ({"regex"} if channel == "graph" else set())
+    hits = lambda channel: {r["path"] for r in context.channel_hits(files, asked, (channel,), 5).where(f"channel = '{channel}'").collect()}
+    assert hits("regex") >= {"a.py", "b.py"} and hits("text") == {"a.py", "b.py"}
