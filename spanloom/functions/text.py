@@ -144,3 +144,25 @@ def cache_key(*parts: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def sanitized_query(query: Column) -> Column:
+    """A query that no query syntax can reject: its operators as blanks."""
+    return F.trim(F.translate(query, ":/()\"", "     "))
+
+
+#: Words of programming languages that name nothing.
+KEYWORDS = (
+    "fn", "let", "mut", "pub", "use", "mod", "impl", "struct", "enum", "trait", "if", "else", "for", "while", "return", "self",
+    "Self", "super", "crate", "true", "false", "def", "class", "import", "from", "async", "await", "const", "var", "function",
+    "type", "interface",
+)
+
+
+def is_keyword(name: Column) -> Column:
+    return name.isin(*KEYWORDS)
+
+
+def is_string_assignment(line: Column) -> Column:
+    """Whether a line gives a name a quoted value."""
+    return line.contains('="') | line.contains("= '") | line.contains('= "')

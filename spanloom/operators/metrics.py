@@ -309,3 +309,81 @@ def span_gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
     return far.where(F.col("start_line") > F.col("_far") + 1).select(
         *keys, (F.col("_far") + 1).alias("gap_start"), (F.col("start_line") - 1).alias("gap_end")
     )
+
+
+def line_scores(predictions: DataFrame, gold: DataFrame, judged: DataFrame, k: int = 10) -> DataFrame:
+    """strategy, line_precision, line_recall of the first-generation scorer: the
+    averages over the strategy's own tasks among ``judged`` (task_id), where a
+    task without gold lines has recall one and a list without lines precision
+    zero. predictions: one row a task at least; a null path means no hit."""
+    own = predictions.join(judged.select("task_id").distinct(), "task_id", "left_semi")
+    top = own.where((F.col("rank") <= k) & F.col("path").isNotNull() & (F.col("start_line") <= F.col("end_line")))
+    p = merged_spans(top, ["strategy", "task_id", "path"])
+    g = merged_spans(gold, ["task_id", "path"])
+    gg = g.select("task_id", "path", F.col("start_line").alias("gs"), F.col("end_line").alias("ge"))
+    shared = p.join(gg, ["task_id", "path"]).select(
+        "strategy", "task_id", F.greatest("start_line", "gs").alias("start_line"), F.least("end_line", "ge").alias("end_line")
+    ).where("start_line <= end_line")
+    both = F.coalesce("n_both", F.lit(0))
+    per = (
+        own.select("strategy", "task_id").distinct().join(_length(p, ["strategy", "task_id"], "n_pred"), ["strategy", "task_id"], "left")
+        .join(_length(shared, ["strategy", "task_id"], "n_both"), ["strategy", "task_id"], "left").join(_length(g, ["task_id"], "n_gold"), "task_id", "left")
+    )
+    return per.groupBy("strategy").agg(
+        F.avg(F.coalesce(both / F.col("n_pred"), F.lit(0.0))).alias("line_precision"),
+        F.avg(F.when(F.col("n_gold").isNull(), 1.0).otherwise(both / F.col("n_gold"))).alias("line_recall"),
+    )
+
+
+def span_contribution(predictions: DataFrame, gold: DataFrame, baseline: str) -> DataFrame:
+    """strategy, added_gold, added_false, n_tasks, n_blocked, blocked: the lines
+    that each strategy adds to the baseline's, over tasks with gold; a task is
+    blocked if more of them are false than gold, a strategy likewise in all.
+
+    Lines are counted by intervals: what a strategy has beyond the baseline is
+    the union of both less the baseline."""
+    with_gold = predictions.join(gold.select("task_id").distinct(), "task_id", "left_semi").where("start_line <= end_line")
+    base = merged_spans(with_gold.where(F.col("strategy") == baseline), ["task_id", "path"])
+    own = with_gold.where(F.col("strategy") != baseline).select("strategy", "task_id", "path", "start_line", "end_line")
+    # The baseline's spans come along with every strategy of their task.
+    joined = own.select("strategy", "task_id").distinct().join(base, "task_id").select(*own.columns)
+    keys = ["strategy", "task_id", "path"]
+    g = merged_spans(gold, ["task_id", "path"]).select("task_id", "path", F.col("start_line").alias("gs"), F.col("end_line").alias("ge"))
+
+    def covered(spans: DataFrame, sign: int) -> DataFrame:
+        """The lines of the spans' union, and how many of them are gold."""
+        n = F.col("end_line") - F.col("start_line") + 1
+        common = F.when(F.col("gs").isNotNull(), F.greatest(F.lit(0), F.least("end_line", "ge") - F.greatest("start_line", "gs") + 1)).otherwise(0)
+        per = merged_spans(spans, keys).join(g, ["task_id", "path"], "left").groupBy(*keys, "start_line", "end_line").agg(F.sum(common).alias("good"))
+        return per.groupBy("strategy", "task_id").agg((sign * F.sum("good")).alias("good"), (sign * F.sum(n)).alias("lines"))
+
+    added = covered(own.unionByName(joined), 1).unionByName(covered(joined, -1)).groupBy("strategy", "task_id").agg(
+        F.sum("good").alias("good"), (F.sum("lines") - F.sum("good")).alias("false")
+    )
+    some = (F.col("good") + F.col("false")) > 0
+    return added.groupBy("strategy").agg(
+        F.sum("good").alias("added_gold"), F.sum("false").alias("added_false"), F.count_if(some).alias("n_tasks"),
+        F.count_if(F.col("false") > F.col("good")).alias("n_blocked"), (F.sum("false") > F.sum("good")).alias("blocked"),
+    )
+
+
+def path_pollution(predictions: DataFrame, folders: list[str]) -> DataFrame:
+    """strategy, pollution: the share of a strategy's rows in any of the folders,
+    at whatever depth."""
+    bad = F.arrays_overlap(F.split(F.regexp_replace("path", r"\\", "/"), "/"), F.array(*[F.lit(f.strip("/")) for f in folders]))
+    return predictions.groupBy("strategy").agg(F.avg(F.coalesce(bad, F.lit(False)).cast("int")).alias("pollution"))
+
+
+def score_matrix(predictions: DataFrame, gold: DataFrame, tasks: DataFrame, baseline: str) -> DataFrame:
+    """One row a strategy with its file, span, waste and abstention metrics, and
+    its waste less the baseline's."""
+    recall = [
+        file_metrics(predictions, gold, k).select("strategy", F.col("file_recall").alias(f"recall_{k}")) for k in (1, 3, 5)
+    ]
+    parts = [*recall, file_metrics(predictions, gold).select("strategy", "mrr"), span_metrics(predictions, gold),
+             token_waste(predictions, gold), negative_rates(predictions, tasks, gold)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, "strategy", "left")
+    own = out.where(F.col("strategy") == baseline).select(F.col("token_waste").alias("_base"))
+    return out.join(F.broadcast(own), how="left").withColumn("waste_delta", F.col("token_waste") - F.col("_base")).drop("_base")

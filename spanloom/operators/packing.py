@@ -80,6 +80,53 @@ def guarded_novel(items: DataFrame, old: DataFrame, guard: int = 5, size: int =
     return reranked(marked.withColumn("_lead", lead), "_lead").drop("_old", "_ok", "_lead")
 
 
+def difference_aware(items: DataFrame, old: DataFrame, size: int = 10, guard: int = 5) -> DataFrame:
+    """rule, strategy, task_id, rank, new_rank: eight rules that mix or choose
+    between two orders, by how a task's list differs from the old pool.
+
+    *full*: the novel items, then the others, ``size`` in all, then the rest by
+    rank; *guarded*: ``guarded_novel``. Two rules mix them: eight of the full
+    order, then two of the guarded, and three of the guarded, then seven of the
+    full. The others take one order or the other, by repeated files and novel
+    items among the first five, or many novel ones (over ten, eight or more
+    among the first ten). An item is novel if its path isn't in ``old``
+    (strategy, task_id, path). Ranks run from 1 without gaps.
+    """
+    c, task = F.col, Window.partitionBy(*TASK)
+    so_far = task.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    seen = old.select(*TASK, "path").distinct().withColumn("_old", F.lit(1))
+    m = items.join(seen, [*TASK, "path"], "left").withColumn("_novel", c("_old").isNull())
+    first = F.row_number().over(Window.partitionBy(*TASK, "path").orderBy("rank")) == 1
+    m = m.withColumn("_add", (first & c("_novel") & (c("rank") > guard)).cast("int"))
+    nth, added = F.row_number().over(task.orderBy(F.desc("_novel"), "rank")), F.sum("_add").over(so_far)
+    count = lambda cond: F.sum(cond.cast("int")).over(task)
+    top = c("rank") <= 5
+    m = m.withColumns({
+        "_full": F.when(nth <= size, nth).otherwise(size + c("rank")),
+        "_guard": F.when(c("rank") <= guard, c("rank")).when((c("_add") == 1) & (added <= size - guard), guard + added).otherwise(size + c("rank")),
+        "_dup": count(top & c("path").isNotNull()) - F.size(F.collect_set(F.when(top, c("path"))).over(task)),
+        "_new5": count(top & c("_novel")), "_old5": count(top & ~c("_novel")),
+        "_new10": count((c("rank") <= 10) & c("_novel")), "_new": count(c("_novel")),
+    })
+
+    def mixed(lead: str, n: int, then: str) -> Column:
+        chosen = c(lead) <= n
+        place = F.row_number().over(Window.partitionBy(*TASK, chosen).orderBy(then))
+        return F.when(chosen, c(lead)).when(place <= size - n, n + place).otherwise(size + c("rank"))
+
+    m = m.withColumns({"_f8": mixed("_full", 8, "_guard"), "_g3": mixed("_guard", 3, "_full")})
+    guarded_if = lambda cond: F.when(cond, c("_guard")).otherwise(c("_full"))
+    deep = (c("_new") > 10) & (c("_new10") >= 8)
+    rules = {
+        "full8_guard2": c("_f8"), "guard3_full7": c("_g3"), "dup_guard": guarded_if(c("_dup") > 0), "novel_top5_guard": guarded_if(c("_new5") >= 4),
+        "keep_top5_guard": guarded_if((c("_dup") > 0) | (c("_old5") > 0)), "deep_full8": F.when(deep, c("_f8")).otherwise(c("_guard")),
+        "deep_full": guarded_if(~deep), "dup_or_few_novel_guard": guarded_if((c("_dup") > 0) | (c("_new5") <= 2)),
+    }
+    each = F.array(*[F.struct(F.lit(name).alias("rule"), key.cast("long").alias("_key")) for name, key in rules.items()])
+    rows = m.select(*TASK, "rank", F.explode(each).alias("r")).select(*TASK, "rank", "r.*")
+    return reranked(rows, "_key", by=[*TASK, "rule"]).drop("_key")
+
+
 def alternate(first: DataFrame, second: DataFrame, size: int = 10) -> DataFrame:
     """Takes turns between two orders (new_rank) of the same items; the last
     ones keep their rank. An item goes at the first turn that offers it."""
