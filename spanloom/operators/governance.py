@@ -73,13 +73,16 @@ def gate(inputs: DataFrame, policy: dict, provider: dict) -> DataFrame:
 
 
 # --------------------------------------------------------------- derived views
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
+IDENTIFIER = r"([\p{L}\p{N}_]+)"
 
 
 def identifiers(line: Column) -> Column:
-    """Names of three or more bytes in a line that are not secret-like."""
-    found = F.regexp_extract_all(line, F.lit(f"({IDENTIFIER})"), F.lit(1))
-    return F.filter(found, lambda n: (F.octet_length(n) >= 3) & ~is_secret_name(n))
+    """Names of two or more bytes in a line that are neither keywords nor
+    secret-like; of a line that gives a name a quoted value, those before its
+    first equals sign."""
+    body = F.when(T.is_string_assignment(F.trim(line)), F.substring_index(line, "=", 1)).otherwise(line)
+    found = F.regexp_extract_all(body, F.lit(IDENTIFIER), F.lit(1))
+    return F.filter(found, lambda n: (F.octet_length(n) >= 2) & ~T.is_keyword(n) & ~is_secret_name(n))
 
 
 def derived_views(chunks: DataFrame, kind: str, most: int) -> DataFrame:
@@ -97,11 +100,13 @@ def derived_views(chunks: DataFrame, kind: str, most: int) -> DataFrame:
 
 
 def chunk_summaries(chunks: DataFrame) -> DataFrame:
-    """A summary text of each file's first chunk: its language, range and first
-    identifier."""
+    """A summary text of each file's first chunk: its range, language and the
+    first identifier of a line that is no comment, if there is one."""
     first = chunks.where("start_line = 1")
-    names = F.flatten(F.transform(F.split("content", "\n", -1), identifiers))
-    text = F.concat_ws(" ", "language", F.concat(F.lit("lines 1-"), "end_line"), F.coalesce(F.get(names, 0), F.lit("")))
+    told = F.filter(F.split("content", "\n", -1), lambda x: ~F.trim(x).rlike("^(//|#)"))
+    name = F.get(F.flatten(F.transform(told, identifiers)), 0)
+    shown = F.concat(F.lit("chunk lines "), "start_line", F.lit("-"), "end_line", F.lit(": "), "language")
+    text = F.concat(shown, F.coalesce(F.concat(F.lit(", first_ident="), name), F.lit("")))
     return first.select("path", "start_line", "end_line", "content_sha", text.alias("derived_text"))
 
 

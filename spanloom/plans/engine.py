@@ -105,7 +105,10 @@ def embed_gate(spark, sf_dir):
     return governance.gate(inputs, policy, {"locality": "local", "provider_id": "mock", "max_data_level": 3}).select("doc_id", "reason")
 
 
-NAMES = "list_filter(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*'), lambda n: strlen(n) >= 3 AND NOT regexp_matches(upper(n), 'SECRET|TOKEN|PASSWORD|PASSWD|API_KEY|APIKEY|PRIVATE_KEY|PRIVATEKEY|AUTH_KEY|ACCESS_KEY') AND NOT regexp_matches(n, '^(sk_|ghp_|gho_|xox|AKIA)') AND NOT (strlen(n) >= 24 AND regexp_matches(n, '[A-Z]')::INT + regexp_matches(n, '[a-z]')::INT + regexp_matches(n, '[0-9]')::INT >= 2))"
+KEYWORDS = "'fn','let','mut','pub','use','mod','impl','struct','enum','trait','if','else','for','while','return','self','Self','super','crate','true','false','def','class','import','from','async','await','const','var','function','type','interface'"
+BODY = """CASE WHEN contains(line, '="') OR contains(line, '= "') OR contains(line, '= ''') THEN split_part(line, '=', 1) ELSE line END"""
+NAMES = f"list_filter(regexp_extract_all({BODY}, '[\\p{{L}}\\p{{N}}_]+'), lambda n: strlen(n) >= 2 AND n NOT IN ({KEYWORDS}) AND NOT regexp_matches(upper(n), 'SECRET|TOKEN|PASSWORD|PASSWD|API_KEY|APIKEY|PRIVATE_KEY|PRIVATEKEY|AUTH_KEY|ACCESS_KEY') AND NOT regexp_matches(n, '^(sk_|ghp_|gho_|xox|AKIA)') AND NOT (strlen(n) >= 24 AND regexp_matches(n, '\\p{{Lu}}')::INT + regexp_matches(n, '\\p{{Ll}}')::INT + regexp_matches(n, '[0-9]')::INT >= 2))"
+CHUNK_NAMES = f"{FILES}, {LINES}, {CHUNKS}, ln AS (SELECT path, language, content_sha, start_line, end_line, unnest(range(0, len(string_split(content, chr(10))))) AS k, unnest(string_split(content, chr(10))) AS line FROM chunks), nl AS (SELECT *, {NAMES} AS names FROM ln)"
 
 
 @query(f"""WITH {FILES}, {LINES}, {CHUNKS}, c AS (SELECT *, unnest(range(0, len(string_split(content, chr(10))))) AS k, unnest(string_split(content, chr(10))) AS line FROM chunks), n AS (SELECT path, start_line, end_line, content_sha, k, unnest(range(0, len(nm))) AS j, unnest(nm) AS name FROM (SELECT *, {NAMES} AS nm FROM c)),
@@ -116,15 +119,19 @@ def symbol_tags(spark, sf_dir):
     return got.select("path", F.col("start_line").cast("long").alias("start_line"), "view_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(f"""WITH {CHUNK_NAMES}, al AS (SELECT path, start_line, end_line, content_sha, flatten(list(list_filter(list_transform(string_split_regex(regexp_replace(n, '(\\p{{Lu}})', ' \\1', 'g'), '[\\s_]+'), lambda p: lower(p)), lambda p: strlen(p) >= 3) ORDER BY k, j)) AS a
+ FROM (SELECT *, unnest(names) AS n, unnest(range(0, len(names))) AS j FROM nl) GROUP BY ALL), dl AS (SELECT *, list_filter(a, lambda x, i: list_position(a, x) = i) AS d FROM al)
+SELECT left(sha256(concat_ws(':', c.path, c.start_line, c.end_line, c.content_sha, 'query_aliases', 'static', '1')), 16) AS view_id, c.path, c.start_line, coalesce(array_to_string(d[1:30], ','), '') AS tags FROM chunks c LEFT JOIN dl USING (path, start_line)""")
 def query_aliases(spark, sf_dir):
     got = governance.derived_views(corpus.line_chunks(files(spark, sf_dir)), "query_aliases", 30)
-    return got.select("view_id", "path", "start_line", F.array_join("tags", ",").alias("tags"))
+    return got.select("view_id", "path", F.col("start_line").cast("long").alias("start_line"), F.array_join("tags", ",").alias("tags"))
 
 
-@query()
+@query(f"""WITH {CHUNK_NAMES}, fi AS (SELECT path, arg_min(names[1], k) AS name FROM nl WHERE start_line = 1 AND len(names) > 0 AND NOT regexp_matches(trim(line), '^(//|#)') GROUP BY path)
+SELECT path, c.start_line, c.end_line, content_sha, 'chunk lines ' || c.start_line || '-' || c.end_line || ': ' || language || coalesce(', first_ident=' || name, '') AS derived_text FROM chunks c LEFT JOIN fi USING (path) WHERE c.start_line = 1""")
 def chunk_summary(spark, sf_dir):
-    return governance.chunk_summaries(corpus.line_chunks(files(spark, sf_dir)))
+    got = governance.chunk_summaries(corpus.line_chunks(files(spark, sf_dir)))
+    return got.withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line")})
 
 
 @query("""WITH v AS (SELECT 'doc/' || doc_id AS path, doc_id, CASE WHEN doc_id % 10 = 3 THEN 'odd' ELSE 'symbol_tags' END AS kind, CASE WHEN doc_id % 8 = 1 THEN 'old' ELSE sha256(text) END AS sha, doc_id % 5 AS data_level, 1 AS s, doc_id % 30 AS e, sha256(text) AS cur, len(string_split(text, chr(10))) AS n FROM documents)
