@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,27 +50,83 @@ def weighted_mean(df: DataFrame, value: str, weight: str, by: list[str]) -> Data
     return df.groupBy(*by).agg(total.alias("weighted_mean"))
 
 
-def _poisson(draw: Column) -> Column:
-    """A Poisson(1) count from a uniform draw, by its distribution function."""
-    out, term, total = F.lit(8), 2.718281828459045 ** -1, 0.0
-    steps = []
-    for k in range(8):
-        total += term
-        steps.append((k, total))
-        term /= k + 1
-    for k, bound in reversed(steps):
-        out = F.when(draw < bound, k).otherwise(out)
-    return out
+def _counts_of_draws() -> np.ndarray:
+    """The Poisson(1) count of each 16-bit draw, by its distribution function."""
+    bounds = np.cumsum([1 / (math.e * math.factorial(k)) for k in range(9)])
+    return np.searchsorted(bounds, (np.arange(1 << 16) + 0.5) / (1 << 16), side="right").astype(np.uint8)
+
+
+def poisson_weights(hashes: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each row (a 64-bit hash) is drawn in each resample, rows by
+    resamples. Four draws come from a word: the hash stepped on by a counter and
+    mixed, so that a row's draws depend on its hash alone."""
+    with np.errstate(over="ignore"):
+        x = hashes.astype(np.uint64)[:, None] + np.arange(1, (resamples + 3) // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return _DRAWN[x.view(np.uint16)[:, :resamples]]
+
+
+_DRAWN = _counts_of_draws()
+#: Bytes of running sums that a task holds before it passes them on.
+HELD_BYTES = 64 << 20
+
+
+def _resampled(by: list[str], resamples: int):
+    """A task's sums: for each group the vectors of weighted values and weights."""
+    step = max(1, (1 << 20) // max(resamples, 1))
+    most = max(1, HELD_BYTES // (16 * max(resamples, 1)))
+
+    def batch_of(held: dict) -> pa.RecordBatch:
+        keys = pa.concat_tables([k for k, _, _ in held.values()])
+        sums = [pa.array([x[i] for x in held.values()], pa.list_(pa.float64())) for i in (1, 2)]
+        return pa.RecordBatch.from_arrays([keys[c].combine_chunks() for c in by] + sums, [*by, "sums", "weights"])
+
+    def task(batches):
+        held: dict = {}
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if not rows.num_rows:
+                continue
+            keys = rows.select(by)
+            places = keys.append_column("_i", pa.array(np.arange(rows.num_rows))).group_by(by).aggregate([("_i", "list")])
+            hashes, values = rows["_h"].to_numpy(), rows["_v"].to_numpy()
+            for at in places["_i_list"].to_pylist():
+                own = keys.slice(at[0], 1)
+                name = tuple(own.to_pylist()[0].values())
+                if name not in held:
+                    if len(held) >= most:
+                        yield batch_of(held)
+                        held = {}
+                    held[name] = (own, np.zeros(resamples), np.zeros(resamples))
+                _, sums, weights = held[name]
+                for i in range(0, len(at), step):
+                    part = np.array(at[i:i + step])
+                    drawn = poisson_weights(hashes[part], resamples).astype(np.float64)
+                    sums += values[part] @ drawn
+                    weights += drawn.sum(axis=0)
+        if held:
+            yield batch_of(held)
+
+    return task
 
 
 def bootstrap_means(df: DataFrame, value: str, key: str, by: list[str], resamples: int, seed: int = 0) -> DataFrame:
     """``by``, resample, mean. Each row is drawn a Poisson(1) number of times in
-    each resample, from a hash of its key, so resampling is one aggregation with
-    map-side sums, needs no row numbers, and does not depend on partitioning."""
-    spread = df.select(*by, key, F.col(value).cast("double").alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("resample"), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    drawn = spread.withColumn("_w", _poisson(draw))
-    return drawn.groupBy(*by, "resample").agg((F.sum(F.col("_v") * F.col("_w")) / F.nullif(F.sum("_w"), F.lit(0))).alias("mean"))
+    each resample, from a hash of its key, which needs no row numbers and does
+    not depend on partitioning; rows of one key are drawn together. Rows without
+    a value are left out; chances are in steps of 2^-16.
+
+    A task keeps one pair of vectors a group, so rows are never multiplied by
+    the resamples, and what is shuffled grows with the tasks only."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.xxhash64(F.lit(seed), F.col(key)).alias("_h"), F.col(value).cast("double").alias("_v"))
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(by)])
+    sums = rows.mapInArrow(_resampled(by, resamples), f"{types}, sums array<double>, weights array<double>")
+    each = sums.select(*by, F.posexplode(F.arrays_zip("sums", "weights")).alias("resample", "s"))
+    return each.groupBy(*by, "resample").agg((F.sum("s.sums") / F.nullif(F.sum("s.weights"), F.lit(0))).alias("mean"))
 
 
 def bootstrap_interval(df: DataFrame, value: str, key: str, by: list[str], resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 import ast
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,21 @@ def test_bootstrap_covers_mean_and_repeats(spark):
     assert (one.low, one.high) == (pytest.approx(again.low), pytest.approx(again.high))
 
 
+def test_bootstrap_sums_equal_plain_ones(spark, monkeypatch):
+    rows = [("a", 1, 2.0), ("a", 2, -1.0), (None, 3, 5.0), ("a", 1, 4.0), ("b", 4, None), (None, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id long, v double").withColumn("h", F.xxhash64(F.lit(3), "id"))
+    want = {}
+    for r in df.where("v IS NOT NULL").collect():
+        for i, n in enumerate(stats.poisson_weights(np.array([r.h]), 50)[0].tolist()):
+            total, count = want.get((r.g, i), (0.0, 0))
+            want[r.g, i] = (total + n * r.v, count + n)
+    got = {(r.g, r.resample): r["mean"] for r in stats.bootstrap_means(df, "v", "id", ["g"], 50, seed=3).collect()}
+    assert got == {k: pytest.approx(t / n) if n else None for k, (t, n) in want.items()}
+    assert stats.bootstrap_means(df.where("false"), "v", "id", ["g"], 50).count() == 0
+    drawn = stats.poisson_weights(np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 400), 4001)
+    assert drawn.shape == (400, 4001) and abs(drawn.mean() - 1) < 0.005 and abs(drawn.var() - 1) < 0.01
+
+
 def test_cosine_edge_cases(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
