@@ -7,12 +7,15 @@ candidates (a short list) at a time.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hybrids import RISK_PATH
+
 TASK = ["strategy", "task_id"]
 
 
@@ -169,11 +172,12 @@ CANDIDATES = "task_id long, path string, start_line long, end_line long, agreeme
 
 
 def agreed_candidates(predictions: DataFrame) -> DataFrame:
-    """One row for each task and span: how many methods found it, the best rank,
-    and the best score relative to its method's best."""
+    """One row for each task and span: how many methods found it and which, the
+    best rank, and the best score relative to its method's best."""
     best = F.max("score").over(Window.partitionBy("strategy", "task_id"))
     return predictions.withColumn("_norm", F.col("score") / F.nullif(best, F.lit(0))).groupBy("task_id", "path", "start_line", "end_line").agg(
         F.countDistinct("strategy").alias("agreement"), F.min("rank").cast("long").alias("min_rank"), F.max("_norm").alias("max_score"),
+        F.array_sort(F.collect_set("strategy")).alias("methods"),
     )
 
 
@@ -208,25 +212,52 @@ def budgeted_acquisition(candidates: DataFrame, budget: int) -> DataFrame:
     return _each_task(candidates, pick)
 
 
-def greedy_diversity(candidates: DataFrame, budget: int) -> DataFrame:
-    """Scores the remaining candidates again after each choice: agreement, rank
-    and diversity count for one, repeated files and spans against it."""
+#: What a method's agreement weighs; others weigh a half.
+METHOD_WEIGHTS = {"bm25": 1.0, "regex": 0.6, "symbol": 0.8, "rrf": 0.9}
+#: File extensions, which tell nothing about a path's subject.
+PLAIN_EXTENSIONS = {
+    "py", "rs", "ts", "js", "go", "java", "c", "cpp", "h", "hpp", "md", "txt", "json", "toml", "yaml", "yml", "sh", "rb", "php", "kt", "swift",
+}
+_RISKY = re.compile(RISK_PATH)
+
+
+def greedy_diversity(candidates: DataFrame, budget: int, queries: DataFrame | None = None) -> DataFrame:
+    """Scores the remaining candidates again after each choice. For one count
+    its methods by weight (of those of the whole task; without ``methods``, by
+    number), its score, a new file and folder, and the words that its path
+    shares with the query (``queries``: task_id, query); against it a risky path
+    and a file taken already."""
+    told = candidates if "methods" in candidates.columns else candidates.withColumn("methods", F.lit(None).cast("array<string>"))
+    told = told.join(queries.select("task_id", "query"), "task_id", "left") if queries is not None else told.withColumn("query", F.lit(None).cast("string"))
+
     def pick(rows: list[dict]) -> list[dict]:
-        taken: list[dict] = []
-        rest = list(rows)
-        methods = max((r["agreement"] for r in rows), default=1)
-        while rest and len(taken) < budget:
-            def priority(row: dict) -> float:
-                same = sum(t["path"] == row["path"] for t in taken)
-                exact = any(t["path"] == row["path"] and t["start_line"] == row["start_line"] for t in taken)
-                diversity = (1.0, 0.5, 0.25)[same] if same < 3 else 0.0
-                repeated = 1.0 if exact else 0.5 if same else 0.0
-                return 0.30 * row["agreement"] / methods + 0.20 * row["max_score"] + 0.20 * diversity - 0.30 * repeated
-            best = max(range(len(rest)), key=lambda i: (priority(rest[i]), -i))
-            taken.append(rest.pop(best))
+        methods = [list(r["methods"]) if r["methods"] is not None else [f"any{i}" for i in range(r["agreement"])] for r in rows]
+        weigh = lambda names: sum(METHOD_WEIGHTS.get(m, 0.5) for m in names)
+        every = weigh(set().union(*methods)) or 1.0
+        asked = set(re.findall("[a-z0-9_]+", (rows[0]["query"] or "").lower()))
+        fixed, folders = [], []
+        for row, names in zip(rows, methods, strict=True):
+            path = row["path"] or ""
+            words = set(re.findall("[a-z0-9]+", path.lower())) - PLAIN_EXTENSIONS
+            shared = len(asked & words) / len(asked | words) if asked and words else 0.0
+            fixed.append(0.30 * weigh(names) / every + 0.20 * (row["max_score"] or 0.0) + 0.15 * shared - 0.25 * bool(_RISKY.search(path)))
+            folders.append(path.rpartition("/")[0])
+        left, taken, files, seen = list(range(len(rows))), [], set(), set()
+
+        def priority(i: int) -> float:
+            new_file, new_folder = rows[i]["path"] not in files, folders[i] != "" and folders[i] not in seen
+            diversity = (0.5 if new_file else 0.0) + (0.5 if new_file and new_folder else 0.25 if new_folder else 0.0)
+            return round(fixed[i] + 0.20 * diversity - (0.0 if new_file else 0.15), 6)
+
+        while left and len(taken) < budget:
+            best = max(left, key=lambda i: (priority(i), -i))
+            left.remove(best)
+            taken.append(rows[best])
+            files.add(rows[best]["path"])
+            seen.add(folders[best])
         return taken
 
-    return _each_task(candidates, pick)
+    return _each_task(told, pick)
 
 
 def anchored(candidates: DataFrame, budget: int, anchors: int = 3, least: float = 0.2) -> DataFrame:

@@ -336,7 +336,7 @@ def budgeted_acquisition(spark, sf_dir):
 
 @query()
 def greedy_diversity(spark, sf_dir):
-    return packing.greedy_diversity(packing.agreed_candidates(predictions(spark, sf_dir)), 5)
+    return packing.greedy_diversity(packing.agreed_candidates(predictions(spark, sf_dir)), 5, tasks(spark, sf_dir))
 
 
 @query()

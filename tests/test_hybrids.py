@@ -81,3 +81,15 @@ def test_contribution(spark):
     gold = spark.createDataFrame([(1, "f", 9, 12)], "task_id long, path string, start_line long, end_line long")
     got = {r["strategy"]: tuple(r)[1:] for r in metrics.span_contribution(p, gold, "b").collect()}
     assert got == {"x": (2, 6, 1, 1, True), "y": (0, 0, 0, 0, False)}
+
+
+def test_greedy_terms(spark):
+    rows = [
+        (1, "src/load.rs", 1, 5, 2, 1, 1.0, ["bm25", "rrf"]), (1, "src/load.rs", 8, 9, 2, 2, 0.9, ["bm25", "rrf"]), (1, "tests/load.rs", 1, 5, 1, 3, 0.8, ["regex"]),
+        (1, "lib/other.rs", 1, 5, 1, 3, 0.8, ["regex"]), (1, "lib/load.rs", 1, 5, 1, 4, None, ["new"]),
+    ]
+    c = spark.createDataFrame(rows, packing.CANDIDATES + ", methods array<string>")
+    q = spark.createDataFrame([(1, "load it"), (2, None)], "task_id long, query string")
+    got = [(r.path, r.start_line) for r in packing.greedy_diversity(c, 9, q).orderBy("place").collect()]
+    # After the first: lib/other .06 + .16 + .2, the rest of src/load .19 + .18 + .05 - .15, lib/load .05 + .05 + .2, tests/load .06 + .16 + .05 + .2 - .25.
+    assert got[0] == ("src/load.rs", 1) and got[1] == ("lib/other.rs", 1) and got[2] == ("src/load.rs", 8)
