@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import exactsearch, middle, phrases, quality, secrets
 
 
 def _located(name: str, kind: int, pattern: str) -> str:
@@ -80,4 +80,7 @@ ORACLES = {
     "op4_decontamination": _overlaps(),
     "op5_warc": WARC,
     "op9_quality_rules": _quality(),
+    "op11_exact_topk": exactsearch.ORACLE,
+    "op12_phrase_collocations": phrases.ORACLE,
+    "op13_fill_in_middle": middle.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, pieces, quality, secrets, simhash, tokenpack, toxicity, warc
+from . import decontam, exactsearch, langid, middle, phrases, pieces, quality, secrets, simhash, tokenpack, toxicity, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -51,6 +51,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.count_report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactsearch.search_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocation_report(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.middle_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_piece_encoding,
         op9_quality_rules,
         op10_token_counts,
+        op11_exact_topk,
+        op12_phrase_collocations,
+        op13_fill_in_middle,
     )
 }
 
