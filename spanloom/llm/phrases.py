@@ -10,9 +10,12 @@ phrase are frequent, the adjacent words at a level are those that end a frequent
 phrase of that level one position on: that merge is exact and gives, with the
 phrase, its first and last parts, which hold all frequencies that scores need.
 
-Blocks are bounded by the size of their texts, so a block's lists fit one task;
-words and phrases are counted from one row a block, so a frequent one has as
-many rows as there are blocks, however often it occurs.
+Lists stay with their block. What goes round is one bundle for each block and
+bucket of phrases (by hash), with the phrases' numbers and list lengths; a
+bucket's task sums the lengths, numbers the frequent phrases, and answers each
+block with those it holds. A frequent phrase has one entry a block, however
+often it occurs, and the number of buckets grows with the words, so no task's
+input grows with the table.
 
 Defined results
 * null or empty text: no words. Null language: ``und``.
@@ -30,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.lexical import ranked
-from .common import few, written
+from .common import few, scratch_path, sweep, written
 
 LEAST, MOST_WORDS, FIRST = 30, 4, 2000
 SCALE = 2_000_000
@@ -50,7 +54,10 @@ BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 FOLD = bytes(0x0A if b in BREAKS else 0x20 if b == 0x09 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 LISTS = "block long, lang string, word string, cnt long, places binary"
-PAIRS = "block long, head long, tail long, cnt long, places binary"
+BUNDLES = "block long, bucket long, bundle binary"
+FOUND = "head long, tail long, a long, id long"
+#: Words for which there is one bucket of phrases.
+BUCKET_WORDS = 1 << 21
 
 
 # ----------------------------------------------------------------------- lists
@@ -133,47 +140,178 @@ def word_lists(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataF
     return rows.mapInArrow(task, LISTS)
 
 
-def _paired(block: int, at: np.ndarray, head: np.ndarray, tail: np.ndarray) -> pa.Table:
-    """Lists of the pairs (head, tail) that stand at places."""
-    order = np.lexsort((at, tail, head))
-    at, head, tail = at[order], head[order], tail[order]
-    new = np.flatnonzero((np.diff(head, prepend=-1) != 0) | (np.diff(tail, prepend=-1) != 0)) if len(at) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(new, len(at)))
-    return pa.Table.from_arrays(
-        [pa.array(np.full(len(new), block, np.int64)), pa.array(head[new].astype(np.int64)), pa.array(tail[new].astype(np.int64)),
-         pa.array(counts.astype(np.int64)), packed(at, new)],
-        names=["block", "head", "tail", "cnt", "places"],
-    )
+# --------------------------------------------------------------------- bundles
+def sealed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes, lowest bytes first."""
+    planes = [np.ascontiguousarray(np.asarray(a).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
+    lengths = np.array([len(arrays), *map(len, arrays)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(lengths + b"".join(planes))
+
+
+def opened(bundle: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(bundle)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    out, at = [], 8 * (n + 1)
+    for length in np.frombuffer(raw, "<i8", n, 8):
+        planes = np.frombuffer(raw, np.uint8, 8 * length, at).reshape(8, -1)
+        out.append(np.ascontiguousarray(planes.T).view("<i8").reshape(-1))
+        at += 8 * int(length)
+    return out
+
+
+def bucket_of(head: np.ndarray, tail: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tail.astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start in sorted arrays."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _table(rows: list[tuple], schema: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, schema)], names=[name for name, _ in schema])
+
+
+def _bundled(rows: list[tuple]) -> pa.Table:
+    return _table(rows, [("block", pa.int64()), ("bucket", pa.int64()), ("bundle", pa.binary())])
+
+
+def extended(block: int, at: np.ndarray, ids: np.ndarray, buckets: int, keep: bool) -> pa.Table:
+    """Bundles of a block for each bucket: head, tail and list length of the
+    phrases of one more word, which stand where ``head`` stands and ``tail``
+    stands one position further; and, without a bucket, the block's own lists.
+    Places ascend: one phrase of a level begins at each."""
+    follows = np.flatnonzero(np.diff(at) == 1)
+    head, tail = ids[follows], ids[follows + 1]
+    bucket = bucket_of(head, tail, buckets)
+    order = np.lexsort((tail, head, bucket))
+    head, tail, bucket = head[order], tail[order], bucket[order]
+    new = _runs(bucket, head, tail)
+    counts = np.diff(np.append(new, len(head)))
+    head, tail, bucket = head[new], tail[new], bucket[new]
+    ends = np.append(_runs(bucket), len(bucket))
+    rows = [(block, int(bucket[i]), sealed(np.diff(head[i:j], prepend=0), tail[i:j], counts[i:j])) for i, j in zip(ends[:-1], ends[1:])]
+    if keep and len(follows):
+        # Only places that follow or are followed can be part of longer phrases.
+        used = np.union1d(follows, follows + 1)
+        at, ids = at[used], ids[used]
+        order = np.argsort(ids, kind="stable")
+        at, ids = at[order], ids[order]
+        new = _runs(ids)
+        lengths = np.diff(np.append(new, len(ids)))
+        steps = np.diff(at, prepend=0)
+        steps[new] = at[new]
+        rows.append((block, None, sealed(ids[new], lengths, steps)))
+    return _bundled(rows)
+
 
+def _in_order(ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists' places in ascending order, and the phrase at each."""
+    order = np.argsort(at, kind="stable")
+    return at[order], np.repeat(ids, counts)[order]
 
-def extended(lists: DataFrame) -> DataFrame:
-    """block, head, tail, cnt, places: phrases of one more word, from the lists
-    (block, id, cnt, places) of frequent ones: where ``head`` stands and ``tail``
-    stands one position further."""
+
+def _first_bundles(lists: DataFrame, buckets: int) -> DataFrame:
+    """Bundles of the pairs of words from the words' lists (block, id, cnt, places)."""
     def task(table: pa.Table) -> pa.Table:
         counts = table.column("cnt").to_numpy()
-        at, ids = unpacked(table.column("places"), counts), np.repeat(table.column("id").to_numpy(), counts)
-        order = np.argsort(at, kind="stable")
-        at, ids = at[order], ids[order]
-        # One phrase of a level begins at a place at most, so the lists' union is sorted without ties.
-        next_one = np.flatnonzero(np.diff(at) == 1)
-        return _paired(table.column("block")[0].as_py(), at[next_one], ids[next_one], ids[next_one + 1])
+        at, ids = _in_order(table.column("id").to_numpy(), counts, unpacked(table.column("places"), counts))
+        return extended(table.column("block")[0].as_py(), at, ids, buckets, True)
+
+    return lists.groupBy("block").applyInArrow(task, BUNDLES)
+
+
+def _next_bundles(lists: DataFrame, frequent: DataFrame, buckets: int, keep: bool) -> DataFrame:
+    """Bundles of the next level from the blocks' lists of one level before and
+    the frequent phrases (head, tail, id) of this level in each block."""
+    def task(own: pa.Table, answers: pa.Table) -> pa.Table:
+        if not own.num_rows or not answers.num_rows:
+            return _bundled([])
+        ids, counts, steps = opened(own.column("bundle")[0].as_py())
+        summed, starts = np.cumsum(steps), np.cumsum(counts) - counts
+        at, phrase = _in_order(ids, counts, summed - np.repeat(summed[starts] - steps[starts], counts))
+        head, tail, number = (np.concatenate(c) for c in zip(*(opened(b) for b in answers.column("bundle").to_pylist())))
+        place = lambda heads, tails: np.searchsorted(ids, heads) * len(ids) + np.searchsorted(ids, tails)
+        known = place(head, tail)
+        order = np.argsort(known)
+        known, number = known[order], number[order]
+        follows = np.flatnonzero(np.diff(at) == 1)
+        asked = place(phrase[follows], phrase[follows + 1])
+        found = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+        hit = known[found] == asked
+        return extended(own.column("block")[0].as_py(), at[follows[hit]], number[found[hit]], buckets, keep)
+
+    return lists.groupBy("block").cogroup(frequent.groupBy("block")).applyInArrow(task, BUNDLES)
+
+
+def _answered(bundles: DataFrame, least: int) -> DataFrame:
+    """For each bucket: its frequent phrases (head, tail, a, id) in one bundle
+    without a block, and for each block those that it holds (head, tail, id)."""
+    def task(table: pa.Table) -> pa.Table:
+        bucket, parts = table.column("bucket")[0].as_py(), [opened(b) for b in table.column("bundle").to_pylist()]
+        block = np.repeat(table.column("block").to_numpy(), [len(p[0]) for p in parts])
+        head, tail, count = (np.concatenate(c) for c in zip(*((np.cumsum(h), t, n) for h, t, n in parts)))
+        order = np.lexsort((tail, head))
+        new = _runs(head[order], tail[order])
+        total = np.add.reduceat(count[order], new)
+        often = total >= least
+        number = np.where(often, (bucket << 32) + np.cumsum(often) - 1, -1)
+        first = order[new[often]]
+        rows = [(None, bucket, sealed(head[first], tail[first], total[often], number[often]))] if len(first) else []
+        given = np.empty(len(order), np.int64)
+        given[order] = np.repeat(number, np.diff(np.append(new, len(order))))
+        kept = np.flatnonzero(given >= 0)
+        kept = kept[np.argsort(block[kept], kind="stable")]
+        ends = np.append(_runs(block[kept]), len(kept))
+        for i, j in zip(ends[:-1], ends[1:]):
+            at = kept[i:j]
+            rows.append((int(block[at[0]]), bucket, sealed(head[at], tail[at], given[at])))
+        return _bundled(rows)
+
+    return bundles.where("bucket is not null").groupBy("bucket").applyInArrow(task, BUNDLES)
+
+
+def _found(answers: DataFrame) -> DataFrame:
+    """head, tail, a, id of all frequent phrases of a level."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bundle in batch.column("bundle"):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in opened(bundle.as_py())], names=["head", "tail", "a", "id"])
 
-    return lists.groupBy("block").applyInArrow(task, PAIRS)
+    return answers.where("block is null").select("bundle").mapInArrow(task, FOUND)
 
 
 # ---------------------------------------------------------------------- levels
-def _frequent(counts: DataFrame, least: int, name: str) -> DataFrame:
-    """Counts (a) of at least ``least``, numbered, as a written table."""
-    return written(counts.where(F.col("a") >= least).withColumn("id", F.monotonically_increasing_id()), name)
+def _kept(lists: DataFrame, words: DataFrame) -> DataFrame:
+    """The lists of frequent words, by their ids; the words are broadcast if
+    both their number and their bytes are bounded."""
+    keys = words.select("lang", "word", "id")
+    length = keys.agg(F.sum(F.octet_length("lang") + F.octet_length("word"))).first()[0]
+    return lists.join(few(keys) if (length or 0) <= BROADCAST_BYTES else keys, ["lang", "word"]).select("block", "id", "cnt", "places")
+
+
+class _Scratch:
+    """Written tables of one run that are deleted when a later one rests on them."""
+
+    def __init__(self, spark):
+        self.spark, self.paths = spark, {}
 
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = scratch_path(self.spark, name)
+        df.write.parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
 
-def _kept(lists: DataFrame, frequent: DataFrame, on: list[str]) -> DataFrame:
-    """The lists of frequent words or pairs, by their ids; the frequent ones are
-    broadcast if both their number and their words' bytes are bounded."""
-    keys = frequent.select(*on, "id")
-    length = keys.agg(F.sum(sum((F.octet_length(c) for c, kind in keys.dtypes if kind == "string"), F.lit(0)))).first()[0]
-    return lists.join(few(keys) if (length or 0) <= BROADCAST_BYTES else keys, on).select("block", "id", "cnt", "places")
+    def drop(self, *names: str) -> None:
+        sweep(self.spark, {self.paths.pop(name) for name in names if name in self.paths})
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -186,19 +324,25 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, most_words: int = MOST
     """Tables of the frequent phrases of 1, 2, ... words (id, lang, phrase, a,
     and for two words or more: head and tail, the ids of the phrases without the
     last and without the first word), and lang, n."""
-    lists = written(word_lists(docs), "wordlists")
-    totals = lists.groupBy("lang").agg(F.sum("cnt").alias("n"))
-    words = _frequent(lists.groupBy("lang", "word").agg(F.sum("cnt").alias("a")), least, "frequent1")
+    scratch = _Scratch(docs.sparkSession)
+    lists = scratch.write(word_lists(docs), "wordlists")
+    totals = written(lists.groupBy("lang").agg(F.sum("cnt").alias("n")), "totals")
+    counted = lists.groupBy("lang", "word").agg(F.sum("cnt").alias("a")).where(F.col("a") >= least)
+    words = written(counted.withColumn("id", F.monotonically_increasing_id()), "words")
+    buckets = 1 + (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS
     levels = [words.select("id", "lang", F.col("word").alias("phrase"), "a")]
-    kept = _kept(lists, words, ["lang", "word"])
+    bundles = scratch.write(_first_bundles(_kept(lists, words), buckets), "bundles2") if most_words > 1 else None
+    scratch.drop("wordlists")
     for size in range(2, most_words + 1):
-        found = written(extended(kept), f"lists{size}")
-        counts = _frequent(found.groupBy("head", "tail").agg(F.sum("cnt").alias("a")), least, f"frequent{size}")
+        answers = scratch.write(_answered(bundles, least), f"answers{size}")
         head = levels[-1].select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"))
         tail = levels[-1].select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("last"))
-        named = counts.join(head, "head").join(tail, "tail")
+        named = _found(answers).join(head, "head").join(tail, "tail")
         levels.append(written(named.select("id", "lang", F.concat_ws(" ", "first", "last").alias("phrase"), "a", "head", "tail"), f"phrases{size}"))
-        kept = _kept(found, counts, ["head", "tail"])
+        if size < most_words:
+            own, frequent = bundles.where("bucket is null"), answers.where("block is not null")
+            bundles = scratch.write(_next_bundles(own, frequent, buckets, size + 1 < most_words), f"bundles{size + 1}")
+        scratch.drop(f"bundles{size}", f"answers{size}")
     return levels, totals
 
 

@@ -119,7 +119,7 @@ def mined(spark, rows, least=3, first=10, parts=3):
     return sorted(tuple(r) for r in got.collect())
 
 
-def test_phrases_against_brute_force(spark):
+def test_phrases_against_brute_force(spark, monkeypatch):
     rnd = random.Random(11)
     words = ["New", "york", "CITY", "é", "Éa", "of", "the\t", "a", "名前", "b c", "x" * 50]
     rows = []
@@ -128,7 +128,15 @@ def test_phrases_against_brute_force(spark):
         rows.append((rnd.choice(("en", "fr", None)), text))
     rows += [("en", None), ("fr", ""), ("de", "..,;"), ("en", "a a a a a a a a")] + [("en", "one two three four five")] * 9
     assert mined(spark, rows) == brute_phrases(rows, 3, 10)
+    monkeypatch.setattr(phrases, "BUCKET_WORDS", 500)
     assert mined(spark, rows, first=10_000, parts=1) == brute_phrases(rows, 3, 10_000)
+    assert mined(spark, rows, first=10_000, parts=7) == brute_phrases(rows, 3, 10_000)
+
+
+def test_bundles_round_trip():
+    arrays = [np.array([], np.int64), np.array([-(1 << 62), 5, 1 << 40]), np.arange(1000)]
+    for a, b in zip(arrays, phrases.opened(phrases.sealed(*arrays))):
+        assert np.array_equal(a, b)
 
 
 def test_phrases_of_small_blocks_and_empty_tables(spark):
