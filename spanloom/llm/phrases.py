@@ -62,21 +62,33 @@ BUCKET_WORDS = 1 << 21
 
 # ----------------------------------------------------------------------- lists
 def packed(places: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """Sorted lists, one after the other from ``starts``, as binary values of
-    32-bit differences (the first place as it is)."""
+    """Sorted lists, one after the other from ``starts``, as binary values: the
+    differences (the first place as it is) of seven bits a byte, lowest first,
+    the top bit set where more follow."""
     if not len(starts):
         return pa.array([], pa.binary())
     steps = np.diff(places, prepend=0)
     steps[starts] = places[starts]
-    ends = np.append(starts, len(places)).astype(np.int32) * 4
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(steps.astype("<i4").tobytes())])
+    size = np.ones(len(steps), np.int64)
+    for bits in range(7, 35, 7):
+        size += steps >= 1 << bits
+    after = np.cumsum(size)
+    first, out = after - size, np.zeros(after[-1], np.uint8)
+    for i in range(int(size.max())):
+        at = np.flatnonzero(size > i)
+        out[first[at] + i] = ((steps[at] >> (7 * i)) & 127) | np.where(size[at] > i + 1, 128, 0)
+    ends = np.append(first[starts], after[-1]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out.tobytes())])
 
 
 def unpacked(lists: pa.ChunkedArray, counts: np.ndarray) -> np.ndarray:
     """All places of packed lists, whose lengths are known, one after the other."""
-    steps = np.frombuffer(b"".join(lists.to_pylist()), "<i4").astype(np.int64)
-    if not len(steps):
-        return steps
+    raw = np.frombuffer(b"".join(lists.to_pylist()), np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.int64)
+    first = np.concatenate(([0], np.flatnonzero(raw < 128)[:-1] + 1))
+    shift = 7 * (np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw)))))
+    steps = np.add.reduceat((raw & 127).astype(np.int64) << shift, first)
     summed = np.cumsum(steps)
     starts = np.cumsum(counts) - counts
     return summed - np.repeat(summed[starts] - steps[starts], counts)

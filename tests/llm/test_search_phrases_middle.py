@@ -146,7 +146,10 @@ def test_phrases_of_small_blocks_and_empty_tables(spark):
     block.add("en", b"b a b, a B")
     (rows,) = block.rows(4)
     lists = dict(zip(rows.column("word").to_pylist(), zip(rows.column("cnt").to_pylist(), rows.column("places").to_pylist())))
-    assert {w: (n, np.cumsum(np.frombuffer(p, "<i4")).tolist()) for w, (n, p) in lists.items()} == {"b": (3, [0, 2, 5]), "a": (2, [1, 4])}
+    assert {w: (n, np.cumsum(list(p)).tolist()) for w, (n, p) in lists.items()} == {"b": (3, [0, 2, 5]), "a": (2, [1, 4])}
+    places = np.array([0, 127, 255, 2**31 - 1, 5, 2**30, 7])
+    got = phrases.packed(places, np.array([0, 4, 6]))
+    assert phrases.unpacked(got, np.array([4, 2, 1])).tolist() == places.tolist()
 
 
 def test_scores_pass_64_bits(spark):
