@@ -69,10 +69,10 @@ def packed(places: np.ndarray, starts: np.ndarray) -> pa.Array:
         return pa.array([], pa.binary())
     steps = np.diff(places, prepend=0)
     steps[starts] = places[starts]
-    size = np.ones(len(steps), np.int64)
+    size = np.ones(len(steps), np.uint8)
     for bits in range(7, 35, 7):
         size += steps >= 1 << bits
-    after = np.cumsum(size)
+    after = np.cumsum(size, dtype=np.int64)
     first, out = after - size, np.zeros(after[-1], np.uint8)
     for i in range(int(size.max())):
         at = np.flatnonzero(size > i)
@@ -87,8 +87,11 @@ def unpacked(lists: pa.ChunkedArray, counts: np.ndarray) -> np.ndarray:
     if not len(raw):
         return np.zeros(0, np.int64)
     first = np.concatenate(([0], np.flatnonzero(raw < 128)[:-1] + 1))
-    shift = 7 * (np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw)))))
-    steps = np.add.reduceat((raw & 127).astype(np.int64) << shift, first)
+    steps = (raw[first] & 127).astype(np.int64)
+    size = np.diff(np.append(first, len(raw)))
+    for i in range(1, int(size.max())):
+        at = np.flatnonzero(size > i)
+        steps[at] |= (raw[first[at] + i] & 127).astype(np.int64) << (7 * i)
     summed = np.cumsum(steps)
     starts = np.cumsum(counts) - counts
     return summed - np.repeat(summed[starts] - steps[starts], counts)
