@@ -75,15 +75,21 @@ _DRAWN = _counts_of_draws()
 HELD_BYTES = 64 << 20
 
 
+#: Values are summed as whole numbers and fractions in these steps, both in
+#: integers, so that sums don't depend on the order of tasks.
+FRACTION = 1 << 30
+
+
 def _resampled(by: list[str], resamples: int):
-    """A task's sums: for each group the vectors of weighted values and weights."""
+    """A task's sums: for each group the vectors of weighted values (wholes and
+    fractions) and weights, all whole numbers."""
     step = max(1, (1 << 20) // max(resamples, 1))
-    most = max(1, HELD_BYTES // (16 * max(resamples, 1)))
+    most = max(1, HELD_BYTES // (24 * max(resamples, 1)))
 
     def batch_of(held: dict) -> pa.RecordBatch:
-        keys = pa.concat_tables([k for k, _, _ in held.values()])
-        sums = [pa.array([x[i] for x in held.values()], pa.list_(pa.float64())) for i in (1, 2)]
-        return pa.RecordBatch.from_arrays([keys[c].combine_chunks() for c in by] + sums, [*by, "sums", "weights"])
+        keys = pa.concat_tables([x[3] for x in held.values()])
+        sums = [pa.array([x[i] for x in held.values()], pa.list_(pa.int64())) for i in (0, 1, 2)]
+        return pa.RecordBatch.from_arrays([keys[c].combine_chunks() for c in by] + sums, [*by, "wholes", "parts", "weights"])
 
     def task(batches):
         held: dict = {}
@@ -94,6 +100,8 @@ def _resampled(by: list[str], resamples: int):
             keys = rows.select(by)
             places = keys.append_column("_i", pa.array(np.arange(rows.num_rows))).group_by(by).aggregate([("_i", "list")])
             hashes, values = rows["_h"].to_numpy(), rows["_v"].to_numpy()
+            whole = np.floor(values)
+            part_of = np.rint((values - whole) * FRACTION)
             for at in places["_i_list"].to_pylist():
                 own = keys.slice(at[0], 1)
                 name = tuple(own.to_pylist()[0].values())
@@ -101,13 +109,15 @@ def _resampled(by: list[str], resamples: int):
                     if len(held) >= most:
                         yield batch_of(held)
                         held = {}
-                    held[name] = (own, np.zeros(resamples), np.zeros(resamples))
-                _, sums, weights = held[name]
+                    held[name] = (*(np.zeros(resamples, np.int64) for _ in range(3)), own)
+                wholes, parts, weights, _ = held[name]
                 for i in range(0, len(at), step):
-                    part = np.array(at[i:i + step])
-                    drawn = poisson_weights(hashes[part], resamples).astype(np.float64)
-                    sums += values[part] @ drawn
-                    weights += drawn.sum(axis=0)
+                    rows_at = np.array(at[i:i + step])
+                    drawn = poisson_weights(hashes[rows_at], resamples).astype(np.float64)
+                    # Products of whole numbers below 2^53 are exact in doubles.
+                    wholes += (whole[rows_at] @ drawn).astype(np.int64)
+                    parts += (part_of[rows_at] @ drawn).astype(np.int64)
+                    weights += drawn.sum(axis=0).astype(np.int64)
         if held:
             yield batch_of(held)
 
@@ -118,15 +128,21 @@ def bootstrap_means(df: DataFrame, value: str, key: str, by: list[str], resample
     """``by``, resample, mean. Each row is drawn a Poisson(1) number of times in
     each resample, from a hash of its key, which needs no row numbers and does
     not depend on partitioning; rows of one key are drawn together. Rows without
-    a value are left out; chances are in steps of 2^-16.
+    a finite value are left out; chances are in steps of 2^-16, values in steps of
+    2^-30, and sums in whole numbers, so any order of the rows gives the same
+    means.
 
     A task keeps one pair of vectors a group, so rows are never multiplied by
     the resamples, and what is shuffled grows with the tasks only."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.xxhash64(F.lit(seed), F.col(key)).alias("_h"), F.col(value).cast("double").alias("_v"))
+    number = F.col(value).cast("double")
+    finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
+    rows = df.where(finite).select(*by, F.xxhash64(F.lit(seed), F.col(key)).alias("_h"), number.alias("_v"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(by)])
-    sums = rows.mapInArrow(_resampled(by, resamples), f"{types}, sums array<double>, weights array<double>")
-    each = sums.select(*by, F.posexplode(F.arrays_zip("sums", "weights")).alias("resample", "s"))
-    return each.groupBy(*by, "resample").agg((F.sum("s.sums") / F.nullif(F.sum("s.weights"), F.lit(0))).alias("mean"))
+    sums = rows.mapInArrow(_resampled(by, resamples), f"{types}, wholes array<long>, parts array<long>, weights array<long>")
+    each = sums.select(*by, F.posexplode(F.arrays_zip("wholes", "parts", "weights")).alias("resample", "s"))
+    added = each.groupBy(*by, "resample").agg(*(F.sum(f"s.{c}").alias(c) for c in ("wholes", "parts", "weights")))
+    mean = (F.col("wholes") + F.col("parts") / FRACTION) / F.nullif(F.col("weights"), F.lit(0))
+    return added.select(*by, "resample", mean.alias("mean"))
 
 
 def bootstrap_interval(df: DataFrame, value: str, key: str, by: list[str], resamples: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:

@@ -45,11 +45,12 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256
     The stated queries (query_id, embedding) are sent to the workers in blocks
     of a fixed size; each batch of vectors gives its k best per query, so only
     local winners are shuffled. Vectors of another length than the query's, null
-    ones and those without a norm score 0.
+    ones and those without a norm score 0. Rows without an id take no part, as
+    queries and as candidates.
     """
-    taken = vectors.select("vec_id", "embedding")
+    taken = vectors.select("vec_id", "embedding").where("vec_id is not null")
     out = None
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
+    rows = queries.select("query_id", "embedding").where("query_id is not null").orderBy("query_id").toLocalIterator()
     part: list = []
 
     def task_for(ids: np.ndarray, asked: dict):

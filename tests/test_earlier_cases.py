@@ -83,3 +83,30 @@ def test_channels_on_their_own(spark):
         assert {r["channel"] for r in got.collect()} <= {channel} | ({"regex"} if channel == "graph" else set())
     hits = lambda channel: {r["path"] for r in context.channel_hits(files, asked, (channel,), 5).where(f"channel = '{channel}'").collect()}
     assert hits("regex") >= {"a.py", "b.py"} and hits("text") == {"a.py", "b.py"}
+
+
+def test_h2_takes_tags_in_any_case(spark):
+    names = sorted({w for group in policies.ADMISSION_POINTS["h2"] for c, _ in group for w in c.split() if w.isidentifier() and w.islower()} - {"noise", "bucket", "positive"})
+    flags = {n: False for n in ("exact_unique", "symbol", "regex", "local", "rrf_backed", "span_narrow", "within", "agree_file", "agree_span", "rrf_file", "rrf_span", "dense_support", "graph_support", *names)}
+    rows = [(i, 0.0, "other", tags, *flags.values()) for i, tags in enumerate((["Negative"], ["negative"], ["neutral"], [None], None))]
+    schema = "task_id int, noise double, bucket string, tags array<string>, " + ", ".join(f"{n} boolean" for n in flags)
+    got = {r["task_id"]: (r["points"], r["action"], r["tags"]) for r in policies.admission(spark.createDataFrame(rows, schema), "h2").collect()}
+    assert got[0] == (-3, "filter", ["Negative"]) and got[1][:2] == (-3, "filter")
+    assert got[2][:2] == got[3][:2] == got[4][:2] == (0, "abstain")
+
+
+def test_vectors_without_id_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [0.0, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.cosine_topk(v, v.withColumnRenamed("vec_id", "query_id"), 5).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in got) == [(1, 2), (2, 1)]
+
+
+def test_bootstrap_means_do_not_depend_on_order(spark):
+    rows = [(i % 3, i, (i * 7919 % 1000) / 997 - 0.3) for i in range(3000)]
+    rows += [(0, 5000, float("nan")), (1, 5001, None), (2, 5002, float("inf"))]
+    df = spark.createDataFrame(rows, "g int, key int, v double")
+    a, b = (sorted(map(tuple, stats.bootstrap_means(df.repartition(n, "v"), "v", "key", ["g"], 50).collect())) for n in (3, 7))
+    assert a == b and len(a) == 150
+    mean = sum(v for g, _, v in rows[:3000] if g == 0) / 1000
+    assert abs(sum(m for g, _, m in a if g == 0) / 50 - mean) < 0.03
