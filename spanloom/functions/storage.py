@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -37,3 +41,16 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         return bytes(stream.readAllBytes()).decode("utf-8")
     finally:
         stream.close()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of a running job below ``spark.checkpoint.dir``.
+    Only where that is unset and all tasks run in this process a folder of this
+    machine is made and set for the session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spanloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/spanloom-{name}-{uuid.uuid4().hex}"

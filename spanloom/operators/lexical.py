@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.size import bounded
+from .manypatterns import containing
 
 K1, B = 1.2, 0.75
 
@@ -102,20 +103,17 @@ def best_lines(hits: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFr
 
 def symbol_overlap(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Number of query words that a file has, three more if it holds the whole
-    query; the k best files of each query. Files are probed by word, never paired
-    with every query."""
-    q = queries.select("query_id", "query", F.array_distinct(T.words(F.col("query"))).alias("qw"))
-    by_word = q.select("query_id", F.explode("qw").alias("term"))
+    query as it is, be it inside longer words; the k best files of each query.
+    Files are probed by word and by automaton, never paired with every query."""
+    by_word = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
     has = files.select("path", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term")).join(
         bounded(by_word), "term"
-    ).groupBy("query_id", "path").agg(F.count("*").alias("n"))
-    # The whole query can only stand where all of its words do.
-    full = has.join(q.select("query_id", "query", F.size("qw").alias("nq")), "query_id")
-    text = files.select("path", "content")
-    exact = full.where("n = nq").join(text, "path").where(F.col("content").contains(F.col("query"))).select("query_id", "path", F.lit(3).alias("bonus"))
-    scored = has.join(exact, ["query_id", "path"], "left").select(
-        "query_id", "path", (F.col("n") + F.coalesce("bonus", F.lit(0))).cast("double").alias("score")
-    )
+    ).select("query_id", "path", F.lit(1).alias("n"))
+    whole = containing(
+        files.select(F.col("path").alias("key"), F.col("content").alias("text")),
+        queries.where("query <> ''").select(F.col("query_id").cast("long").alias("id"), F.col("query").alias("pattern")),
+    ).select(F.col("id").cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("key").alias("path"), F.lit(3).alias("n"))
+    scored = has.unionByName(whole).groupBy("query_id", "path").agg(F.sum("n").cast("double").alias("score"))
     return ranked(scored, [F.desc("score"), "path"], ["query_id"], k)
 
 

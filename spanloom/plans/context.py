@@ -8,35 +8,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.size import bounded
-from ..operators import evidence, fusion, graph, lexical
+from ..operators import evidence, fusion, graph, lexical, linesearch
 from ..sources import corpus
 
 CHANNELS = ("regex", "text", "bm25", "symbol", "graph")
 
 
-def query_line_hits(files: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
-    """Lines that hold all of a query's tokens as words, first k per query by
-    path and line (all with k None). Lines are probed by word, so queries and lines never cross."""
-    toks = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
-    need = toks.groupBy("query_id").agg(F.count("*").alias("need"))
-    lines = corpus.lines_of(files)
-    spread = lines.select("path", "line_no", F.explode(F.array_distinct(T.words(F.col("line")))).alias("term"))
-    hits = spread.join(bounded(toks), "term").groupBy("query_id", "path", "line_no").agg(F.count("*").alias("got"))
-    full = hits.join(bounded(need), "query_id").where("got = need")
-    found = full.select("query_id", "path", F.col("line_no").alias("start_line"), F.col("line_no").alias("end_line"), F.lit(1.0).alias("score"))
-    return found if k is None else lexical.ranked(found, ["path", "start_line"], ["query_id"], k)
-
-
-def literal_line_hits(files: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Lines that hold the whole query as it is, among those that hold all of
-    its words; first k per query by path and line."""
-    near = query_line_hits(files, queries, None)
-    lines = corpus.lines_of(files).select("path", F.col("line_no").alias("start_line"), "line")
-    held = near.join(lines, ["path", "start_line"]).join(bounded(queries.select("query_id", "query")), "query_id")
-    found = held.where(F.col("line").contains(F.col("query"))).select("query_id", "path", "start_line", "end_line", "score")
-    return lexical.ranked(found, ["path", "start_line"], ["query_id"], k)
+def literal_hits(files: DataFrame, queries: DataFrame, kinds: tuple[str, ...], k: int) -> DataFrame:
+    """query_id, rank, path, start_line, end_line, score: lines that match a
+    query, the first k by path and line of each kind; the kinds' lists follow one
+    another in one list with ranks running on."""
+    found = linesearch.line_hits(files, queries, kinds, k)
+    place = reduce(lambda out, i: F.when(F.col("kind") == kinds[i], i).otherwise(out), range(len(kinds)), F.lit(None).cast("int"))
+    first = lexical.ranked(found.withColumn("kind", place), ["path", "line_no"], ["query_id", "kind"], k)
+    line = F.col("line_no").cast("long")
+    listed = fusion.with_rank(first.withColumnRenamed("rank", "was"), ["query_id"], ["kind", "was"])
+    return listed.select("query_id", "rank", "path", line.alias("start_line"), line.alias("end_line"), F.lit(1.0).alias("score"))
 
 
 def graph_hits(hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -51,30 +38,31 @@ def graph_hits(hits: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 def channel_hits(files: DataFrame, queries: DataFrame, channels: tuple[str, ...], k: int, edges: DataFrame | None = None) -> DataFrame:
     """query_id, channel, rank, path, start_line, end_line, score of each channel.
-    ``regex`` and ``text`` are lists of their own; ``graph`` follows ``edges``
-    (by default those of the files) from the files of the other channels, and of
-    the words' lines where it is asked for alone."""
+    ``regex`` (the query as a pattern) and ``text`` (as it is) make one list,
+    named regex; ``symbol`` gives lines that define the query as a name;
+    ``graph`` follows ``edges`` (by default those of the files) from the files of
+    the other channels, and of the regex list where it is asked for alone."""
     unknown = set(channels) - set(CHANNELS)
     if unknown:
         raise ValueError(f"unknown channels: {sorted(unknown)}")
-    chunks = corpus.line_chunks(files)
     cols = ["query_id", "rank", "path", "start_line", "end_line", "score"]
+    named = lambda df, channel: df.select(*cols, F.lit(channel).alias("channel"))
     out = []
-    for name, search in (("regex", query_line_hits), ("text", literal_line_hits)):
-        if name in channels:
-            out.append(search(files, queries, k).select(*cols, F.lit(name).alias("channel")))
+    kinds = tuple(c for c in ("regex", "text") if c in channels)
+    if kinds:
+        out.append(named(literal_hits(files, queries, kinds, k), "regex"))
     if "bm25" in channels:
+        chunks = corpus.line_chunks(files)
         top = lexical.bm25(chunks, queries, 2 * k)
         tight = lexical.best_lines(top, chunks, queries).select(
             "query_id", "rank", "path", F.col("span_start").alias("start_line"), F.col("span_end").alias("end_line"), "score"
         )
         again = fusion.with_rank(tight.withColumnRenamed("rank", "was"), ["query_id"], ["was"]).where(F.col("rank") <= k)
-        out.append(again.select(*cols, F.lit("bm25").alias("channel")))
+        out.append(named(again, "bm25"))
     if "symbol" in channels:
-        whole = lexical.symbol_overlap(files, queries, k).join(files.select("path", F.size(T.lines(F.col("content"))).alias("n")), "path")
-        out.append(whole.select("query_id", "rank", "path", F.lit(1).alias("start_line"), F.col("n").alias("end_line"), F.col("score").cast("double").alias("score"), F.lit("symbol").alias("channel")))
+        out.append(named(literal_hits(files, queries, ("symbol",), k), "symbol"))
     if "graph" in channels:
-        seeds = out or [query_line_hits(files, queries, k).select(*cols, F.lit("regex").alias("channel"))]
+        seeds = out or [named(literal_hits(files, queries, ("regex",), k), "regex")]
         out.append(graph_hits(reduce(DataFrame.unionByName, seeds), graph.build_graph(files) if edges is None else edges, k))
     if not out:
         raise ValueError("no channel")

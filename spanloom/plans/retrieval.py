@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evidence, fusion, graph, lexical, lifecycle
+from ..operators import evidence, fusion, graph, lexical, lifecycle, manypatterns
 from ..sources import corpus
 from ..sources.corpus import table
 from . import context
 from .registry import BM25, CHUNKS, FILES, LINES, TOPICS, files, query, topics
 
+BEST_LINES = """toks2 AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(query), '[\\s:/"()]+'), lambda w: strlen(w) >= 2 AND NOT starts_with(w, '_'))) AS q FROM topics),
+h AS (SELECT b.query_id, b.rank, b.path, b.start_line, c.total_lines, unnest(range(0, len(string_split(c.content, chr(10))))) AS i, unnest(string_split(c.content, chr(10))) AS line, q
+      FROM bm25 b JOIN chunks c USING (path, start_line) JOIN toks2 USING (query_id)),
+s AS (SELECT *, len(list_filter(q, lambda t: contains(lower(line), t))) AS n FROM h),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, i) AS r FROM s) WHERE r = 1 AND n > 0)"""
+ABSORBED = """inside AS (SELECT a.query_id, a.path, a.start_line AS ws, a.end_line AS we, b.start_line AS ns, b.end_line AS ne FROM fused a JOIN fused b ON a.query_id = b.query_id AND a.path = b.path
+  AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND (a.start_line < b.start_line OR a.end_line > b.end_line)),
+gone AS (SELECT DISTINCT query_id, path, ws, we FROM inside),
+live AS (SELECT f.* FROM fused f LEFT JOIN gone g ON f.query_id = g.query_id AND f.path = g.path AND f.start_line = g.ws AND f.end_line = g.we WHERE g.ws IS NULL),
+cand AS (SELECT i.*, row_number() OVER (PARTITION BY i.query_id, i.path, ws, we ORDER BY ne - ns, ns, ne) AS r FROM inside i JOIN live l ON i.query_id = l.query_id AND i.path = l.path AND ns = l.start_line AND ne = l.end_line),
+given AS (SELECT c.query_id, c.path, c.ns AS start_line, c.ne AS end_line, f.score, f.channels FROM cand c JOIN fused f ON f.query_id = c.query_id AND f.path = c.path AND f.start_line = ws AND f.end_line = we WHERE r = 1)"""
+
 
 @query(f"WITH {FILES}, {LINES}, {CHUNKS} SELECT path, language, start_line, end_line, sha256(content) AS chunk_sha FROM chunks")
 def line_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +39,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {FILES}, {LINES}, {CHUNKS}, {TOPICS}, {BM25},
-toks2 AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(query), '[\\s:/"()]+'), lambda w: strlen(w) >= 2 AND NOT starts_with(w, '_'))) AS q FROM topics),
-h AS (SELECT b.query_id, b.rank, b.path, b.start_line, c.total_lines, unnest(range(0, len(string_split(c.content, chr(10))))) AS i, unnest(string_split(c.content, chr(10))) AS line, q
-      FROM bm25 b JOIN chunks c USING (path, start_line) JOIN toks2 USING (query_id)),
-s AS (SELECT *, len(list_filter(q, lambda t: contains(lower(line), t))) AS n FROM h),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, rank ORDER BY n DESC, i) AS r FROM s) WHERE r = 1 AND n > 0)
+{BEST_LINES}
 SELECT query_id, rank, path, start_line + i AS best_line, n AS n_tokens, greatest(1, start_line + i - 2) AS span_start, least(total_lines, start_line + i + 2) AS span_end FROM b""")
 def bm25_evidence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, q = corpus.line_chunks(files(spark, sf_dir)), topics(spark, sf_dir)
@@ -72,7 +80,7 @@ q AS (SELECT query_id, query, list_distinct({"list_filter(string_split_regex(low
 bw AS (SELECT query_id, unnest(qw) AS term FROM q),
 fw AS (SELECT path, unnest(list_distinct({"list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"})) AS term FROM files),
 h AS (SELECT query_id, path, count(*) AS n FROM fw JOIN bw USING (term) GROUP BY ALL),
-s AS (SELECT query_id, path, n + CASE WHEN contains(content, query) THEN 3.0 ELSE 0.0 END AS score FROM h JOIN files USING (path) JOIN q USING (query_id))
+s AS (SELECT query_id, path, sum(n) AS score FROM (SELECT * FROM h UNION ALL SELECT query_id, path, 3 FROM files JOIN q ON contains(content, query)) GROUP BY ALL)
 SELECT query_id, path, score::DOUBLE AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS rank FROM s) WHERE rank <= 10""")
 def symbol_overlap_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lexical.symbol_overlap(files(spark, sf_dir), topics(spark, sf_dir), 10)
@@ -103,12 +111,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SPANS}, {FUSED},
-inside AS (SELECT a.query_id, a.path, a.start_line AS ws, a.end_line AS we, b.start_line AS ns, b.end_line AS ne FROM fused a JOIN fused b ON a.query_id = b.query_id AND a.path = b.path
-  AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND (a.start_line < b.start_line OR a.end_line > b.end_line)),
-gone AS (SELECT DISTINCT query_id, path, ws, we FROM inside),
-live AS (SELECT f.* FROM fused f LEFT JOIN gone g ON f.query_id = g.query_id AND f.path = g.path AND f.start_line = g.ws AND f.end_line = g.we WHERE g.ws IS NULL),
-cand AS (SELECT i.*, row_number() OVER (PARTITION BY i.query_id, i.path, ws, we ORDER BY ne - ns, ns, ne) AS r FROM inside i JOIN live l ON i.query_id = l.query_id AND i.path = l.path AND ns = l.start_line AND ne = l.end_line),
-given AS (SELECT c.query_id, c.path, c.ns AS start_line, c.ne AS end_line, f.score, f.channels FROM cand c JOIN fused f ON f.query_id = c.query_id AND f.path = c.path AND f.start_line = ws AND f.end_line = we WHERE r = 1)
+{ABSORBED}
 SELECT query_id, path, start_line, end_line, round(sum(score), 6) AS score, array_to_string(list_sort(list_distinct(flatten(list(channels)))), ',') AS channels
 FROM (SELECT query_id, path, start_line, end_line, score, channels FROM live UNION ALL SELECT * FROM given) GROUP BY query_id, path, start_line, end_line""")
 def rrf_overlap_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,10 +232,37 @@ def edges_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_by_kind(e.withColumn("kind", kind))
 
 
-@query()
+@query(f"""WITH {FILES}, {LINES}, {CHUNKS}, {TOPICS}, {BM25}, {BEST_LINES},
+m AS (SELECT query_id, path, line_no, row_number() OVER (PARTITION BY query_id ORDER BY path, line_no) AS rank FROM topics JOIN lines ON regexp_matches(line, query)),
+t AS (SELECT query_id, path, greatest(1, start_line + i - 2) AS start_line, least(total_lines, start_line + i + 2) AS end_line, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM b),
+sp AS (SELECT query_id, path, line_no AS start_line, line_no AS end_line, rank, 'regex' AS channel FROM m WHERE rank <= 10 UNION ALL SELECT query_id, path, start_line, end_line, rank, 'bm25' FROM t WHERE rank <= 10),
+fused AS (SELECT query_id, path, start_line, end_line, sum(1.0 / (60 + rank)) AS score, list_sort(list_distinct(list(channel))) AS channels, count(*) AS n_hits FROM sp GROUP BY ALL), {ABSORBED},
+f AS (SELECT query_id, path, start_line, end_line, round(sum(score), 9) AS score, array_to_string(list_sort(list_distinct(flatten(list(channels)))), ',') AS channels
+FROM (SELECT query_id, path, start_line, end_line, score, channels FROM live UNION ALL SELECT * FROM given) GROUP BY query_id, path, start_line, end_line)
+SELECT query_id, rank, path, start_line, end_line, score, channels FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path, start_line, end_line) AS rank FROM f) WHERE rank <= 10""")
 def retrieve_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents are in no programming language, so no line of theirs
+    defines a name and the SQL has no symbol list."""
     got = context.retrieve(files(spark, sf_dir), topics(spark, sf_dir), k=10)
-    return got.select("query_id", "rank", "path", "start_line", "end_line", "score", F.array_join("channels", ",").alias("channels"))
+    long = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    return got.select("query_id", *long("rank"), "path", *long("start_line", "end_line"), "score", F.array_join("channels", ",").alias("channels"))
+
+
+LIBRARY = "corpus AS (SELECT 'r' || doc_id % 3 AS repo_id, 'notes/' || doc_id || '.txt' AS path, text AS content FROM documents UNION ALL SELECT 'r' || item_id % 3, 'lib/' || string_split(text, ' ')[1] || '.py', '' FROM benchmark)"
+
+
+@query(f"""WITH {LIBRARY}, tests AS (SELECT * FROM corpus WHERE contains(lower(path), 'test') OR contains(content, 'assert') OR contains(content, 'test')),
+targets AS (SELECT DISTINCT repo_id, path, regexp_extract(path, '([^/]*)[.][^.]*$', 1) AS stem FROM corpus WHERE NOT contains(lower(path), 'test') AND starts_with(path, 'lib/'))
+SELECT DISTINCT t.path AS source_path, g.path AS target_path, 'tests' AS kind FROM tests t JOIN targets g ON t.repo_id = g.repo_id AND contains(t.content, g.stem)""")
+def stem_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts about tests, and the modules whose stem stands in them; modules are
+    named after the first words of benchmark items."""
+    repo = lambda c: F.concat(F.lit("r"), F.col(c) % 3).alias("repo_id")
+    notes = table(spark, sf_dir, "documents").select(repo("doc_id"), F.concat(F.lit("notes/"), "doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    modules = table(spark, sf_dir, "benchmark").select(
+        repo("item_id"), F.concat(F.lit("lib/"), F.get(F.split("text", " ", -1), 0), F.lit(".py")).alias("path"), F.lit("").alias("content"))
+    is_test = "contains(lower(path), 'test') OR contains(content, 'assert') OR contains(content, 'test')"
+    return manypatterns.stem_tests(notes.unionByName(modules), is_test, "startswith(path, 'lib/')")
 
 
 @query()

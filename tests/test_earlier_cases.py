@@ -6,14 +6,15 @@ from spanloom.plans.catalog import QUERIES
 
 
 def test_composed_plans_ask_with_the_whole_item(spark, tmp_path):
-    rows = [(7, "def load_zebra zebraquark", "typescript", "s", 1), (8, "import x from './7'", "typescript", "s", 1), (9, "other words", "typescript", "s", 1)]
+    rows = [(7, "function load_zebra zebraquark", "typescript", "s", 1), (8, "import x from './7'", "typescript", "s", 1), (9, "other words", "typescript", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
     item = "one two three four five six zebraquark load_zebra"
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, item), (2, "load_zebra")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     fused = QUERIES["retrieve_fused"](spark, str(tmp_path)).collect()
-    assert [r["path"] for r in fused if "bm25" in r["channels"]] == ["doc/7"]
-    got = {r["path"]: r["channels"] for r in QUERIES["fast_context"](spark, str(tmp_path)).collect()}
-    assert "bm25" in got["doc/7"] and "symbol" in got["doc/7"] and got["doc/8"] == "graph"
+    assert [r["path"] for r in fused if r["query_id"] == 1 and "bm25" in r["channels"]] == ["doc/7"]
+    got = {(r["query_id"], r["path"]): r["channels"] for r in QUERIES["fast_context"](spark, str(tmp_path)).collect()}
+    # A name is searched for as the whole query, so only the second item defines one.
+    assert got[1, "doc/7"] == "bm25" and "symbol" in got[2, "doc/7"] and "regex" in got[2, "doc/7"] and got[1, "doc/8"] == "graph"
 
 
 def test_bootstraps_draw_as_often_as_the_reference(spark, sf, monkeypatch):
@@ -80,7 +81,8 @@ def test_channels_on_their_own(spark):
     asked = spark.createDataFrame([(1, "load_zebra")], "query_id long, query string")
     for channel in context.CHANNELS:
         got = context.channel_hits(files, asked, (channel,), 5)
-        assert {r["channel"] for r in got.collect()} <= {channel} | ({"regex"} if channel == "graph" else set())
+        named = {"text": {"regex"}, "graph": {"graph", "regex"}}.get(channel, {channel})
+        assert {r["channel"] for r in got.collect()} <= named
     hits = lambda channel: {r["path"] for r in context.channel_hits(files, asked, (channel,), 5).where(f"channel = '{channel}'").collect()}
     assert hits("regex") >= {"a.py", "b.py"} and hits("text") == {"a.py", "b.py"}
 
