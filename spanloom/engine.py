@@ -162,12 +162,19 @@ class Engine:
         return lifecycle.validate(self._manifest(), self.files)
 
     def index_update(self) -> DataFrame:
-        """The diff that was applied; postings are written anew only if there is one."""
+        """The diff that was applied; postings of changed files come as a segment."""
         diff = lifecycle.update_index(self.spark, f"{self.root}/chunks", self.files)
-        if diff.limit(1).count():
-            index.build_index(self.files, f"{self.root}/bm25")
+        index.update_index(self.spark, f"{self.root}/bm25", self.files)
         return diff
 
+    def index_update_path(self, path: str) -> DataFrame:
+        """The diff of one path, applied to the postings only."""
+        return index.update_index(self.spark, f"{self.root}/bm25", self.files, path)
+
+    def index_compact(self) -> list[int]:
+        """The index's segments after small ones were merged."""
+        return index.compact(self.spark, f"{self.root}/bm25")
+
     def index_purge(self) -> int:
         return self._purge("chunks", "bm25")
 

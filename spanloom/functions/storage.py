@@ -31,6 +31,27 @@ def remove(spark: SparkSession, path: str) -> bool:
     return system.exists(target) and system.delete(target, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none without the folder."""
+    target, system = _opened(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that appears whole under its name, or not at all;
+    an error if there is one already."""
+    target, system = _opened(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
+    stream = system.create(part, False)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    if system.exists(target) or not system.rename(part, target):
+        system.delete(part, False)
+        raise FileExistsError(path)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text, or None without one."""
     target, system = _opened(spark, path)

@@ -1,35 +1,195 @@
-"""A persistent BM25 index: build once, open once, answer batches of queries."""
+"""A persistent BM25 index: build once, open once, answer batches of queries,
+update by small segments.
+
+The index is a list of segments. A segment holds the postings of the files that
+came or changed with it, a row for each path that it touched (with a mark where
+the path went), and what it adds to and takes from the statistics. A posting
+counts if no later segment touched its path. An update so writes what changed
+and nothing else; ``compact`` merges segments from their postings, without the
+texts. The current list is the newest entry of a log whose entries get their
+name when they are complete, so readers and broken-off updates never see half a
+change.
+"""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..functions import text as T
-from ..sources.corpus import line_chunks
+from ..functions.size import bounded
+from ..sources.corpus import CHUNK_LINES, line_chunks
 from .evidence import checked
 from .lexical import B, K1, ranked
-from .lifecycle import SCHEMA_VERSION, manifest_of
+from .lifecycle import SCHEMA_VERSION, dirty_diff, manifest_of
 
 #: Query terms up to which they are pushed to the postings scan as a list.
 PUSHED_TERMS = 500
+#: Segments after the first from which an update compacts, and the share of the
+#: first segment's paths from which all are merged into one.
+MOST_SEGMENTS, FULL_SHARE = 8, 0.2
+POSTINGS = "path string, start_line int, end_line int, content_sha string, len int, term string, tf int"
+PATHS = "path string, content_sha string, size long, language string, status string, skipped_reason string, n_chunks long, n_words long, deleted boolean"
+STATS = "n long, n_words long"
 
 
-def build_index(files: DataFrame, root: str) -> None:
-    """Writes postings, statistics and the manifest below ``root``. Postings are
-    range-partitioned and sorted by term, so a query reads the row groups of its
-    terms only; text stays out of them."""
+# ------------------------------------------------------------------------- log
+def _current(spark: SparkSession, root: str) -> dict:
+    """The newest log entry: schema_version, segments, next (a free number)."""
+    names = [n for n in storage.names(spark, f"{root}/log") if n.endswith(".json")]
+    if not names:
+        raise ValueError(f"no index below {root}")
+    entry = json.loads(storage.read_text(spark, f"{root}/log/{max(names)}"))
+    if entry["schema_version"] != SCHEMA_VERSION:
+        raise ValueError("the index has another schema version; build it again")
+    return entry
+
+
+def _commit(spark: SparkSession, root: str, segments: list[int], following: int) -> None:
+    """Makes ``segments`` the current list; fails if another writer came first."""
+    entry = {"schema_version": SCHEMA_VERSION, "segments": segments, "next": following}
+    storage.write_once(spark, f"{root}/log/{following:012d}.json", json.dumps(entry))
+
+
+def _segment(root: str, number: int) -> str:
+    return f"{root}/segments/{number:012d}"
+
+
+# --------------------------------------------------------------------- writing
+def _postings(files: DataFrame) -> DataFrame:
     usable = files.where((F.col("size") > 0) & T.is_safe_path(F.col("path")))
-    toks = line_chunks(usable).select("path", "start_line", "end_line", "content_sha", T.words(F.col("content")).alias("toks"))
     keys = ["path", "start_line", "end_line", "content_sha"]
+    toks = line_chunks(usable).select(*keys, T.words(F.col("content")).alias("toks"))
     spread = toks.select(*keys, F.greatest(F.size("toks"), F.lit(1)).alias("len"), F.explode("toks").alias("term"))
-    postings = spread.groupBy(*keys, "len", "term").agg(F.count("*").cast("int").alias("tf"))
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{root}/postings")
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_len"))
-    stats.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(f"{root}/stats")
-    manifest_of(files).write.mode("overwrite").parquet(f"{root}/manifest")
+    return spread.groupBy(*keys, "len", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
+def _path_rows(files: DataFrame) -> DataFrame:
+    """A row a path, with its chunks and words as its postings have them."""
+    indexed = (F.col("size") > 0) & T.is_safe_path(F.col("path")) & F.col("content").isNotNull()
+    count = lambda c: F.when(indexed, c).otherwise(0).cast("long")
+    lines = F.size(T.lines(F.col("content")))
+    chunks, words = F.ceil(lines / CHUNK_LINES), F.size(T.words(F.col("content")))
+    return manifest_of(files, count(chunks).alias("n_chunks"), count(words).alias("n_words")).withColumn("deleted", F.lit(False))
+
+
+def _sorted(postings: DataFrame) -> DataFrame:
+    """In order of terms, so that a query reads the row groups of its terms only;
+    a frequent term's postings spread over tasks and files by path."""
+    return postings.repartitionByRange("term", F.xxhash64("path")).sortWithinPartitions("term")
+
+
+def _totals(paths: DataFrame) -> DataFrame:
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return paths.select(F.col("n_chunks").alias("n"), "n_words").agg(zero("n"), zero("n_words"))
+
+
+def _save(df: DataFrame, path: str, schema: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def build_index(files: DataFrame, root: str) -> None:
+    """Writes an index of ``files`` below ``root``, in place of one that is there."""
+    spark = files.sparkSession
+    old = _current(spark, root) if storage.exists(spark, f"{root}/log") else {"segments": [], "next": 0}
+    place = _segment(root, old["next"])
+    _sorted(_postings(files)).write.mode("overwrite").parquet(f"{place}/postings")
+    _save(_totals(_save(_path_rows(files), f"{place}/paths", PATHS)), f"{place}/stats", STATS)
+    _commit(spark, root, [old["next"]], old["next"] + 1)
+    for number in old["segments"]:
+        storage.remove(spark, _segment(root, number))
+
+
+def update_index(spark: SparkSession, root: str, files: DataFrame, path: str | None = None, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+    """Brings the index up to date with ``files``, or with one path of them, and
+    returns the diff that was applied. Only new and changed files are cut into
+    words; nothing of the other files is read but their rows in the path table."""
+    entry = _current(spark, root)
+    only = (lambda df: df if path is None else df.where(F.col("path") == path))
+    known, now = only(_live_paths(spark, root, entry)), only(files)
+    place = _segment(root, entry["next"])
+    found = dirty_diff(known, now).where("state <> 'clean'")
+    diff = _save(found, f"{place}/diff", "path string, state string, old_sha string, new_sha string")
+    if not diff.limit(1).count():
+        return diff
+    touched = lambda *states: bounded(diff.where(F.col("state").isin(*states)).select("path"))
+    fresh = now.join(touched("added", "modified"), "path", "left_semi")
+    _sorted(_postings(fresh)).write.mode("overwrite").parquet(f"{place}/postings")
+    gone = known.join(touched("deleted", "modified"), "path", "left_semi")
+    marks = diff.where("state = 'deleted'").select(
+        "path", *[F.lit(None).cast(kind).alias(c) for c, kind in (("content_sha", "string"), ("size", "long"), ("language", "string"), ("status", "string"), ("skipped_reason", "string"))],
+        F.lit(0).cast("long").alias("n_chunks"), F.lit(0).cast("long").alias("n_words"), F.lit(True).alias("deleted"))
+    paths = _save(_path_rows(fresh).unionByName(marks), f"{place}/paths", PATHS)
+    minus = _totals(gone).select((-F.col("n")).alias("n"), (-F.col("n_words")).alias("n_words"))
+    _save(_totals(paths).unionByName(minus), f"{place}/stats", STATS)
+    _commit(spark, root, [*entry["segments"], entry["next"]], entry["next"] + 1)
+    if len(entry["segments"]) > most_segments:
+        compact(spark, root)
+    return diff
+
+
+def compact(spark: SparkSession, root: str, full: bool | None = None) -> list[int]:
+    """Merges the segments after the first into one, or all of them if those
+    have touched FULL_SHARE of the first one's paths (or as ``full`` says), and
+    returns the list of segments. Postings are merged as they are."""
+    entry = _current(spark, root)
+    first, later = entry["segments"][0], entry["segments"][1:]
+    if not later:
+        return entry["segments"]
+    if full is None:
+        size = lambda numbers: sum(spark.read.schema(PATHS).parquet(f"{_segment(root, n)}/paths").count() for n in numbers)
+        full = size(later) >= FULL_SHARE * size([first])
+    merged, place = entry["segments"] if full else later, _segment(root, entry["next"])
+    part = {**entry, "segments": merged}
+    _sorted(_live_postings(spark, root, part)).write.mode("overwrite").parquet(f"{place}/postings")
+    _save(_latest(spark, root, part).where("NOT deleted" if full else "true"), f"{place}/paths", PATHS)
+    totals = _all(spark, root, merged, "stats", STATS)
+    _save(totals.agg(F.sum("n").alias("n"), F.sum("n_words").alias("n_words")), f"{place}/stats", STATS)
+    kept = [entry["next"]] if full else [first, entry["next"]]
+    _commit(spark, root, kept, entry["next"] + 1)
+    for number in set(entry["segments"]) - set(kept):
+        for table in ("postings", "paths", "stats"):
+            storage.remove(spark, f"{_segment(root, number)}/{table}")
+    return kept
+
+
+# --------------------------------------------------------------------- reading
+def _all(spark: SparkSession, root: str, segments: list[int], table: str, schema: str) -> DataFrame:
+    each = [spark.read.schema(schema).parquet(f"{_segment(root, n)}/{table}").withColumn("segment", F.lit(n)) for n in segments]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _touched(spark: SparkSession, root: str, entry: dict) -> DataFrame | None:
+    """path, latest: the last segment that touched each path, of the paths that
+    a segment after the first touched."""
+    later = entry["segments"][1:]
+    if not later:
+        return None
+    return bounded(_all(spark, root, later, "paths", PATHS).groupBy("path").agg(F.max("segment").alias("latest")))
+
+
+def _still(rows: DataFrame, touched: DataFrame | None) -> DataFrame:
+    if touched is None:
+        return rows.drop("segment")
+    return rows.join(touched, "path", "left").where("latest IS NULL OR segment >= latest").drop("segment", "latest")
+
+
+def _live_postings(spark: SparkSession, root: str, entry: dict) -> DataFrame:
+    return _still(_all(spark, root, entry["segments"], "postings", POSTINGS), _touched(spark, root, entry))
+
+
+def _latest(spark: SparkSession, root: str, entry: dict) -> DataFrame:
+    return _still(_all(spark, root, entry["segments"], "paths", PATHS), _touched(spark, root, entry))
+
+
+def _live_paths(spark: SparkSession, root: str, entry: dict) -> DataFrame:
+    return _latest(spark, root, entry).where("NOT deleted").drop("deleted")
 
 
 @dataclass
@@ -70,10 +230,9 @@ class OpenIndex:
 
 
 def open_bm25(spark: SparkSession, root: str, cached: bool = True) -> OpenIndex:
-    stats = spark.read.parquet(f"{root}/stats").first()
-    if stats["schema_version"] != SCHEMA_VERSION:
-        raise ValueError("the index has another schema version; build it again")
-    postings = spark.read.parquet(f"{root}/postings")
+    entry = _current(spark, root)
+    n, words = _all(spark, root, entry["segments"], "stats", STATS).agg(F.sum("n"), F.sum("n_words")).first()
+    postings = _live_postings(spark, root, entry)
     if cached:
         postings = postings.persist()
-    return OpenIndex(postings, spark.read.parquet(f"{root}/manifest"), stats["n"], stats["avg_len"])
+    return OpenIndex(postings, _live_paths(spark, root, entry).drop("n_chunks", "n_words"), n or 0, (words or 0) / n if n else 0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,14 +12,14 @@ from ..sources.corpus import line_chunks
 SCHEMA_VERSION = "spanloom-chunks-1"
 
 
-def manifest_of(files: DataFrame) -> DataFrame:
-    """path, content_sha, size, language, status, skipped_reason."""
+def manifest_of(files: DataFrame, *more: Column) -> DataFrame:
+    """path, content_sha, size, language, status, skipped_reason, and ``more``."""
     reason = F.when(~T.is_safe_path(F.col("path")), "path_unsafe").when(F.col("content").isNull(), "read_error").when(
         F.col("size") == 0, "empty_file"
     )
     return files.select(
         "path", "content_sha", "size", "language",
-        F.when(reason.isNull(), "indexed").otherwise("skipped").alias("status"), reason.alias("skipped_reason"),
+        F.when(reason.isNull(), "indexed").otherwise("skipped").alias("status"), reason.alias("skipped_reason"), *more,
     )
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evidence, fusion, graph, lexical, lifecycle, manypatterns
+from ..functions.storage import scratch
+from ..operators import evidence, fusion, graph, index, lexical, lifecycle, manypatterns
 from ..sources import corpus
 from ..sources.corpus import table
 from . import context
-from .registry import BM25, CHUNKS, FILES, LINES, TOPICS, files, query, topics
+from .registry import BM25, CHUNKS, FILES, LINES, TOPICS, files, query, topics, words_sql
 
 BEST_LINES = """toks2 AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(query), '[\\s:/"()]+'), lambda w: strlen(w) >= 2 AND NOT starts_with(w, '_'))) AS q FROM topics),
 h AS (SELECT b.query_id, b.rank, b.path, b.start_line, c.total_lines, unnest(range(0, len(string_split(c.content, chr(10))))) AS i, unnest(string_split(c.content, chr(10))) AS line, q
@@ -211,6 +212,30 @@ def index_update_equals_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content_sha", F.sha2(F.col("content").cast("binary"), 256).alias("chunk_sha"))
 
 
+MUTATED_CHUNKS = f"m2 AS (SELECT path, CASE WHEN content = chr(0) THEN NULL ELSE content END AS content FROM mutated), files2 AS (SELECT path, NULL AS language, sha256(content) AS content_sha, content FROM m2), {LINES.replace('FROM files)', 'FROM files2)')}, {CHUNKS}"
+
+
+@query(f"""WITH {FILES}, {MUTATED}, {MUTATED_CHUNKS},
+tf AS (SELECT path, start_line, end_line, dl, term, count(*) AS tf FROM (SELECT path, start_line, end_line, len(w) AS dl, unnest(w) AS term FROM (SELECT *, {words_sql('content')} AS w FROM chunks)) GROUP BY ALL)
+SELECT path, start_line, end_line, dl AS len, count(*) AS n_terms, sha256(string_agg(term || ':' || tf, ',' ORDER BY term || ':' || tf)) AS terms_sha FROM tf GROUP BY ALL""")
+def index_segments_equal_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index is built, brought up to date by segments and compacted; its
+    postings are those of an index of the new files."""
+    old, root = files(spark, sf_dir), scratch(spark, "index")
+    new = _mutated(old)
+    index.build_index(old, root)
+    half = F.col("path").rlike("[02468](\\.new)?$")
+    # First the even paths change, then all.
+    index.update_index(spark, root, old.where(~half).unionByName(new.where(half)))
+    index.update_index(spark, root, new)
+    index.compact(spark, root)
+    got = index.open_bm25(spark, root, cached=False).postings
+    terms = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "term", F.col("tf").cast("string")))), ",")
+    long = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    return got.groupBy("path", "start_line", "end_line", "len").agg(F.count("*").alias("n_terms"), F.sha2(terms.cast("binary"), 256).alias("terms_sha")).select(
+        "path", *long("start_line", "end_line", "len"), "n_terms", "terms_sha")
+
+
 HREFS = "edges AS (SELECT 'page/' || page_id AS source_path, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS target_path FROM pages)"
 
 
