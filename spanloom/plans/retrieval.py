@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.storage import scratch
-from ..operators import evidence, fusion, graph, index, lexical, lifecycle, manypatterns
+from ..operators import evidence, fusion, graph, index, lexical, lifecycle, manypatterns, syntax
 from ..sources import corpus
 from ..sources.corpus import table
 from . import context
@@ -294,3 +294,20 @@ def stem_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fast_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
     return context.fast_context(f, topics(spark, sf_dir), graph.build_graph(f))
+
+
+@query("""WITH p AS (SELECT page_id, len(string_split(regexp_extract(html, '(?s)<script>(.*?)</script>', 1), chr(10))) - 1 AS nl FROM pages),
+s AS (SELECT 'page' || page_id || '.ts' AS path, unnest([{'name': 'Page' || page_id, 'kind': 'class', 'a': 1, 'b': nl + 9}, {'name': 'run', 'kind': 'method', 'a': 3, 'b': nl + 8}, {'name': 'limit' || page_id, 'kind': 'const', 'a': nl + 10, 'b': nl + 10}, {'name': 'after' || page_id, 'kind': 'function', 'a': nl + 11, 'b': nl + 12}]) AS d FROM p)
+SELECT path, d.name AS name, d.kind AS kind, d.a AS start_line, least(d.b, d.a + 9) AS end_line, d.b AS block_end FROM s""")
+def syntax_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of modules around each page's script, with braces in
+    comments, strings, patterns and template strings."""
+    pages, script = table(spark, sf_dir, "pages"), F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1)
+    number = F.col("page_id").cast("string")
+    text = F.concat(
+        F.lit("export class Page"), number, F.lit(" {\n  // opens { here, and \" too\n  run({a, b}) {\n    "), script,
+        F.lit("\n    const s = \"}\" + /[}/]{2}/.source; /* } */\n    return `a ${ {k: '}'}.k + `n${1 / 2}` } }`;\n\n  }\n}\nconst limit"), number,
+        F.lit(" = 4 / 2 / 1\nfunction after"), number, F.lit("() {\n  return '{' }\n\n"))
+    made = pages.select(F.concat(F.lit("page"), number, F.lit(".ts")).alias("path"), F.lit("typescript").alias("language"), text.alias("content"))
+    long = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    return syntax.symbols(made).select("path", "name", "kind", *long("start_line", "end_line", "block_end"))
