@@ -58,7 +58,7 @@ class Engine:
     def over_folder(cls, spark: SparkSession, folder: str, root: str | None = None) -> "Engine":
         """The admitted files of a folder, under its ``.spanloom/policy.toml``."""
         policy = load_policy(storage.read_text(spark, f"{folder}/.spanloom/policy.toml"))
-        files = corpus.scan_folder(spark, folder, policy["index"]["include"], policy["index"]["exclude"])
+        files = corpus.scan_folder(spark, folder, policy["index"]["include"], policy["index"]["exclude"], bool(policy["index"].get("include_gitignored")))
         return cls(spark, files, root or f"{folder}/.spanloom/index", policy)
 
     @property

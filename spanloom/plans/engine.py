@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import governance, metrics, syntax, vectors
+from ..operators import governance, metrics, syntax, timejoin, vectors
 from ..sources import corpus
 from ..sources.corpus import table
 from ..streaming import streams
@@ -232,3 +232,40 @@ def nation_sets(spark, sf_dir):
     t = lambda n, c: table(spark, sf_dir, n).select(F.col(c).alias("n_nationkey"))
     s = t("supplier", "s_nationkey")
     return t("nation", "n_nationkey").subtract(s).unionAll(t("customer", "c_nationkey").intersect(s))
+
+
+#: The events' month stretched over the years of the orders, in microseconds.
+MOVED = "788918400000000 + (epoch_us(ts) - 1704067200000000) * 80"
+
+
+def _micros(name: str) -> Column:
+    """Microseconds since 1970 of a time without zone, whatever the session's zone."""
+    return F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(name).cast("timestamp_ntz")).cast("timestamp"))
+
+
+def _moved_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.lit(788918400000000) + (_micros("ts") - F.lit(1704067200000000)) * 80
+    return table(spark, sf_dir, "events").select("event_id", "user_id", at.alias("at"))
+
+
+def _opened_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", _micros("o_orderdate").alias("opened"))
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, {MOVED} AS at FROM events)
+SELECT e.event_id, max_by(o.o_orderkey, (o.o_orderdate, o.o_orderkey)) AS o_orderkey, max(epoch_us(o.o_orderdate)) AS opened
+FROM e LEFT JOIN orders o ON o.o_custkey = e.user_id AND epoch_us(o.o_orderdate) <= e.at GROUP BY e.event_id""")
+def events_asof_orders(spark, sf_dir):
+    """Each event with its user's latest order so far."""
+    got = timejoin.asof_join(_moved_events(spark, sf_dir), _opened_orders(spark, sf_dir), "user_id", "at", "opened", "o_orderkey", ["o_orderkey", "opened"], right_key="o_custkey")
+    return got.select("event_id", "o_orderkey", "opened")
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, {MOVED} AS at FROM events)
+SELECT event_id, o_orderkey FROM e JOIN orders ON o_custkey = user_id
+WHERE e.at >= epoch_us(o_orderdate) AND e.at < epoch_us(o_orderdate) + 86400000000 * (1 + o_orderkey % 7 * (o_orderkey % 11) * 10)""")
+def events_in_order_windows(spark, sf_dir):
+    """Events within each order's window of 1 to 601 days, of the same customer."""
+    days = 1 + F.col("o_orderkey") % 7 * (F.col("o_orderkey") % 11) * 10
+    windows = _opened_orders(spark, sf_dir).select("o_orderkey", F.col("o_custkey").alias("user_id"), "opened", (F.col("opened") + F.lit(86400000000) * days).alias("closes"))
+    return timejoin.interval_join(_moved_events(spark, sf_dir), windows, "user_id", "at", "opened", "closes", 86400000000).select("event_id", "o_orderkey")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import governance, vectors
-from ..sources import corpus
+from ..sources import corpus, ignore
 from ..sources.corpus import table
 from .registry import FILES, files, query
 
@@ -85,3 +85,32 @@ SELECT doc_id, dim::INTEGER AS dim, round(x / sqrt(sum(x::DOUBLE * x) OVER (PART
 def mock_embedding(spark, sf_dir):
     got = vectors.mock_embedding(table(spark, sf_dir, "documents"), "doc_id")
     return got.select("doc_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
+IGNORE_FILES = [
+    (".gitignore", "# logs\n*.log\n!keep*.log\n/build/\nsrc/**/tmp\ndoc?.md\n"), (".git/info/exclude", "*.txt\nkeep7.log\n"),
+    ("src/en/.gitignore", "!*.log\n[0-4]*.py\n"), ("src/fr/.ignore", "*\n!*.py\n"), ("src/en/b/.gitignore", "\\#x\n*.py\n!/9*.py\n"),
+]
+
+
+@query("""WITH p AS (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'src/' || lang || '/' || ['a', 'b', 'tmp'][doc_id % 3 + 1] || '/' WHEN 1 THEN ['build/', 'lib/build/', ''][doc_id % 3 + 1] WHEN 2 THEN 'src/' || lang || '/' ELSE '' END ||
+ CASE doc_id % 5 WHEN 0 THEN doc_id || '.py' WHEN 1 THEN 'keep' || doc_id || '.log' WHEN 2 THEN doc_id || '.log' WHEN 3 THEN doc_id || '.txt' ELSE 'doc' || doc_id % 20 || '.md' END AS path FROM documents))
+SELECT DISTINCT path FROM p WHERE NOT starts_with(path, 'build/') AND NOT regexp_matches(path, '^src/(.*/)?tmp/') AND NOT CASE
+ WHEN starts_with(path, 'src/en/b/') AND ends_with(name, '.py') THEN NOT starts_with(name, '9')
+ WHEN starts_with(path, 'src/en/') AND regexp_matches(name, '^[0-4].*[.]py$') THEN true WHEN starts_with(path, 'src/en/') AND ends_with(name, '.log') THEN false
+ WHEN starts_with(path, 'src/fr/') THEN regexp_matches(path, '^src/fr/[^/]*/') OR NOT ends_with(name, '.py')
+ WHEN regexp_matches(name, '^doc.[.]md$') THEN true WHEN regexp_matches(name, '^keep.*[.]log$') THEN false WHEN ends_with(name, '.log') THEN true ELSE ends_with(name, '.txt') END""")
+def gitignore_scan(spark, sf_dir):
+    """Paths made from the documents that a tree's ignore files leave in."""
+    d = _doc()
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    folder = (
+        F.when(d % 4 == 0, F.concat(F.lit("src/"), "lang", F.lit("/"), pick(("a", "b", "tmp"), d % 3), F.lit("/")))
+        .when(d % 4 == 1, pick(("build/", "lib/build/", ""), d % 3)).when(d % 4 == 2, F.concat(F.lit("src/"), "lang", F.lit("/"))).otherwise("")
+    )
+    name = (
+        F.when(d % 5 == 0, F.concat(d, F.lit(".py"))).when(d % 5 == 1, F.concat(F.lit("keep"), d, F.lit(".log"))).when(d % 5 == 2, F.concat(d, F.lit(".log")))
+        .when(d % 5 == 3, F.concat(d, F.lit(".txt"))).otherwise(F.concat(F.lit("doc"), d % 20, F.lit(".md")))
+    )
+    paths = table(spark, sf_dir, "documents").select(F.concat(folder, name).alias("path")).distinct()
+    return ignore.not_ignored(paths, ignore.rules_of(spark.createDataFrame(IGNORE_FILES, "path string, content string")))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.ship import ship
 from ..functions.storage import qualified
+from .ignore import not_ignored, rules_of
 
 CHUNK_LINES = 30
 
@@ -26,11 +32,47 @@ def files_of_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def scan_folder(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
-    """Admitted text files below ``root`` with content hash and language."""
+IGNORE_FILE = re.compile(r"(^|/)\.(git)?ignore$|^\.git/info/exclude$")
+
+
+def hidden_names(spark: SparkSession, root: str) -> list[str]:
+    """Paths below ``root`` of the files that Spark's own listing leaves out:
+    those with a name, or in a folder, that starts with a dot or an underscore.
+    git's store is left out but for its ignore file."""
+    fs, base = pafs.FileSystem.from_uri(qualified(spark, root))
+    base = base.rstrip("/")
+    names = [i.path[len(base) + 1:] for i in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if i.type == pafs.FileType.File]
+    return [n for n in names if re.search(r"(^|/)[._]", n) and (not re.search(r"(^|/)\.git/", n) or n == ".git/info/exclude")]
+
+
+def read_files(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """path (below ``root``), length, content of named files."""
+    uri = qualified(spark, root).rstrip("/")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with fs.open_input_stream(f"{base}/{name}") as source:
+                    content = source.read()
+                yield pa.RecordBatch.from_pydict({"path": [name], "length": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
+
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    return listed.repartition(1 + len(names) // 1000).mapInArrow(task, "path string, length long, content binary")
+
+
+def scan_folder(spark: SparkSession, root: str, include: list[str], exclude: list[str], gitignored: bool = False) -> DataFrame:
+    """Admitted text files below ``root`` with content hash and language; files
+    that git's ignore files leave out only if ``gitignored``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.substring(F.col("path"), F.lit(len(qualified(spark, root).rstrip("/")) + 2), F.length("path"))
-    named = raw.withColumn("path", relative)
+    named, hidden = raw.select(relative.alias("path"), "length", "content"), hidden_names(spark, root)
+    if hidden:
+        named = named.unionByName(read_files(spark, root, hidden))
+    asked = [n for n in hidden if IGNORE_FILE.search(n)]
+    if asked:
+        texts = read_files(spark, root, asked).select("path", F.col("content").cast("string").alias("content"))
+        named = not_ignored(named, rules_of(texts, git=not gitignored))
     kept = named.where(T.admitted(F.col("path"), include, exclude)).where(~T.looks_binary(F.col("content")))
     return kept.select(
         "path", F.lit("").alias("repo_id"), T.language_of(F.col("path")).alias("language"),
