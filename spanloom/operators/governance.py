@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.size import bounded
+from ..functions.storage import scratch
+from .manypatterns import containing
 
 #: Markers and prefixes that block an embedding input.
 SECRET_MARKERS = ("SECRET", "TOKEN", "PASSWORD", "API_KEY", "PRIVATE_KEY")
@@ -177,11 +181,39 @@ def passage_leaks(corpus: DataFrame, passages: DataFrame, words: int = 8) -> Dat
     return full.where(F.col("content").contains(F.col("passage"))).select("item_id", "path").unionByName(short)
 
 
+def json_fields(rows: DataFrame, key: str, json: str) -> DataFrame:
+    """key, depth, field of each object key at any depth of a JSON column; texts
+    that are no JSON have none. Each turn opens one more level of all values, as
+    a written table, until no object or array is left."""
+    spark, depth, found = rows.sparkSession, 1, []
+    root = scratch(spark, "jsonlevels")
+    level = rows.select(F.col(key).alias("_row"), F.try_parse_json(json).alias("value")).where("value IS NOT NULL")
+    kind = level.schema["_row"].dataType.simpleString()
+    while True:
+        opened = level.withColumnRenamed("value", "_outer").lateralJoin(spark.tvf.variant_explode(F.col("_outer").outer()))
+        nested = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
+        opened.select("_row", F.col("key").alias("field"), F.when(nested, F.to_json("value")).alias("inner")).write.parquet(f"{root}/{depth}")
+        now = spark.read.schema(f"_row {kind}, field string, inner string").parquet(f"{root}/{depth}")
+        found.append(now.where("field IS NOT NULL").select(F.col("_row").alias(key), F.lit(depth).alias("depth"), "field"))
+        level = now.where("inner IS NOT NULL").select("_row", F.parse_json("inner").alias("value"))
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, found)
+        depth += 1
+
+
 def private_fields(rows: DataFrame, json: str, fields: list[str]) -> DataFrame:
     """field, n: how often each private field is a key, at any depth, of a JSON
-    text column."""
-    keys = F.explode(F.regexp_extract_all(json, F.lit(r'"([^"]+)"\s*:'), F.lit(1))).alias("field")
-    return rows.select(keys).where(F.col("field").isin(fields)).groupBy("field").agg(F.count("*").alias("n"))
+    text column; what looks like a key inside a string is none."""
+    got = json_fields(rows.select(F.lit(0).alias("_id"), json), "_id", json)
+    return got.where(F.col("field").isin(fields)).groupBy("field").agg(F.count("*").alias("n"))
+
+
+def canary_hits(artifacts: DataFrame, key: str, text: str, tokens: DataFrame) -> DataFrame:
+    """``key``, token: artifacts whose text holds a canary token (token), be it
+    inside a longer word."""
+    asked = tokens.select("token").distinct().withColumn("id", F.xxhash64("token"))
+    held = containing(artifacts.select(F.col(key).alias("key"), F.col(text).alias("text")), asked.select("id", F.col("token").alias("pattern")))
+    return held.join(asked, "id").select(F.col("key").alias(key), "token")
 
 
 def forbidden_predictions(predictions: DataFrame, prefixes: list[str]) -> DataFrame:

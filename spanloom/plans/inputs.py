@@ -114,3 +114,26 @@ def gitignore_scan(spark, sf_dir):
     )
     paths = table(spark, sf_dir, "documents").select(F.concat(folder, name).alias("path")).distinct()
     return ignore.not_ignored(paths, ignore.rules_of(spark.createDataFrame(IGNORE_FILES, "path string, content string")))
+
+
+@query("""WITH k AS (SELECT (doc_id % 3 = 0)::INT AS gold, (doc_id % 4 = 1)::INT AS tags, 1 + doc_id % 2 AS more FROM documents)
+SELECT depth, field, sum(n)::BIGINT AS n FROM (
+ SELECT 1 AS depth, 'task' AS field, 1 AS n FROM k UNION ALL SELECT 1, 'list', 1 FROM k UNION ALL SELECT 2, 'note', 1 FROM k UNION ALL SELECT 2, 'gold_spans', gold FROM k
+ UNION ALL SELECT 4, 'path', gold * more FROM k UNION ALL SELECT 4, 'caveat', 1 FROM k UNION ALL SELECT 5, 'risk_tags', tags FROM k) GROUP BY ALL HAVING sum(n) > 0""")
+def nested_json_fields(spark, sf_dir):
+    """Keys of nested artifacts by depth (list elements count as a level); notes
+    hold what looks like keys."""
+    d = _doc()
+    span = '{"path":"a"}'
+    body = F.concat(
+        F.lit('{"task":{"note":"\\"risk_tags\\": 1, {"'), F.when(d % 3 == 0, F.concat(F.lit(',"gold_spans":['), F.when(d % 2 == 1, f"{span},").otherwise(""), F.lit(span + "]"))).otherwise(""),
+        F.lit('},"list":[[{"caveat":'), F.when(d % 4 == 1, '{"risk_tags":null}').otherwise("1"), F.lit("}]]}"))
+    made = table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
+    return governance.json_fields(made, "doc_id", "body").groupBy("depth", "field").agg(F.count("*").alias("n"))
+
+
+@query("""WITH t AS (SELECT DISTINCT string_split(text, ' ')[1] AS token FROM benchmark) SELECT page_id, token FROM pages JOIN t ON contains(html, token)""")
+def canary_hits(spark, sf_dir):
+    """Pages that hold the first word of a benchmark item, taken as a canary."""
+    tokens = table(spark, sf_dir, "benchmark").select(F.get(F.split("text", " ", -1), 0).alias("token"))
+    return governance.canary_hits(table(spark, sf_dir, "pages"), "page_id", "html", tokens)
