@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import hybrids, metrics, packing, policies
+from ..operators import hybrids, metrics, mining, packing, policies
 from ..sources.corpus import table
 from . import evaluation as E
 from .evaluation import EVAL, FEATURES, FILE_METRICS, FLAGS, SPAN_METRICS, WASTE
@@ -200,3 +200,44 @@ SELECT strategy, {E._rs('recall_1', 'recall_3', 'recall_5', 'mrr', 'span_precisi
 def score_matrix(spark, sf_dir):
     got = metrics.score_matrix(E.predictions(spark, sf_dir), E.gold(spark, sf_dir), E.tasks(spark, sf_dir), "rrf")
     return E._r(got, *[c for c in got.columns if c != "strategy"])
+
+
+# ------------------------------------------------------------ mined features
+LINKS = """links AS (SELECT page_id, i, 'page/' || page_id AS path, substring(h, 2) AS name, page_id * 1000000 + i AS place FROM (SELECT page_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i FROM
+ (SELECT page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS hs FROM pages)) WHERE len(h) > 4)"""
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    """The link targets of pages in order: place, path, name."""
+    hrefs = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("i", "h"))
+    return hrefs.where(F.length("h") > 4).select((F.col("page_id") * 1000000 + F.col("i") + 1).alias("place"), F.concat(F.lit("page/"), "page_id").alias("path"), F.expr("substring(h, 2)").alias("name"))
+
+
+@query(f"""WITH {LINKS}, names AS (SELECT DISTINCT lower(name) AS low FROM links), alike AS (SELECT a.low AS a, b.low AS b FROM names a JOIN names b ON contains(a.low, b.low) OR contains(b.low, a.low)),
+c AS (SELECT s.place, t.place AS negative, 'same_file' AS kind FROM links s JOIN links t ON s.path = t.path AND s.name <> t.name
+ UNION ALL SELECT s.place, t.place, 'similar_name' FROM links s JOIN alike ON lower(s.name) = a JOIN links t ON lower(t.name) = b AND s.path <> t.path)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY kind, negative) AS rank FROM c) WHERE rank <= 8""")
+def hard_negatives(spark, sf_dir):
+    """Eight hard negatives of each link target, taken as a symbol of its page."""
+    return mining.hard_negatives(_links(spark, sf_dir), 8).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {LINKS}, tasks AS (SELECT item_id AS task_id, text AS query FROM benchmark), toks AS (SELECT DISTINCT task_id, lower(unnest(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) AS token FROM tasks),
+g AS (SELECT DISTINCT task_id, path, place FROM links JOIN toks ON contains(path || chr(10) || lower(name), token)),
+gs AS (SELECT task_id, count(*) AS n FROM g GROUP BY task_id), gp AS (SELECT task_id, string_agg(path, ',' ORDER BY path) AS paths FROM (SELECT DISTINCT task_id, path FROM g QUALIFY dense_rank() OVER (PARTITION BY task_id ORDER BY path) <= 5) GROUP BY task_id),
+r AS (SELECT task_id, count(DISTINCT page_id) AS n FROM pages JOIN toks ON contains(lower('page/' || page_id || chr(10) || html), token) GROUP BY task_id),
+ph AS (SELECT task_id, count(DISTINCT page_id) AS n FROM pages JOIN toks ON contains('page/' || page_id, token) GROUP BY task_id),
+sy AS (SELECT task_id, count(DISTINCT place) AS n FROM links JOIN toks ON contains(lower(name), token) OR contains(token, lower(name)) GROUP BY task_id),
+f AS (SELECT task_id, coalesce(gs.n, 0) AS graph_hits, coalesce(paths, '') AS support_paths, coalesce(r.n, 0) AS regex_hits, least(1.0, coalesce(ph.n, 0) / 3.0)::DOUBLE AS path_score, coalesce(sy.n, 0) AS symbol_hits, 1.0::DOUBLE AS d,
+ len(list_filter(regexp_extract_all(query, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda t: regexp_matches(t, '^[A-Z]'))) / (SELECT greatest(1, count(*)) FROM toks WHERE toks.task_id = tasks.task_id)::DOUBLE AS p, regexp_matches(query, '(?i)\b(api|config|key|route|handler|timeout)\b') AS a
+ FROM tasks LEFT JOIN gs USING (task_id) LEFT JOIN gp USING (task_id) LEFT JOIN r USING (task_id) LEFT JOIN ph USING (task_id) LEFT JOIN sy USING (task_id))
+SELECT task_id, graph_hits, support_paths, regex_hits, path_score, symbol_hits, CASE WHEN symbol_hits > 0 AND regex_hits > 0 THEN 'admit_primary' WHEN symbol_hits > 0 THEN 'fallback_symbol_regex' WHEN regex_hits > 0 AND graph_hits > 0 AND d > 0.4 THEN 'admit_supporting' WHEN graph_hits > 0 AND regex_hits = 0 THEN 'weak_candidate_only' WHEN p > 0.5 OR a THEN 'abstain' WHEN regex_hits > 0 THEN 'weak_candidate_only' ELSE 'abstain' END AS action FROM f""")
+def mined_admission(spark, sf_dir):
+    """Graph-aware admission on features mined from pages and their links."""
+    tasks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("query"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), "page_id").alias("path"), F.col("html").alias("content"))
+    links = _links(spark, sf_dir)
+    graph = mining.graph_support(tasks, links.select(F.lit("LINKS").alias("edge"), F.col("path").alias("src"), F.col("name").alias("dst")))
+    features = mining.lexical_features(tasks, pages, links).join(graph, "task_id").withColumn("graph_hits", F.col("support_count"))
+    action = policies.graph_admission(features).select("task_id", "action")
+    return features.join(action, "task_id").select("task_id", "graph_hits", F.array_join("support_paths", ",").alias("support_paths"), "regex_hits", "path_score", "symbol_hits", "action")
