@@ -53,6 +53,9 @@ MASKS, SUBSTITUTIONS = CLASSES[0][1], WINDOW * SUBSTITUTED[0] // SUBSTITUTED[1]
 #: Seeds of one broadcast slice (some 40 bytes each), and words of items that are broadcast.
 SLICE_SEEDS = 1_500_000
 SLICE_WORDS = 5_000_000
+#: Matched words from which an overlap counts by itself, and the share of all
+#: documents that a shorter item may overlap to count.
+INFORMATIVE, SHORT_SHARE = 7, 0.001
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -180,14 +183,28 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return overlaps(docs, benchmark)
 
 
+def telling(found: DataFrame, documents: int) -> DataFrame:
+    """The overlaps that are evidence of contamination: those of INFORMATIVE
+    matched words or more, and shorter ones if their item overlaps at most
+    SHORT_SHARE of the documents. A short item that many documents hold (an
+    answer "yes") tells nothing about any of them; it is reported only."""
+    short = F.col("matched") < INFORMATIVE
+    if not found.where(short).limit(1).count():
+        return found
+    held = found.where(short).groupBy("item_id").agg(F.count_distinct("doc_id").alias("_held"))
+    rare = few(held.where(F.col("_held") <= SHORT_SHARE * documents).select(F.col("item_id").alias("_rare")))
+    return found.where(~short).unionByName(found.where(short).join(rare, F.col("item_id").eqNullSafe(F.col("_rare")), "left_semi"))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no benchmark item. They are looked up by
-    a broadcast of the keys that go, where those are few enough, so that texts
-    aren't shuffled."""
+    """The rows of ``docs`` without a ``telling`` overlap with a benchmark item.
+    They are looked up by a broadcast of the keys that go, where those are few
+    enough, so that texts aren't shuffled."""
     mine, hashed, bad_id, bad_hash = free_names(docs, "mine", "hash", "bad_id", "bad_hash")
     keyed = docs.select(F.struct("doc_id", text_hash(F.col("text")).alias("hash")).alias("doc_id"), "text")
-    bad = overlaps(keyed, benchmark).select(F.col("doc_id.doc_id").alias(bad_id), F.col("doc_id.hash").alias(bad_hash)).distinct()
-    bad = few(written(bad, "contaminated"))
+    found = written(overlaps(keyed, benchmark).select("doc_id", "item_id", "matched"), "contaminated")
+    bad = telling(found, docs.count()).select(F.col("doc_id.doc_id").alias(bad_id), F.col("doc_id.hash").alias(bad_hash)).distinct()
+    bad = few(bad)
     rows = docs.select("*", F.col("doc_id").alias(mine), text_hash(F.col("text")).alias(hashed))
     same = F.col(mine).eqNullSafe(F.col(bad_id)) & (F.col(hashed) == F.col(bad_hash))
     return rows.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from spanloom.llm import exactsearch, middle, phrases
+from spanloom.llm import decontam, exactsearch, middle, phrases
 
 LONG = "doc_id long, text string"
 
@@ -199,3 +199,15 @@ def test_runs_and_cuts(monkeypatch):
     assert runs.units == len(text) and len(runs.width) == 16
     for cut in range(len(text) + 1):
         assert runs.byte_of(cut) == len(text[:cut].encode())
+
+
+# --------------------------------------------------------------- decontamination
+def test_short_frequent_items_are_reported_and_not_dropped(spark):
+    docs = [(i, f"yes it is number {i}" if i % 2 else f"no, word{i} is not") for i in range(3000)]
+    docs += [(5000, "zebra crossing rare here"), (5001, "one two three four five six seven eight nine ten"), (None, "yes")]
+    docs = spark.createDataFrame(docs, LONG)
+    items = spark.createDataFrame([(1, "Yes"), (2, "zebra crossing"), (3, "one two three four five six seven"), (None, "number 77")], "item_id long, text string")
+    found = decontam.contamination_report(docs, items)
+    assert found.where("item_id = 1").count() == 1501
+    kept = {r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()}
+    assert kept == set(range(3000)) - {77} | {None}
