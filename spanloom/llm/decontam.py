@@ -183,7 +183,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return overlaps(docs, benchmark)
 
 
-def telling(found: DataFrame, documents: int) -> DataFrame:
+def telling(found: DataFrame, docs: DataFrame) -> DataFrame:
     """The overlaps that are evidence of contamination: those of INFORMATIVE
     matched words or more, and shorter ones if their item overlaps at most
     SHORT_SHARE of the documents. A short item that many documents hold (an
@@ -192,7 +192,7 @@ def telling(found: DataFrame, documents: int) -> DataFrame:
     if not found.where(short).limit(1).count():
         return found
     held = found.where(short).groupBy("item_id").agg(F.count_distinct("doc_id").alias("_held"))
-    rare = few(held.where(F.col("_held") <= SHORT_SHARE * documents).select(F.col("item_id").alias("_rare")))
+    rare = few(held.where(F.col("_held") <= SHORT_SHARE * docs.count()).select(F.col("item_id").alias("_rare")))
     return found.where(~short).unionByName(found.where(short).join(rare, F.col("item_id").eqNullSafe(F.col("_rare")), "left_semi"))
 
 
@@ -203,7 +203,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mine, hashed, bad_id, bad_hash = free_names(docs, "mine", "hash", "bad_id", "bad_hash")
     keyed = docs.select(F.struct("doc_id", text_hash(F.col("text")).alias("hash")).alias("doc_id"), "text")
     found = written(overlaps(keyed, benchmark).select("doc_id", "item_id", "matched"), "contaminated")
-    bad = telling(found, docs.count()).select(F.col("doc_id.doc_id").alias(bad_id), F.col("doc_id.hash").alias(bad_hash)).distinct()
+    bad = telling(found, docs).select(F.col("doc_id.doc_id").alias(bad_id), F.col("doc_id.hash").alias(bad_hash)).distinct()
     bad = few(bad)
     rows = docs.select("*", F.col("doc_id").alias(mine), text_hash(F.col("text")).alias(hashed))
     same = F.col(mine).eqNullSafe(F.col(bad_id)) & (F.col(hashed) == F.col(bad_hash))
