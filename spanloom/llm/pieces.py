@@ -44,6 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +54,10 @@ MARK = "▁"
 SHARED_SCORE = -1e8
 #: Characters of new words after which a worker's kept words become the older
 #: generation, a word counting WORD_CHARS besides; longer ones than LONG are not kept.
-CACHED_CHARS, WORD_CHARS = 16 << 20, 32
+CACHED_CHARS, WORD_CHARS = 4 << 20, 32
 LONG = 256
+#: Rows, and bytes of text if there are several rows, that are worked on at once.
+PART_ROWS, PART_BYTES = 2048, 2 << 20
 #: Words of one trellis, and ids that are decoded at once.
 LANES, DECODED = 1 << 13, 1 << 20
 #: A path that no allowed step continues.
@@ -496,6 +499,20 @@ def model(path: str) -> PieceModel:
     return _MODELS[path]
 
 
+def _parts(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most PART_ROWS rows and PART_BYTES bytes in column
+    ``text``; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0)
+    ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = min(int(np.searchsorted(ends, before + PART_BYTES, "right")), at + PART_ROWS)
+        stop = max(stop, at + 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def encoded(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ids (binary, little-endian unsigned 32-bit) and decoded (the
     text that the ids give back) for each row."""
@@ -504,8 +521,7 @@ def encoded(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for some in _parts(batch, "_text_in"):
                 ids = pieces.encode(some.column("_text_in").to_pylist())
                 texts = pieces.decode_all(ids)
                 columns = [*[some.column(k) for k in keep], pa.array(ids, pa.binary()), pa.array(texts, pa.string())]
@@ -523,8 +539,7 @@ def encoding_report(docs: DataFrame, path: str | None = None, with_ids: bool = F
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for some in _parts(batch, "text"):
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 ids = pieces.encode(texts)
                 back = pieces.decode_all(ids)
@@ -553,8 +568,7 @@ def count_report(docs: DataFrame, path: str | None = None) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                some = batch.slice(at, 2048)
+            for some in _parts(batch, "text"):
                 counts = pieces.count(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 

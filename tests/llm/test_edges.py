@@ -3,6 +3,7 @@ column names: every operator and stage gives its defined result."""
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,17 @@ def test_every_stage(spark, docs, empty, items, tmp_path):
             assert out.count() <= given.count()
             if k < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == given.columns
+
+
+def test_parts_of_a_batch_are_bounded_by_rows_and_bytes(monkeypatch):
+    texts = [None, "", "ab", "x" * 50, "cd", None, "é" * 4, "y" * 9, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    monkeypatch.setattr(pieces, "PART_ROWS", 4)
+    monkeypatch.setattr(pieces, "PART_BYTES", 10)
+    runs = [p.column("text").to_pylist() for p in pieces._parts(batch, "text")]
+    assert [t for run in runs for t in run] == texts
+    for run in runs:
+        assert len(run) <= 4 and (len(run) == 1 or sum(len((t or "").encode()) for t in run) <= 10)
+    assert runs[1] == ["x" * 50]
+    assert list(pieces._parts(batch.slice(0, 0), "text")) == []
+    assert [p.column("text").to_pylist() for p in pieces._parts(batch.slice(3, 2), "text")] == [["x" * 50], ["cd"]]
