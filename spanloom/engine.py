@@ -30,8 +30,8 @@ POLICY = {
     "retention": {"local_index_ttl_days": 90},
 }
 PROVIDERS = {
-    "mock": {"provider_id": "mock", "locality": "local", "max_data_level": 1},
-    "disabled": {"provider_id": "disabled", "locality": "disabled", "max_data_level": 0},
+    "mock": {"provider_id": "mock", "model_id": "hash", "dimensions": 32, "locality": "local", "max_data_level": 1},
+    "disabled": {"provider_id": "disabled", "model_id": "none", "dimensions": 0, "locality": "disabled", "max_data_level": 0},
 }
 
 
@@ -253,26 +253,44 @@ class Engine:
         appended to the audit log. Counts by reason."""
         if not experimental:
             raise ValueError("vectors are experimental")
-        rules = {"block_on_match": self.policy["secrets"]["block_on_match"], "allow_remote": self.policy["remote"]["allow"]}
-        rules |= {k: self.policy["remote"][k] for k in ("allow_embedding", "allowed_providers", "max_data_level")}
+        at = PROVIDERS[provider]
         chunks = corpus.line_chunks(self.files).select(
             F.xxhash64("path", "start_line", "end_line").alias("vec_id"), "path", "start_line", "end_line", "content_sha",
             F.concat_ws(" ", "path", "language", F.concat_ws("-", "start_line", "end_line")).alias("text"), F.lit(1).alias("data_level"),
         )
-        gated = governance.gate(chunks, rules, PROVIDERS[provider])
+        gated = governance.gate(chunks, self._gate_rules(), at)
         root = self._own()
-        log = gated.select(F.current_timestamp().alias("ts"), F.col("vec_id").alias("event_id"), F.lit(provider).alias("provider_id"), "path", "secret_scan", "reason")
-        log.write.mode("append").json(f"{root}/audit")
+        self._audit(gated, "vec_id", "embed", provider, "path")
         allowed = gated.where("allowed").select("vec_id", "path", "start_line", "end_line", "content_sha", "text")
-        allowed.join(vectors.mock_embedding(allowed, "vec_id"), "vec_id").drop("text").write.mode("overwrite").parquet(f"{root}/vectors")
+        made = vectors.mock_embedding(allowed, "vec_id", at["dimensions"])
+        space = [F.lit(at[c]).alias(c) for c in vectors.SPACE]
+        allowed.join(made, "vec_id").drop("text").select("*", *space).write.mode("overwrite").parquet(f"{root}/vectors")
         return gated.groupBy("reason").count()
 
-    def dense_search(self, query: str | DataFrame, k: int = 10) -> DataFrame:
-        """Nearest chunks, verified; the query is given back as hash and length only."""
+    def _gate_rules(self) -> dict:
+        rules = {"block_on_match": self.policy["secrets"]["block_on_match"], "allow_remote": self.policy["remote"]["allow"]}
+        return rules | {k: self.policy["remote"][k] for k in ("allow_embedding", "allowed_providers", "max_data_level")}
+
+    def _audit(self, gated: DataFrame, key: str, event: str, provider: str, *more: str) -> None:
+        """A log entry for each gated row: ``event`` if it is allowed, else ``block``."""
+        told = F.when(F.col("allowed"), event).otherwise("block").alias("event")
+        log = gated.select(F.current_timestamp().alias("ts"), F.col(key).alias("event_id"), told, F.lit(provider).alias("provider_id"), *more, "secret_scan", "reason")
+        log.write.mode("append").json(f"{self._own()}/audit")
+
+    def dense_search(self, query: str | DataFrame, k: int = 10, provider: str = "mock") -> DataFrame:
+        """Nearest chunks among the vectors of the provider's model and length,
+        verified; the query is given back as hash and length only. Queries pass
+        the gate first and are logged (``query_embed`` or ``block``); blocked
+        ones have no hits. Without vectors of that space nothing is embedded,
+        logged or found."""
+        at = PROVIDERS[provider]
         asked = self._queries(query)
-        store = self.spark.read.parquet(f"{self.root}/vectors")
-        q = vectors.mock_embedding(asked, "query_id", text="query")
-        hits = vectors.cosine_topk(store, q, k).join(store.drop("embedding"), "vec_id")
+        store = vectors.of_space(self.spark.read.parquet(f"{self.root}/vectors"), at)
+        gated = governance.gate(asked.select("*", F.coalesce("query", F.lit("")).alias("text"), F.lit(0).alias("data_level")), self._gate_rules(), at)
+        if not store.isEmpty():
+            self._audit(gated, "query_id", "query_embed", provider)
+        q = vectors.mock_embedding(gated.where("allowed"), "query_id", at["dimensions"])
+        hits = vectors.cosine_topk(store, q, k).join(store.drop("embedding", *vectors.SPACE), "vec_id")
         told = asked.select("query_id", F.sha2(F.col("query").cast("binary"), 256).alias("query_sha"), F.octet_length("query").alias("query_bytes"))
         return evidence.materialize(hits, self.files).join(told, "query_id").withColumn("channel", F.lit("dense"))
 

@@ -39,6 +39,18 @@ def _by_length(rows: list, ids: np.ndarray) -> dict[int, tuple[np.ndarray, np.nd
     return out
 
 
+#: What vectors must share to be compared.
+SPACE = ("provider_id", "model_id", "dimensions")
+
+
+def of_space(vectors: DataFrame, space: dict) -> DataFrame:
+    """The rows whose SPACE columns equal ``space``: vectors of other models or
+    lengths aren't comparable. Nulls match nothing; the scan gets the filters."""
+    for column in SPACE:
+        vectors = vectors.where(F.col(column) == F.lit(space[column]))
+    return vectors
+
+
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
     """query_id, vec_id, score, rank: each query's k nearest other vectors.
 

@@ -112,3 +112,13 @@ def test_bootstrap_means_do_not_depend_on_order(spark):
     assert a == b and len(a) == 150
     mean = sum(v for g, _, v in rows[:3000] if g == 0) / 1000
     assert abs(sum(m for g, _, m in a if g == 0) / 50 - mean) < 0.03
+
+
+def test_vectors_of_one_space(spark, tmp_path):
+    rows = [(1, "a", "m", 2), (2, "a", "m", 3), (3, "a", "other", 2), (4, "b", "m", 2), (5, None, "m", 2), (6, "a", "m", None), (7, "a", "m", 2)]
+    spark.createDataFrame(rows, "vec_id long, provider_id string, model_id string, dimensions int").write.parquet(f"{tmp_path}/v")
+    got = vectors.of_space(spark.read.parquet(f"{tmp_path}/v"), {"provider_id": "a", "model_id": "m", "dimensions": 2})
+    assert sorted(r["vec_id"] for r in got.collect()) == [1, 7]
+    # The plain plan shortens its metadata; this form has all pushed filters.
+    plan = spark._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert all(f"EqualTo({c}," in plan for c in vectors.SPACE)
