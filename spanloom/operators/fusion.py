@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_totals
+
 RRF_K = 60
 SPAN = ["query_id", "path", "start_line", "end_line"]
 
@@ -70,3 +72,16 @@ def token_budget(items: DataFrame, budget: int, key: str = "query_id", text: str
     cost = F.expr(f"(octet_length({text}) + 3) div 4")
     window = Window.partitionBy(key).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return items.withColumn("tokens", cost).withColumn("used", F.sum("tokens").over(window)).where(F.col("used") <= budget)
+
+
+def budget_prefix(items: DataFrame, budget: int, key: str, order: list, text: str = "excerpt") -> DataFrame:
+    """``items`` without ``text``, with rank, tokens and used, as ``with_rank``
+    and then ``token_budget`` give them, for lists of any length: running totals
+    over range partitions. Texts don't move; ``order`` is total in a list. A
+    null text has null tokens and counts as nothing."""
+    cost = F.expr(f"(octet_length({text}) + 3) div 4")
+    lean = items.withColumn("tokens", cost).withColumn("_one", F.lit(1).cast("long")).drop(text)
+    spent = running_totals(lean, [key], order, ["tokens", "_one"])
+    used = F.col("before_tokens") + F.coalesce("tokens", F.lit(0))
+    kept = spent.withColumn("used", used).withColumn("rank", F.col("before__one") + 1).where(F.col("used") <= budget)
+    return kept.select(*[c for c in lean.columns if c != "_one"], "rank", "used")

@@ -6,35 +6,56 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import value_places
+
 
 def percentiles(df: DataFrame, value: str, by: list[str], p: int) -> DataFrame:
     """Three definitions of the p-th percentile: p_floor takes index
     floor(p (n - 1) / 100), p_index takes int(n p / 100) capped, p_linear
-    interpolates; the exact sort is per group."""
-    w = Window.partitionBy(*by)
-    placed = df.withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda index: F.max(F.when(F.col("_i") == index, F.col(value)))
-    low = F.expr(f"({p} * (_n - 1)) div 100")
-    index = F.least(F.expr(f"(_n * {p}) div 100"), F.col("_n") - 1)
-    share = F.lit(p) * (F.col("_n") - 1) / 100 - low
-    return placed.groupBy(*by).agg(
-        at(low).alias("p_floor"), at(index).alias("p_index"),
-        F.sum(F.when(F.col("_i") == low, F.col(value) * (1 - share)).when(F.col("_i") == low + 1, F.col(value) * share)).alias("p_linear"),
-        F.count("*").alias("n"),
+    interpolates. Exact; a group's values are never in one task."""
+    c = F.col
+    places = value_places(df, value, by)
+    at = lambda index: (c("before") <= index) & (index < c("before") + c("times"))
+    pick = lambda index: F.max(F.when(at(index), c(value)))
+    low = F.expr(f"({p} * (whole - 1)) div 100")
+    index = F.least(F.expr(f"(whole * {p}) div 100"), c("whole") - 1)
+    share = F.lit(p) * (c("whole") - 1) / 100 - low
+    part = F.when(at(low), c(value) * (1 - share)), F.when(at(low + 1) & (share > 0), c(value) * share)
+    return places.groupBy(*by).agg(
+        pick(low).alias("p_floor"), pick(index).alias("p_index"),
+        (F.sum(part[0]) + F.coalesce(F.sum(part[1]), F.lit(0.0))).alias("p_linear"), F.sum("times").alias("n"),
     )
 
 
+def sketch_errors(df: DataFrame, value: str, by: list[str], p: int, accuracy: int = 10_000) -> DataFrame:
+    """``by``, sketch, rank_error, within: the p-th percentile by a sketch of
+    bounded size, by how many rows its place misses ceil(n p / 100), and whether
+    that keeps to the sketch's bound, n / accuracy (one row at least)."""
+    c = F.col
+    guess = df.groupBy(*by).agg(F.percentile_approx(c(value).cast("double"), F.lit(p / 100), F.lit(accuracy)).alias("sketch"))
+    ours = [c(f"_by_{i}") for i in range(len(by))]
+    guess = guess.select(*[c(k).alias(f"_by_{i}") for i, k in enumerate(by)], "sketch")
+    same = F.lit(True)
+    for k, mine in zip(by, ours):
+        same = same & c(k).eqNullSafe(mine)
+    known = value_places(df.where(c(value).isNotNull()), value, by).join(guess, same).where(c(value).cast("double") == c("sketch"))
+    wanted = F.expr(f"(whole * {p} + 99) div 100")
+    missed = F.greatest(F.lit(0), c("before") + 1 - wanted, wanted - c("before") - c("times"))
+    return known.select(*by, "sketch", missed.alias("rank_error"), (missed <= F.greatest(F.lit(1), F.ceil(c("whole") / accuracy))).alias("within"))
+
+
 def cvar(df: DataFrame, value: str, by: list[str], alpha: float) -> DataFrame:
     """The mean of the worst (lowest) max(1, round(alpha n)) values, halves
-    rounded to even."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    k = F.greatest(F.lit(1), F.bround(F.lit(alpha) * n, 0).cast("long"))
-    worst = df.withColumn("_k", k).withColumn("_i", F.row_number().over(w.orderBy(value))).where("_i <= _k")
-    return worst.groupBy(*by).agg(F.avg(value).alias("cvar"), F.count("*").alias("n_worst"))
+    rounded to even. A group's values are never in one task."""
+    c = F.col
+    k = F.greatest(F.lit(1), F.bround(F.lit(alpha) * c("whole"), 0).cast("long"))
+    taken = F.least(c("times"), k - c("before"))
+    worst = value_places(df, value, by).withColumn("_taken", taken).where("_taken > 0")
+    known = F.sum(F.when(c(value).isNotNull(), c("_taken")))
+    return worst.groupBy(*by).agg((F.sum(c(value) * c("_taken")) / known).alias("cvar"), F.sum("_taken").alias("n_worst"))
 
 
 def worst_group(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
@@ -156,7 +177,9 @@ def bootstrap_interval(df: DataFrame, value: str, key: str, by: list[str], resam
 
 
 def holdout_split(df: DataFrame, group: str, n_train: int) -> DataFrame:
-    """group, split: the first n groups in order train, the rest tests."""
+    """group, split: the first n groups in order train, the rest tests; null is
+    the first of all. Only the last group that trains is sent round."""
     groups = df.select(group).distinct()
-    place = F.dense_rank().over(Window.orderBy(group))
-    return groups.withColumn("split", F.when(place <= n_train, "train").otherwise("test"))
+    last = groups.orderBy(group).limit(n_train).agg(F.max(group).alias("_last"), F.count("*").alias("_n"))
+    trains = (F.col("_n") > 0) & (F.col(group).isNull() | F.coalesce(F.col(group) <= F.col("_last"), F.lit(False)))
+    return groups.crossJoin(F.broadcast(last)).select(group, F.when(trains, "train").otherwise("test").alias("split"))

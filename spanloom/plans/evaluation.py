@@ -362,6 +362,13 @@ def cvar_tail(spark, sf_dir):
     return _r(stats.cvar(table(spark, sf_dir, "events"), "value", ["event_type"], 0.1), "cvar")
 
 
+@query("SELECT event_type, true AS within FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def percentile_sketch(spark, sf_dir):
+    """The sketch's place keeps to its bound in every group; the exact places
+    come from range partitions."""
+    return stats.sketch_errors(table(spark, sf_dir, "events"), "value", ["event_type"], 95).select("event_type", "within")
+
+
 @query("""WITH m AS (SELECT event_type, user_id, round(avg(value), 9) AS m FROM events GROUP BY ALL), w AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY m, user_id) AS r FROM m)
 SELECT event_type, max(CASE WHEN r = 1 THEN user_id END) AS worst_group, round(min(m), 6) AS worst_mean, round(max(m) - min(m), 6) AS spread, round(avg(m), 6) AS mean_of_groups FROM w GROUP BY event_type""")
 def worst_group(spark, sf_dir):

@@ -138,8 +138,8 @@ u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOU
 SELECT query_id, doc_id, rank, tokens::BIGINT AS tokens, used::BIGINT AS used FROM u WHERE used <= 5000""")
 def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), "doc_id", F.col("text").alias("excerpt"))
-    got = fusion.token_budget(fusion.with_rank(docs, ["query_id"], ["doc_id"]), 5000)
-    return got.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "tokens", "used")
+    got = fusion.budget_prefix(docs, 5000, "query_id", [F.col("doc_id")])
+    return got.select("query_id", "doc_id", "rank", "tokens", "used")
 
 
 def _citations(f: DataFrame) -> DataFrame:
