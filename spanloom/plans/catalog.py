@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import engine, evaluation, guards, hybrids, inputs, retrieval  # noqa: F401
+from . import engine, evaluation, guards, hybrids, inputs, retrieval, views  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
