@@ -264,6 +264,22 @@ SCORECARD = """sc AS (SELECT task_id, density = 1 AND n_symbol > 0 AS exact_uniq
  + CASE WHEN bucket IN ('negative', 'ambiguous') THEN -2 WHEN bucket = 'likely_positive' THEN 1 ELSE 0 END AS common FROM sc)"""
 
 
+SUBTYPES = """st AS (SELECT doc_id AS task_id, k, ['span_overlap', 'same_file_only', 'disagree', 'single_source'][(doc_id + k) % 4 + 1] AS agreement,
+ ['symbol_regex_fusion', 'symbol_only', 'regex_only'][(doc_id // 2 + k) % 3 + 1] AS source, (doc_id // 5 + k) % 2 = 0 AS rrf FROM documents, range(3) r(k) WHERE k < doc_id % 4),
+ag AS (SELECT task_id, min((CASE agreement WHEN 'span_overlap' THEN 1 WHEN 'same_file_only' THEN 2 WHEN 'disagree' THEN 3 ELSE 4 END) * 2 + (NOT rrf)::INT) AS b, arg_min(source, k) AS ts, arg_min(agreement, k) AS ta, arg_min(rrf, k) AS tr FROM st GROUP BY task_id),
+ps AS (SELECT sc.*, b // 2 AS b, b % 2 = 0 AS br, ts, ta, tr, task_id % 9 <> 0 AS handoff, bucket IN ('negative', 'hard_distractor') OR neg AS bad, bucket = 'likely_positive' AND NOT neg AS low,
+ symbol::INT + regex::INT + local_anchor::INT + exact_unique::INT + (task_id % 9 <> 0)::INT AS each FROM sc LEFT JOIN ag USING (task_id))"""
+
+
+def _subtypes(spark, sf_dir):
+    """Up to three anchor subtypes of each task."""
+    d, k = F.col("doc_id"), F.col("rank") - 1
+    rows = table(spark, sf_dir, "documents").where(d % 4 > 0).select("doc_id", F.explode(F.sequence(F.lit(1), d % 4)).alias("rank"))
+    return rows.select(
+        d.alias("task_id"), "rank", F.col("rank").alias("place"), _pick(policies.AGREEMENTS, (d + k) % 4).alias("agreement_class"),
+        _pick(("symbol_regex_fusion", "symbol_only", "regex_only"), (F.floor(d / 2) + k) % 3).alias("source_class"), ((F.floor(d / 5) + k) % 2 == 0).alias("rrf_backing"))
+
+
 def _scorecard(spark, sf_dir, version):
     t = tasks(spark, sf_dir)
     f = policies.task_features(t, predictions(spark, sf_dir)).join(t.select("task_id", "repo_id", "task_type"), "task_id")
@@ -281,6 +297,8 @@ def _scorecard(spark, sf_dir, version):
         "rrf_file": (c("n_regex") > 0) & (c("top_score") > 0), "rrf_span": (c("n_regex") > 1) & (c("top_score") > 0),
     }
     made = f.select("task_id", *[v.alias(k) for k, v in features.items()])
+    if version in ("h4", "h4b"):
+        made = made.join(policies.anchor_subtypes(_subtypes(spark, sf_dir)), "task_id", "left").withColumn("handoff", c("task_id") % 9 != 0)
     return policies.admission(made, version).select("task_id", "points", "action")
 
 
@@ -299,6 +317,24 @@ def admission_agreement(spark, sf_dir):
     return _scorecard(spark, sf_dir, "h2")
 
 
+@query(f"""WITH {EVAL}, {FLAGS}, {FEATURES}, {SCORECARD}, {SUBTYPES}, p4 AS (SELECT *, each + CASE b WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN -1 WHEN 4 THEN -2 ELSE -1 END + coalesce(br, false)::INT + CASE WHEN nz > 0.5 THEN -2 WHEN nz > 0.25 THEN -1 ELSE 0 END - 3 * neg::INT
+ + CASE WHEN bucket IN ('negative', 'ambiguous') THEN -2 WHEN bucket = 'likely_positive' THEN 1 ELSE 0 END AS p FROM ps)
+SELECT task_id, p AS points, CASE WHEN bad OR p <= -5 THEN CASE WHEN dense OR graph THEN 'supporting' ELSE 'filter' END WHEN bucket = 'ambiguous' THEN CASE WHEN b = 1 AND br THEN 'supporting' WHEN b = 1 THEN 'weak' WHEN dense OR graph THEN 'supporting' ELSE 'filter' END
+ WHEN exact_unique AND nz <= 0.2 THEN CASE WHEN b = 1 AND br THEN 'supporting' WHEN low THEN 'weak' ELSE 'filter' END WHEN b = 1 THEN CASE WHEN br THEN 'supporting' WHEN low THEN 'weak' ELSE 'filter' END WHEN b = 2 THEN CASE WHEN low THEN 'weak' ELSE 'filter' END
+ WHEN b IN (3, 4) THEN CASE WHEN low AND nz <= 0.2 THEN 'weak' ELSE 'filter' END WHEN dense OR graph THEN 'supporting' ELSE 'weak' END AS action FROM p4""")
+def admission_budget(spark, sf_dir):
+    return _scorecard(spark, sf_dir, "h4")
+
+
+@query(f"""WITH {EVAL}, {FLAGS}, {FEATURES}, {SCORECARD}, {SUBTYPES}, p4 AS (SELECT *, each + CASE ta WHEN 'span_overlap' THEN 2 WHEN 'same_file_only' THEN 1 WHEN 'disagree' THEN -1 WHEN 'single_source' THEN -2 ELSE -1 END + coalesce(tr, false)::INT
+ + CASE WHEN ts IN ('symbol_regex_fusion', 'symbol_only') THEN 1 WHEN ts = 'regex_only' THEN -1 ELSE 0 END + asp::INT + rs::INT + backed::INT - CASE WHEN nz > 0.2 THEN 3 ELSE 0 END AS p,
+ bad OR bucket = 'ambiguous' OR nz > 0.2 OR ts IS NULL OR ts = 'regex_only' OR ta <> 'span_overlap' AS guarded, coalesce(ts = 'symbol_regex_fusion' AND ta = 'span_overlap', false) AS fused FROM ps)
+SELECT task_id, p AS points, CASE WHEN NOT handoff THEN 'weak' WHEN guarded THEN CASE WHEN bucket IN ('negative', 'hard_distractor', 'ambiguous') OR nz > 0.2 THEN 'filter' WHEN ts IS NULL THEN 'weak' WHEN ts = 'regex_only' THEN 'filter' WHEN ta = 'same_file_only' THEN 'weak' ELSE 'filter' END
+ WHEN fused AND tr AND local_anchor AND asp AND nz <= 0.1 AND low AND (exact_unique OR rs) THEN CASE WHEN backed AND rs THEN 'rrf' ELSE 'union' END WHEN fused AND tr THEN 'supporting' WHEN fused AND low THEN 'weak' WHEN fused THEN 'filter' ELSE 'weak' END AS action FROM p4""")
+def admission_readmission(spark, sf_dir):
+    return _scorecard(spark, sf_dir, "h4b")
+
+
 # ---------------------------------------------------------------------- packing
 @query(f"""WITH {EVAL}, m AS (SELECT *, row_number() OVER (PARTITION BY strategy, task_id, fkey ORDER BY rank) <= 1 AS ok FROM (SELECT *, path AS fkey FROM preds)), p AS (SELECT *, sum(ok::INT) OVER (PARTITION BY strategy, task_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS c FROM m)
 SELECT strategy, task_id, rank, row_number() OVER (PARTITION BY strategy, task_id ORDER BY CASE WHEN ok AND c <= 3 THEN 0 ELSE 1 END, rank) AS new_rank FROM p""")
