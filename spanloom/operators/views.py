@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -78,7 +79,7 @@ def file_views(files: DataFrame) -> DataFrame:
     to the fixed counts above. One pass over the files, without a shuffle. A
     null or empty content has no views; null languages have no symbols."""
     c, i32 = F.col, lambda x: x.cast("int")
-    base = files.select("repo_id", "path", "content_sha", F.coalesce("language", F.lit("")).alias("language"), T.lines(c("content")).alias("_lines")).where(F.size("_lines") > 0)
+    base = files.where("content <> ''").select("repo_id", "path", "content_sha", F.coalesce("language", F.lit("")).alias("language"), T.lines(c("content")).alias("_lines"))
     n, path, language, all_lines = F.size("_lines"), c("path"), c("language"), c("_lines")
     trimmed = F.transform(all_lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
     kept = lambda pattern: F.filter(F.transform("_trim", lambda x, i: F.struct((i + 1).alias("i"), x.alias("x"))), lambda s: s.x.rlike(pattern))
@@ -141,13 +142,20 @@ def file_views(files: DataFrame) -> DataFrame:
     return out.select("repo_id", "path", "v.r.view", "v.ordinal", "v.r.start_line", "v.r.end_line", "content_sha", "language", "v.r.text", "v.r.data_level")
 
 
+@lru_cache(maxsize=1 << 16)
+def _place(word: str) -> tuple[int, int]:
+    """A word's number and sign; a worker keeps those of the latest words."""
+    digest = hashlib.sha256(word.encode("utf-8")).digest()
+    return int.from_bytes(digest[:4], "little"), 1 if digest[4] % 2 == 0 else -1
+
+
 def hashed_vector(text: str | None, dims: int = 256) -> np.ndarray:
     """Signed counts of a text's words, each at a place and with a sign by its
     SHA-256; not brought to unit length, so entries are whole numbers."""
     out = np.zeros(dims)
     for word in re.findall(WORD, (text or "").lower()):
-        digest = hashlib.sha256(word.encode("utf-8")).digest()
-        out[int.from_bytes(digest[:4], "little") % dims] += 1 if digest[4] % 2 == 0 else -1
+        number, sign = _place(word)
+        out[number % dims] += sign
     return out
 
 

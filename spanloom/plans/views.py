@@ -19,19 +19,20 @@ HEADING, SCRIPT = r"(?s)<h1>(.*?)</h1>", r"(?s)<script>(.*?)</script>"
 
 
 def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.coalesce("html", F.lit(""))
-    parts = {"{h}": F.regexp_extract(html, HEADING, 1), "{s}": F.regexp_extract(html, SCRIPT, 1), "{n}": F.col("page_id").cast("string")}
+    html, page = F.coalesce("html", F.lit("")), F.col("page_id")
+    parts = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, HEADING, 1).alias("h"), F.regexp_extract(html, SCRIPT, 1).alias("s"))
 
-    def filled(which: int):
-        out = None
+    def filled(which: int, marks: str):
+        out = F
         for k, forms in enumerate(MODULES):
             made = F.lit(forms[which])
-            for mark, value in parts.items():
-                made = F.replace(made, F.lit(mark), value)
-            out = F.when(F.col("page_id") % 3 == k, made) if out is None else out.when(F.col("page_id") % 3 == k, made)
+            for mark in marks:
+                value = page.cast("string") if mark == "n" else F.col(mark)
+                made = F.replace(made, F.lit("{" + mark + "}"), value)
+            out = out.when(page % 3 == k, made)
         return out
 
-    rows = table(spark, sf_dir, "pages").select(F.concat(F.lit("repo"), F.col("page_id") % 2).alias("repo_id"), filled(0).alias("path"), filled(1).alias("language"), filled(2).alias("content"))
+    rows = parts.select(F.concat(F.lit("repo"), page % 2).alias("repo_id"), filled(0, "n").alias("path"), filled(1, "").alias("language"), filled(2, "hsn").alias("content"))
     return rows.withColumn("content_sha", F.sha2(F.col("content").cast("binary"), 256))
 
 
