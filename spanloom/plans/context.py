@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.size import bounded
+from ..functions.storage import saved
 from ..operators import evidence, fusion, graph, lexical, linesearch
 from ..sources import corpus
 
@@ -72,7 +74,7 @@ def channel_hits(files: DataFrame, queries: DataFrame, channels: tuple[str, ...]
 def retrieve(files: DataFrame, queries: DataFrame, channels: tuple[str, ...] = ("regex", "bm25", "symbol"), k: int = 20) -> DataFrame:
     """query_id, rank, path, start_line, end_line, score, channels: fused,
     wider spans absorbed, the k best of each query; all queries in one job."""
-    fused = fusion.absorb_wider(fusion.rrf(channel_hits(files, queries, channels, k)))
+    fused = fusion.absorb_wider(saved(fusion.rrf(channel_hits(files, queries, channels, k)), "fused"))
     scored = fused.withColumn("score", F.round("score", 9))
     return lexical.ranked(scored, [F.desc("score"), "path", "start_line", "end_line"], ["query_id"], k)
 
@@ -84,12 +86,14 @@ def fast_context(files: DataFrame, queries: DataFrame, edges: DataFrame | None =
     hits = channel_hits(files, queries, ("regex", "bm25"), k)
     if named.limit(1).count():
         hits = hits.unionByName(channel_hits(files, named, ("symbol",), k))
+    hits = saved(hits, "hits")
     if edges is not None:
         hits = hits.unionByName(graph_hits(hits, edges, k))
-    fused = fusion.absorb_wider(fusion.rrf(hits)).withColumn("score", F.round("score", 9))
-    best = lexical.ranked(fused, [F.desc("score"), "path", "start_line", "end_line"], ["query_id"], k)
-    shas = files.select("path", "content_sha")
-    valid = evidence.materialize(best.join(shas, "path"), files)
+    fused = fusion.absorb_wider(saved(fusion.rrf(hits), "fused")).withColumn("score", F.round("score", 9))
+    best = saved(lexical.ranked(fused, [F.desc("score"), "path", "start_line", "end_line"], ["query_id"], k), "best")
+    # Only the texts of files with a hit move on.
+    near = files.join(bounded(best.select("path").distinct()), "path", "left_semi")
+    valid = evidence.materialize(best.join(near.select("path", "content_sha"), "path"), near)
     return fusion.token_budget(valid, budget).select(
         "query_id", "rank", "path", "start_line", "end_line", "score", F.array_join("channels", ",").alias("channels"), "tokens", "used"
     )
