@@ -8,9 +8,9 @@ candidates (a short list) at a time.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,23 +173,37 @@ CANDIDATES = "task_id long, path string, start_line long, end_line long, agreeme
 
 def agreed_candidates(predictions: DataFrame) -> DataFrame:
     """One row for each task and span: how many methods found it and which, the
-    best rank, and the best score relative to its method's best."""
-    best = F.max("score").over(Window.partitionBy("strategy", "task_id"))
-    return predictions.withColumn("_norm", F.col("score") / F.nullif(best, F.lit(0))).groupBy("task_id", "path", "start_line", "end_line").agg(
-        F.countDistinct("strategy").alias("agreement"), F.min("rank").cast("long").alias("min_rank"), F.max("_norm").alias("max_score"),
-        F.array_sort(F.collect_set("strategy")).alias("methods"),
-    )
+    best rank, and the best score relative to its method's best. Rows are dealt
+    by task once, which serves the window, the groups and what follows."""
+    best = F.max("score").over(Window.partitionBy("task_id", "strategy"))
+    dealt = predictions.repartition("task_id")
+    return dealt.withColumn("_norm", F.col("score") / F.nullif(best, F.lit(0))).groupBy("task_id", "path", "start_line", "end_line").agg(
+        F.min("rank").cast("long").alias("min_rank"), F.max("_norm").alias("max_score"), F.array_sort(F.collect_set("strategy")).alias("methods"),
+    ).withColumn("agreement", F.size("methods").cast("long"))
 
 
 def _each_task(candidates: DataFrame, pick: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["agreement", "min_rank", "max_score", "path", "start_line"], ascending=[False, True, False, True, True])
-        taken = pick(rows.to_dict("records"))
-        out = pd.DataFrame(taken, columns=["task_id", "path", "start_line", "end_line"])
-        out["place"] = range(1, len(out) + 1)
-        return out
-
-    return candidates.groupBy("task_id").applyInPandas(task, "task_id long, path string, start_line long, end_line long, place long")
+    """The rows that ``pick`` takes of each task's list, with their place. Spark
+    makes and orders the lists, workers get batches of them."""
+    given = [c for c in candidates.columns if c != "task_id"]
+    falling = lambda c: F.coalesce(-F.col(c), F.lit(float("inf")))
+    last = lambda c: F.col(c).isNull()
+    key = F.struct(falling("agreement").alias("a"), last("min_rank").alias("b"), F.col("min_rank").alias("c"), falling("max_score").alias("d"),
+                   last("path").alias("e"), F.col("path").alias("f"), last("start_line").alias("g"), F.col("start_line").alias("h"), F.col("end_line").alias("i"))
+    row = F.struct(key.alias("key"), F.struct(*given).alias("row"))
+    lists = candidates.groupBy("task_id").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    lists = lists.select("task_id", F.col("rows.row").alias("rows"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("task_id", "path", "start_line", "end_line", "place")}
+            for task_id, rows in zip(batch.column("task_id").to_pylist(), batch.column("rows").to_pylist()):
+                for place, row in enumerate(pick(rows), 1):
+                    for c, value in (("task_id", task_id), ("path", row["path"]), ("start_line", row["start_line"]), ("end_line", row["end_line"]), ("place", place)):
+                        out[c].append(value)
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.string() if c == "path" else pa.int64()) for c, v in out.items()})
+
+    return lists.mapInArrow(task, "task_id long, path string, start_line long, end_line long, place long")
 
 
 def budgeted_acquisition(candidates: DataFrame, budget: int) -> DataFrame:
@@ -200,7 +214,7 @@ def budgeted_acquisition(candidates: DataFrame, budget: int) -> DataFrame:
         for row in rows:
             if len(taken) >= budget:
                 break
-            if row["agreement"] == 1 and row["min_rank"] > 5 and row["max_score"] < 0.01:
+            if row["agreement"] == 1 and row["min_rank"] > 5 and row["max_score"] is not None and row["max_score"] < 0.01:
                 continue
             if row["agreement"] >= 2 and row["path"] in files:
                 waiting.append(row)
@@ -274,7 +288,7 @@ def anchored(candidates: DataFrame, budget: int, anchors: int = 3, least: float
                 anchor = row["agreement"] >= 2 or row["min_rank"] == 1
                 boost = 0.4 if anchor and len(taken) < anchors else 0.0
                 near = 0.15 if row["path"] in files else 0.0
-                return 0.3 * min(row["agreement"], 3) / 3 + 0.2 * row["max_score"] + 0.15 * tight + boost + near - (0.2 if row["agreement"] == 1 and row["min_rank"] > 5 else 0.0)
+                return 0.3 * min(row["agreement"], 3) / 3 + 0.2 * (row["max_score"] or 0.0) + 0.15 * tight + boost + near - (0.2 if row["agreement"] == 1 and row["min_rank"] > 5 else 0.0)
             scores = [priority(r) for r in rest]
             best = max(range(len(rest)), key=lambda i: (scores[i], -i))
             if len(taken) >= anchors and scores[best] < least:
