@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,10 +215,21 @@ def token_hash_embedding(texts: DataFrame, key: str, dims: int = 256) -> DataFra
 
 def mock_embedding(texts: DataFrame, key: str, dims: int = 32, text: str = "text") -> DataFrame:
     """key, embedding: a unit vector whose entries are hashes of the text's hash
-    and the dimension. It needs no model and is the same everywhere."""
+    and the dimension. It needs no model and is the same everywhere. Only the
+    text's hash, made once, goes to the workers."""
     whole = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
-    hashed = texts.select(key, whole.alias("_t"))
-    one = lambda i: F.conv(F.left(F.sha2(F.concat_ws(":", "_t", i.cast("string")).cast("binary"), 256), F.lit(8)), 16, 10).cast("double") - float(1 << 31)
-    raw = hashed.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), one).alias("_x"))
-    norm = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.select(key, norm.alias("_n"), "_x").select(key, F.transform("_x", lambda x: x / F.col("_n")).alias("embedding"))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [f":{i}".encode() for i in range(dims)]
+        for batch in batches:
+            heads = (hashlib.sha256(t.encode() + end).digest()[:4] for t in batch.column("_t").to_pylist() for end in ends)
+            x = np.frombuffer(b"".join(heads), ">u4").reshape(batch.num_rows, dims).astype(np.float64) - float(1 << 31)
+            square = np.zeros(batch.num_rows)
+            for i in range(dims):
+                square += x[:, i] * x[:, i]
+            flat = pa.array((x / np.sqrt(square)[:, None]).reshape(-1))
+            starts = pa.array(np.arange(batch.num_rows + 1) * dims, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(starts, flat)], names=[key, "embedding"])
+
+    return texts.select(key, whole.alias("_t")).mapInArrow(task, f"{key} {kind}, embedding array<double>")
