@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.size import bounded
+from ..functions.storage import scratch
 from .lexical import ranked
+from .manypatterns import each_piece
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,7 +31,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(fits, dot(a, b) / norms).otherwise(0.0)
 
 
-def _by_length(rows: list, ids: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _by_length(rows: list, ids: np.ndarray | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Row numbers and unit vectors by length. A null vector, or one that holds
     a null, has length 0: it is like no other."""
     groups: dict[int, list[int]] = {}
@@ -40,6 +45,18 @@ def _by_length(rows: list, ids: np.ndarray) -> dict[int, tuple[np.ndarray, np.nd
     return out
 
 
+def _least(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """line, column of the k least finite keys of each line, earlier columns
+    first among equal ones."""
+    n = keys.shape[1]
+    most = np.partition(keys, k - 1, axis=1)[:, k - 1] if k < n else np.full(len(keys), np.inf)
+    line, at = np.nonzero((keys <= most[:, None]) & np.isfinite(keys))
+    order = np.lexsort((at, keys[line, at], line))
+    line, at = line[order], at[order]
+    kept = np.arange(len(line)) - np.searchsorted(line, line) < k
+    return line[kept], at[kept]
+
+
 #: What vectors must share to be compared.
 SPACE = ("provider_id", "model_id", "dimensions")
 
@@ -71,6 +88,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256
             for batch in batches:
                 if not batch.num_rows:
                     continue
+                batch = batch.take(pc.sort_indices(batch.column("vec_id")))
                 own = np.asarray(batch.column("vec_id"))
                 scores = np.zeros((len(ids), len(own)))
                 for length, (at, unit) in _by_length(batch.column("embedding").to_pylist(), own).items():
@@ -78,13 +96,8 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256
                         mine, matrix = asked[length]
                         scores[np.ix_(mine, at)] = np.round(matrix @ unit.T, 6)
                 scores[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores), axis=1)[:, :k]
-                picked = np.take_along_axis(scores, order, 1)
-                good = np.isfinite(picked)
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": np.repeat(ids, order.shape[1])[good.reshape(-1)],
-                    "vec_id": own[order].reshape(-1)[good.reshape(-1)], "score": picked.reshape(-1)[good.reshape(-1)],
-                })
+                query, at = _least(-scores, k)
+                yield pa.RecordBatch.from_pydict({"query_id": ids[query], "vec_id": own[at], "score": scores[query, at]})
         return task
 
     def search(group: list) -> DataFrame:
@@ -140,21 +153,137 @@ def pool_size(n: int, share: float = 0.25, least: int = 50) -> int:
     return max(least, int(n * share))
 
 
+#: Queries in a piece and in a block, and vectors in a part.
+PIECE_QUERIES, BLOCK, PART_ROWS = 16_384, 256, 8_192
+
+
+def _pieces(queries: DataFrame) -> list[str]:
+    """Files of ``queries``, of a bounded number of rows each."""
+    path = scratch(queries.sparkSession, "queries")
+    queries.repartition(1 + queries.count() // PIECE_QUERIES).write.parquet(path)
+    return sorted(queries.sparkSession.read.schema(queries.schema).parquet(path).inputFiles())
+
+
+def _piece(uri: str) -> pa.Table:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as source:
+        return pq.read_table(source)
+
+
+def _codes(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, numbers of words, and codes (a line a row: sign words, magnitude words)."""
+    sign, mag = rows.column("sign_bits").to_pylist(), rows.column("mag_bits").to_pylist()
+    n = np.array([len(s) for s in sign], np.int64)
+    words = np.zeros((2, len(n), max(n, default=0)), np.int64)
+    for i, (s, m) in enumerate(zip(sign, mag)):
+        words[0, i, :len(s)], words[1, i, :len(m)] = s, m
+    return np.asarray(rows.column("vec_id")), n, words.view(np.uint64)
+
+
+def _distances(asked: tuple, at: slice, given: tuple) -> np.ndarray:
+    """Quantized distances of a block of queries (lines) to vectors; -1 for the
+    query itself and where codes' lengths differ."""
+    (ids, n, words), (own, m, codes) = asked, given
+    out = np.zeros((len(ids[at]), len(own)), np.int32)
+    for w in range(min(words.shape[2], codes.shape[2])):
+        for weight, a, b in ((2, words[0], codes[0]), (1, words[1], codes[1])):
+            out += weight * np.bitwise_count(a[at, w, None] ^ b[None, :, w]).astype(np.int32)
+    out[(n[at, None] != m[None, :]) | (ids[at, None] == own[None, :])] = -1
+    return out
+
+
 def quantized_topk(codes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, distance, rank by quantized distance, then vec_id. The
-    queries are a stated set behind a size check."""
-    q = queries.select(F.col("vec_id").alias("query_id"), "sign_bits", "mag_bits")
-    pairs = codes.alias("v").join(bounded(q).alias("q"), F.col("v.vec_id") != F.col("q.query_id"))
-    scored = pairs.select("query_id", "vec_id", quantized_distance("v", "q").alias("distance")).where("distance is not null")
-    return ranked(scored, ["distance", "vec_id"], ["query_id"], k)
-
-
-def rerank(candidates: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact cosine order of quantized candidates (query_id, vec_id)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    joined = candidates.select("query_id", "vec_id").join(vectors.select("vec_id", "embedding"), "vec_id").join(q, "query_id")
-    scored = joined.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return ranked(scored, [F.desc("score"), "vec_id"], ["query_id"], k)
+    queries are written in pieces; each batch of codes gives its k best a query,
+    so only local winners are shuffled."""
+    names = ("vec_id", "sign_bits", "mag_bits")
+
+    def task_of(uri: str):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = _codes(_piece(uri))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                given = _codes(batch.take(pc.sort_indices(batch.column("vec_id"))))
+                for low in range(0, len(asked[0]), BLOCK):
+                    found = _distances(asked, slice(low, low + BLOCK), given)
+                    query, at = _least(np.where(found < 0, np.inf, found), k)
+                    yield pa.RecordBatch.from_pydict({"query_id": asked[0][low + query], "vec_id": given[0][at], "distance": found[query, at]})
+        return task
+
+    known = lambda d: d.select(*names).where("vec_id is not null")
+    found = each_piece(known(codes), _pieces(known(queries)), task_of, "query_id long, vec_id long, distance int")
+    return ranked(found, ["distance", "vec_id"], ["query_id"], k)
+
+
+def quantized_rerank(vectors: DataFrame, codes: DataFrame, asks: Column, pool: int, k: int) -> DataFrame:
+    """query_id, vec_id, score, rank: of each query's ``pool`` nearest codes (by
+    distance, then vec_id) the k nearest by cosine, for the vectors that ``asks``
+    marks as queries.
+
+    The pool is never written out as pairs. Vectors are dealt into parts by
+    ranges of vec_id; each part counts its codes by distance, which gives each
+    query's last distance and how many codes of that distance each part may
+    add; then each part gives its k nearest within those limits."""
+    spark, path = vectors.sparkSession, scratch(vectors.sparkSession, "coded")
+    coded = vectors.select("vec_id", "embedding").join(codes, "vec_id")
+    parts = 1 + vectors.count() // PART_ROWS
+    dealt = coded.repartitionByRange(parts, "vec_id").withColumn("part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+
+    def search(uri: str) -> DataFrame:
+        def count(rows: pa.Table) -> pa.Table:
+            asked, given = _codes(_piece(uri)), _codes(rows)
+            most = 3 * 64 * max(asked[2].shape[2], given[2].shape[2]) + 1
+            counts = []
+            for low in range(0, len(asked[0]), BLOCK):
+                found = _distances(asked, slice(low, low + BLOCK), given)
+                cells = (np.arange(len(found))[:, None] * most + found)[found >= 0]
+                counts += np.bincount(cells, minlength=len(found) * most).astype(np.int32).reshape(len(found), most).tolist()
+            part = np.full(len(counts), rows.column("part")[0].as_py(), np.int32)
+            return pa.table({"query_id": asked[0], "part": part, "counts": pa.array(counts, pa.list_(pa.int32()))})
+
+        def limit(rows: pa.Table) -> pa.Table:
+            rows = rows.take(pc.sort_indices(rows.column("part")))
+            lists = rows.column("counts").to_pylist()
+            counts = np.zeros((len(lists), max(map(len, lists))), np.int64)
+            for i, one in enumerate(lists):
+                counts[i, :len(one)] = one
+            so_far = counts.sum(0).cumsum()
+            last = min(int(np.searchsorted(so_far, pool)), len(so_far) - 1)
+            ties = counts[:, last]
+            room = pool - (so_far[last - 1] if last else 0) - (ties.cumsum() - ties)
+            return pa.table({"query_id": rows.column("query_id"), "part": rows.column("part"), "last": np.full(len(ties), last, np.int32), "most": np.clip(room, 0, ties)})
+
+        def nearest(rows: pa.Table, limits: pa.Table) -> pa.Table:
+            if not rows.num_rows or not limits.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            piece, rows = _piece(uri), rows.take(pc.sort_indices(rows.column("vec_id")))
+            asked, given, found = _codes(piece), _codes(rows), []
+            limits = limits.take(pc.index_in(piece.column("vec_id"), value_set=limits.column("query_id").combine_chunks()))
+            last, most = np.asarray(limits.column("last")), np.asarray(limits.column("most"))
+            mine, theirs = (_by_length(t.column("embedding").to_pylist()) for t in (piece, rows))
+            for low in range(0, len(asked[0]), BLOCK):
+                at = slice(low, low + BLOCK)
+                distance = _distances(asked, at, given)
+                scores = np.zeros(distance.shape)
+                for length, (lines, unit) in mine.items():
+                    here = (lines >= low) & (lines < low + BLOCK)
+                    if length and length in theirs and here.any():
+                        scores[np.ix_(lines[here] - low, theirs[length][0])] = np.round(unit[here] @ theirs[length][1].T, 6)
+                tie = distance == last[at, None]
+                good = (distance >= 0) & ((distance < last[at, None]) | (tie & (tie.cumsum(1) <= most[at, None])))
+                query, column = _least(np.where(good, -scores, np.inf), k)
+                found.append(pa.table({"query_id": asked[0][low + query], "vec_id": given[0][column], "score": scores[query, column]}))
+            return pa.concat_tables(found)
+
+        limits = dealt.groupBy("part").applyInArrow(count, "query_id long, part int, counts array<int>").groupBy("query_id").applyInArrow(
+            limit, "query_id long, part int, last int, most long")
+        return dealt.groupBy("part").cogroup(limits.groupBy("part")).applyInArrow(nearest, "query_id long, vec_id long, score double")
+
+    out = reduce(DataFrame.unionByName, [search(uri) for uri in _pieces(dealt.where(asks).drop("part"))])
+    return ranked(out, [F.desc("score"), "vec_id"], ["query_id"], k)
 
 
 def overlap_at_k(a: DataFrame, b: DataFrame, k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_besthits import shuffled
 
 from spanloom.operators import packing, vectors
@@ -27,3 +28,33 @@ def test_mock_embedding_hashes_a_text_once(spark):
         whole = hashlib.sha256(text.encode()).hexdigest()
         x = np.array([int(hashlib.sha256(f"{whole}:{i}".encode()).hexdigest()[:8], 16) - 2.0**31 for i in range(8)])
         assert np.allclose(got.where(f"doc_id = {key}").first().embedding, x / np.linalg.norm(x), atol=1e-12)
+
+
+def test_quantized_search_makes_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=70 if i % 9 == 4 else 64)]) for i in range(600)] + [(600, None), (601, [0.0] * 64)]
+    rows += [(700 + i, rows[i % 3][1]) for i in range(40)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").cache()
+    codes = {r.vec_id: r for r in vectors.quantize(table.where("size(embedding) = 64")).collect()}
+    coded = spark.createDataFrame(list(codes.values()), "vec_id long, sign_bits array<bigint>, mag_bits array<bigint>").cache()
+
+    def distance(a, b):
+        pairs = (2, a.sign_bits[0], b.sign_bits[0]), (1, a.mag_bits[0], b.mag_bits[0])
+        return sum(f * ((x ^ y) & (2**64 - 1)).bit_count() for f, x, y in pairs)
+
+    asked = [v for v in codes if v % 20 == 0]
+    near = {q: sorted((distance(codes[q], codes[v]), v) for v in codes if v != q) for q in asked}
+    before = shuffled(spark)
+    got = vectors.quantized_topk(coded, coded.where("vec_id % 20 = 0"), 3).collect()
+    assert sorted((r.query_id, r.rank, r.distance, r.vec_id) for r in got) == sorted((q, i + 1, *hit) for q in asked for i, hit in enumerate(near[q][:3]))
+    unit = {v: np.array(e, np.float32).astype(float) for v, e in rows if v in codes}
+    cosine = lambda a, b: round(float(a @ b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1.0), 6)
+    best = {q: sorted((-cosine(unit[q], unit[v]), v) for _, v in near[q][:150])[:5] for q in asked}
+    vectors.PART_ROWS, was = 100, vectors.PART_ROWS
+    try:
+        found = vectors.quantized_rerank(table, coded, F.col("vec_id") % 20 == 0, 150, 5).collect()
+    finally:
+        vectors.PART_ROWS = was
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == sorted((q, i + 1, v) for q in asked for i, (_, v) in enumerate(best[q]))
+    # The pool's pairs alone would be 150 a query.
+    assert shuffled(spark) - before < 100 * len(asked) + 4 * len(rows)
