@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_besthits import shuffled
 
-from spanloom.operators import packing, vectors
+from spanloom.operators import manypatterns, packing, vectors
 
 
 def test_policies_deal_rows_by_task_once(spark):
@@ -58,3 +58,10 @@ def test_quantized_search_makes_no_pairs(spark):
     assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == sorted((q, i + 1, v) for q in asked for i, (_, v) in enumerate(best[q]))
     # The pool's pairs alone would be 150 a query.
     assert shuffled(spark) - before < 100 * len(asked) + 4 * len(rows)
+
+
+def test_stems_of_names_with_line_feeds(spark):
+    rows = [("r", "notes/1.txt", "a test of One.\nTwo here"), ("r", "notes/2.txt", "a test of One.\nTwo.py"), ("r", "lib/One.\nTwo.py", ""), ("r", "lib/x.py\n", "")]
+    files = spark.createDataFrame(rows, "repo_id string, path string, content string")
+    got = {(r.source_path, r.target_path) for r in manypatterns.stem_tests(files, "contains(content, 'test')", "startswith(path, 'lib/O')").collect()}
+    assert got == {("notes/1.txt", "lib/One.\nTwo.py"), ("notes/2.txt", "lib/One.\nTwo.py")}
