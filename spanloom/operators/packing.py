@@ -19,6 +19,19 @@ from .hybrids import RISK_PATH
 TASK = ["strategy", "task_id"]
 
 
+#: Items that a task orders at once, where it holds several orders of them.
+ITEMS_A_TASK = 100_000
+
+
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` dealt by task into so many parts that each has about ITEMS_A_TASK
+    of its ``rows``. Windows by task then work within the parts; parts made by
+    their size in bytes would hold millions of such short rows. By task_id alone:
+    Spark drops a constant strategy from the windows, and would deal anew."""
+    parts = max(-(-rows // ITEMS_A_TASK), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, "task_id")
+
+
 def reranked(df: DataFrame, *keys, by: list[str] = TASK) -> DataFrame:
     """``df`` with new_rank by sort keys; the old rank breaks ties."""
     return df.withColumn("new_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys, "rank")))
@@ -98,7 +111,7 @@ def difference_aware(items: DataFrame, old: DataFrame, size: int = 10, guard: in
     c, task = F.col, Window.partitionBy(*TASK)
     so_far = task.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     seen = old.select(*TASK, "path").distinct().withColumn("_old", F.lit(1))
-    m = items.join(seen, [*TASK, "path"], "left").withColumn("_novel", c("_old").isNull())
+    m = dealt(items.join(seen, [*TASK, "path"], "left"), items.count()).withColumn("_novel", c("_old").isNull())
     first = F.row_number().over(Window.partitionBy(*TASK, "path").orderBy("rank")) == 1
     m = m.withColumn("_add", (first & c("_novel") & (c("rank") > guard)).cast("int"))
     nth, added = F.row_number().over(task.orderBy(F.desc("_novel"), "rank")), F.sum("_add").over(so_far)
