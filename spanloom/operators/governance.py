@@ -114,17 +114,22 @@ def chunk_summaries(chunks: DataFrame) -> DataFrame:
     return first.select("path", "start_line", "end_line", "content_sha", text.alias("derived_text"))
 
 
-def validate_views(views: DataFrame, files: DataFrame, kinds: list[str], max_level: int = 1) -> DataFrame:
-    """``views`` with verdict: valid or the first failing check."""
-    now = files.select("path", F.col("content_sha").alias("_sha"), F.size(T.lines(F.col("content"))).alias("_n"))
+def validate_views(views: DataFrame, files: DataFrame, kinds: list[str], max_level: int = 1, total: Column | None = None) -> DataFrame:
+    """``views`` with verdict: valid or the first failing check. A view is stale
+    unless a file of its path has its hash, null for null; repeated files count
+    once. ``total``: a file's number of lines (null: unknown, ranges have no end);
+    by default that of ``T.lines``."""
+    total = F.size(T.lines(F.col("content"))) if total is None else total
+    now = files.select(F.col("path").alias("_path"), F.col("content_sha").alias("_sha"), total.alias("_n"), F.lit(True).alias("_now")).distinct()
+    same = F.col("path").eqNullSafe(F.col("_path")) & F.col("content_sha").eqNullSafe(F.col("_sha"))
     level = F.col("data_level") if "data_level" in views.columns else F.lit(1)
     verdict = (
         F.when(~F.col("kind").isin(*kinds), "kind_not_allowed").when(level > max_level, "data_level_exceeded")
-        .when(~T.is_safe_path(F.col("path")), "path_unsafe").when(F.col("_sha").isNull() | (F.col("_sha") != F.col("content_sha")), "stale")
+        .when(~T.is_safe_path(F.col("path")), "path_unsafe").when(F.col("_now").isNull(), "stale")
         .when((F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")) | (F.col("end_line") > F.col("_n")), "range_invalid")
         .otherwise("valid")
     )
-    return views.join(now, "path", "left").withColumn("verdict", verdict).drop("_sha", "_n")
+    return views.join(now, same, "left").withColumn("verdict", verdict).drop("_path", "_sha", "_n", "_now")
 
 
 def upsert(store: DataFrame, views: DataFrame, key: str = "view_id") -> tuple[DataFrame, DataFrame]:

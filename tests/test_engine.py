@@ -68,6 +68,16 @@ def test_evidence_reasons_in_order(spark):
     assert got == ["ok", "bad_range", "bad_range", "stale_content", "path_unsafe", "file_missing", "empty_sha"]
 
 
+def test_view_verdicts(spark):
+    f = files(spark, [("a", "x", "1\n2\n"), ("a", "x", "1\n2\n"), ("a", "x", "1\n2\n3"), ("n", "x", None)])
+    two, three = (f.where(F.col("content") == t).first().content_sha for t in ("1\n2\n", "1\n2\n3"))
+    rows = [("a", 1, 2, two, "k"), ("a", 1, 3, two, "k"), ("a", 1, 3, three, "k"), ("a", 1, 1, "old", "k"), ("a", 1, 1, None, "k"), ("b", 1, 1, two, "k"), ("../a", 1, 1, two, "k"), ("a", 1, 1, two, "odd"), ("n", 1, 1, None, "k"), ("n", 1, 1, two, "k")]
+    made = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, path string, start_line long, end_line long, content_sha string, kind string")
+    got = governance.validate_views(made, f, ["k"]).orderBy("i").collect()
+    assert [r.verdict for r in got] == ["valid", "range_invalid", "valid", "stale", "stale", "stale", "path_unsafe", "kind_not_allowed", "range_invalid", "stale"]
+    assert governance.validate_views(made, f, ["k"], total=F.lit(None).cast("long")).where("verdict = 'range_invalid'").count() == 0
+
+
 def test_index_life(spark, tmp_path):
     old = files(spark, [(f"p{i}", "x", f"alpha beta {i}\n" * 40) for i in range(12)])
     lifecycle.write_index(old, str(tmp_path / "i"), buckets=4)

@@ -41,3 +41,16 @@ def test_rows_and_repeatable(spark, sf, name):
     first = sorted(map(repr, QUERIES[name](spark, sf).collect()))
     assert first
     assert first == sorted(map(repr, QUERIES[name](spark, sf).collect()))
+
+
+def test_views_of_odd_documents(spark, tmp_path):
+    four = "a\n" * 4
+    rows = [(5, four), (6, four), (65, four), (31, ""), (32, ""), (61, None), (30, None), (25, None), (10, "x"), (10, "x"), (10, "x\n" * 9), (10, None), (81, "a"), (81, None), (-5, "a"), (None, "a"), (None, None), (36, "a\r\n" * 5)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(repr, map(tuple, QUERIES["view_validate"](spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(map(repr, con.execute(ORACLES["view_validate"]).fetchall()))
+    # A final line feed begins one more line.
+    assert "(5, 'valid')" in got and "(6, 'range_invalid')" in got and "(65, 'stale')" in got
